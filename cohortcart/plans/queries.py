@@ -2,20 +2,33 @@
 
 Each entry is ``(spark, sf_dir) -> DataFrame`` over the fixture tables derived
 from the test parquet in ``sf_dir``; ``cohortcart.plans.oracle`` holds the SQL
-twin under the same key.
+twin under the same key.  ``risk_batch`` and ``risk_alerts`` really run the
+scoring job, into fresh tables under the session's checkpoint directory, and
+return what was written.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortcart.operators import quality as Q
 from cohortcart.operators import readmission as RA
+from cohortcart.operators import rfm as RFM
+from cohortcart.operators import risk as RK
+from cohortcart.operators import sales as S
+from cohortcart.plans.jobs import run_risk_batch
+from cohortcart.session import scratch_path
 from cohortcart.sources import fixtures as FX
+from cohortcart.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+AS_OF = FX.AS_OF
+RUN_TS = f"{AS_OF} 10:15:00"          # fixed run time of the scoring job in the registered queries
+
 
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RA.flag_readmissions(FX.admissions(spark, sf_dir))
@@ -25,8 +38,32 @@ def _rate(dim: str, count_name: str = "total_admissions") -> Query:
     return lambda spark, d: RA.readmission_rate(_flagged(spark, d), dim, dim, count_name)
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows one scoring run appends, without writing them."""
+    adm = FX.admissions(spark, sf_dir)
+    return RK.risk_records(RK.risk_factors(RA.flag_readmissions(adm)), RUN_TS,
+                           id_source=adm.select("Admission_ID"))
+
+
+def _run_job(spark: SparkSession, sf_dir: str):
+    tag = uuid.uuid4().hex[:10]
+    return run_risk_batch(spark, FX.admissions(spark, sf_dir), RUN_TS,
+                          risk_table=f"patient_readmission_risk_{tag}", alerts_table=f"patient_alerts_{tag}",
+                          location=scratch_path(spark, "risk-batch"))
+
+
+def _tx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FX.transactions(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
+        # hospital readmission
+        "admissions_scan": lambda spark, d: FX.admissions(spark, d),
+        "list_columns": lambda spark, d: Q.list_columns(FX.admissions(spark, d)),
+        "missing_audit_admissions": lambda spark, d: Q.missing_audit(FX.admissions(spark, d),
+                                                                     T.ADMISSION_AUDIT_COLUMNS),
+        "impute_billing_mean": lambda spark, d: Q.impute_mean(FX.admissions(spark, d), "Billing_Amount"),
         "readmissions_30d": lambda spark, d: RA.readmissions(_flagged(spark, d)),
         "readmit_rate_condition": _rate("Medical_Condition"),
         "readmit_rate_age": lambda spark, d: RA.rate_by_age(_flagged(spark, d)),
@@ -35,4 +72,20 @@ def queries() -> dict[str, Query]:
         "readmit_rate_insurance": _rate("Insurance_Provider"),
         "readmit_rate_medication": _rate("Medication", "total_prescriptions"),
         "readmit_rate_test_results": _rate("Test_Results", "total_tests"),
+        "risk_score": lambda spark, d: RK.score_risk(_flagged(spark, d)),
+        "risk_batch": lambda spark, d: spark.table(_run_job(spark, d).risk_table),
+        "risk_alerts": lambda spark, d: spark.table(_run_job(spark, d).alerts_table),
+        "risk_results_sorted": lambda spark, d: RK.risk_results(_records(spark, d)),
+        "risk_distribution": lambda spark, d: RK.risk_distribution(_records(spark, d)),
+        # customer sales
+        "transactions_scan": _tx,
+        "dataset_profile": lambda spark, d: Q.profile(_tx(spark, d)),
+        "missing_audit_transactions": lambda spark, d: Q.missing_audit(
+            _tx(spark, d), T.TRANSACTION_AUDIT_COLUMNS, T.transaction_audit_names()),
+        "monthly_trend": lambda spark, d: S.monthly_trend(_tx(spark, d)),
+        "country_sales": lambda spark, d: S.country_sales(_tx(spark, d)),
+        "customer_behaviour": lambda spark, d: S.customer_behaviour(_tx(spark, d)),
+        "rfm_values": lambda spark, d: RFM.rfm_values(_tx(spark, d), AS_OF),
+        "rfm_scores": lambda spark, d: RFM.rfm_scores(_tx(spark, d), AS_OF),
+        "sales_segments": lambda spark, d: RFM.sales_segments(_tx(spark, d)),
     }
