@@ -1,10 +1,11 @@
 """The registry of runnable queries: one entry per operator of the analyses.
 
-Each entry is ``(spark, sf_dir) -> DataFrame`` over the fixture tables derived
-from the test parquet in ``sf_dir``; ``cohortcart.plans.oracle`` holds the SQL
-twin under the same key.  ``risk_batch`` and ``risk_alerts`` really run the
-scoring job, into fresh tables under the session's checkpoint directory, and
-return what was written.
+``TABLE_QUERIES`` defines each query over its input tables (``admissions`` and/or
+``transactions`` DataFrames); ``queries()`` feeds them the fixture tables derived
+from the test parquet in ``sf_dir`` (``cohortcart.plans.oracle`` holds the SQL
+twin under the same key), and the bench feeds them stored copies.
+``risk_batch`` and ``risk_alerts`` really run the scoring job, into fresh tables
+under the session's checkpoint directory, and return what was written.
 """
 
 from __future__ import annotations
@@ -29,63 +30,66 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = FX.AS_OF
 RUN_TS = f"{AS_OF} 10:15:00"          # fixed run time of the scoring job in the registered queries
 
+ADM, TX = "admissions", "transactions"
+BUILDERS = {ADM: FX.admissions, TX: FX.transactions}
 
-def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RA.flag_readmissions(FX.admissions(spark, sf_dir))
 
-
-def _rate(dim: str, count_name: str = "total_admissions") -> Query:
-    return lambda spark, d: RA.readmission_rate(_flagged(spark, d), dim, dim, count_name)
-
-
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _records(adm: DataFrame) -> DataFrame:
     """The rows one scoring run appends, without writing them."""
-    adm = FX.admissions(spark, sf_dir)
     return RK.risk_records(RK.risk_factors(RA.flag_readmissions(adm)), RUN_TS,
                            id_source=adm.select("Admission_ID"))
 
 
-def _run_job(spark: SparkSession, sf_dir: str):
+def _run_job(spark: SparkSession, adm: DataFrame):
     tag = uuid.uuid4().hex[:10]
-    return run_risk_batch(spark, FX.admissions(spark, sf_dir), RUN_TS,
-                          risk_table=f"patient_readmission_risk_{tag}", alerts_table=f"patient_alerts_{tag}",
-                          location=scratch_path(spark, "risk-batch"))
-
-
-def _tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FX.transactions(spark, sf_dir)
+    return run_risk_batch(spark, adm, RUN_TS, risk_table=f"patient_readmission_risk_{tag}",
+                          alerts_table=f"patient_alerts_{tag}", location=scratch_path(spark, "risk-batch"))
+
+
+def _rate(dim: str, count_name: str = "total_admissions"):
+    return lambda spark, adm: RA.readmission_rate(RA.flag_readmissions(adm), dim, dim, count_name)
+
+
+# key -> (input tables, fn(spark, *inputs) -> DataFrame)
+TABLE_QUERIES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
+    # hospital readmission
+    "admissions_scan": ((ADM,), lambda spark, adm: adm),
+    "list_columns": ((ADM,), lambda spark, adm: Q.list_columns(adm)),
+    "missing_audit_admissions": ((ADM,), lambda spark, adm: Q.missing_audit(adm, T.ADMISSION_AUDIT_COLUMNS)),
+    "impute_billing_mean": ((ADM,), lambda spark, adm: Q.impute_mean(adm, "Billing_Amount")),
+    "readmissions_30d": ((ADM,), lambda spark, adm: RA.readmissions(RA.flag_readmissions(adm))),
+    "readmit_rate_condition": ((ADM,), _rate("Medical_Condition")),
+    "readmit_rate_age": ((ADM,), lambda spark, adm: RA.rate_by_age(RA.flag_readmissions(adm))),
+    "readmit_rate_los": ((ADM,), lambda spark, adm: RA.rate_by_stay(RA.flag_readmissions(adm))),
+    "readmit_rate_admission_type": ((ADM,), _rate("Admission_Type")),
+    "readmit_rate_insurance": ((ADM,), _rate("Insurance_Provider")),
+    "readmit_rate_medication": ((ADM,), _rate("Medication", "total_prescriptions")),
+    "readmit_rate_test_results": ((ADM,), _rate("Test_Results", "total_tests")),
+    "risk_score": ((ADM,), lambda spark, adm: RK.score_risk(RA.flag_readmissions(adm))),
+    "risk_batch": ((ADM,), lambda spark, adm: spark.table(_run_job(spark, adm).risk_table)),
+    "risk_alerts": ((ADM,), lambda spark, adm: spark.table(_run_job(spark, adm).alerts_table)),
+    "risk_results_sorted": ((ADM,), lambda spark, adm: RK.risk_results(_records(adm))),
+    "risk_distribution": ((ADM,), lambda spark, adm: RK.risk_distribution(_records(adm))),
+    # customer sales
+    "transactions_scan": ((TX,), lambda spark, tx: tx),
+    "dataset_profile": ((TX,), lambda spark, tx: Q.profile(tx)),
+    "missing_audit_transactions": ((TX,), lambda spark, tx: Q.missing_audit(
+        tx, T.TRANSACTION_AUDIT_COLUMNS, T.transaction_audit_names())),
+    "monthly_trend": ((TX,), lambda spark, tx: S.monthly_trend(tx)),
+    "country_sales": ((TX,), lambda spark, tx: S.country_sales(tx)),
+    "customer_behaviour": ((TX,), lambda spark, tx: S.customer_behaviour(tx)),
+    "rfm_values": ((TX,), lambda spark, tx: RFM.rfm_values(tx, AS_OF)),
+    "rfm_scores": ((TX,), lambda spark, tx: RFM.rfm_scores(tx, AS_OF)),
+    "sales_segments": ((TX,), lambda spark, tx: RFM.sales_segments(tx)),
+}
+
+
+def bind(key: str, inputs: Callable[[SparkSession, str], DataFrame]) -> Callable[..., DataFrame]:
+    """``(spark, source) -> DataFrame`` for ``key``, with ``inputs(spark, table_name)`` providing tables."""
+    needs, fn = TABLE_QUERIES[key]
+    return lambda spark, source: fn(spark, *[inputs(spark, source, t) for t in needs])
 
 
 def queries() -> dict[str, Query]:
-    return {
-        # hospital readmission
-        "admissions_scan": lambda spark, d: FX.admissions(spark, d),
-        "list_columns": lambda spark, d: Q.list_columns(FX.admissions(spark, d)),
-        "missing_audit_admissions": lambda spark, d: Q.missing_audit(FX.admissions(spark, d),
-                                                                     T.ADMISSION_AUDIT_COLUMNS),
-        "impute_billing_mean": lambda spark, d: Q.impute_mean(FX.admissions(spark, d), "Billing_Amount"),
-        "readmissions_30d": lambda spark, d: RA.readmissions(_flagged(spark, d)),
-        "readmit_rate_condition": _rate("Medical_Condition"),
-        "readmit_rate_age": lambda spark, d: RA.rate_by_age(_flagged(spark, d)),
-        "readmit_rate_los": lambda spark, d: RA.rate_by_stay(_flagged(spark, d)),
-        "readmit_rate_admission_type": _rate("Admission_Type"),
-        "readmit_rate_insurance": _rate("Insurance_Provider"),
-        "readmit_rate_medication": _rate("Medication", "total_prescriptions"),
-        "readmit_rate_test_results": _rate("Test_Results", "total_tests"),
-        "risk_score": lambda spark, d: RK.score_risk(_flagged(spark, d)),
-        "risk_batch": lambda spark, d: spark.table(_run_job(spark, d).risk_table),
-        "risk_alerts": lambda spark, d: spark.table(_run_job(spark, d).alerts_table),
-        "risk_results_sorted": lambda spark, d: RK.risk_results(_records(spark, d)),
-        "risk_distribution": lambda spark, d: RK.risk_distribution(_records(spark, d)),
-        # customer sales
-        "transactions_scan": _tx,
-        "dataset_profile": lambda spark, d: Q.profile(_tx(spark, d)),
-        "missing_audit_transactions": lambda spark, d: Q.missing_audit(
-            _tx(spark, d), T.TRANSACTION_AUDIT_COLUMNS, T.transaction_audit_names()),
-        "monthly_trend": lambda spark, d: S.monthly_trend(_tx(spark, d)),
-        "country_sales": lambda spark, d: S.country_sales(_tx(spark, d)),
-        "customer_behaviour": lambda spark, d: S.customer_behaviour(_tx(spark, d)),
-        "rfm_values": lambda spark, d: RFM.rfm_values(_tx(spark, d), AS_OF),
-        "rfm_scores": lambda spark, d: RFM.rfm_scores(_tx(spark, d), AS_OF),
-        "sales_segments": lambda spark, d: RFM.sales_segments(_tx(spark, d)),
-    }
+    """Registered queries over the fixture tables derived from the test parquet in ``sf_dir``."""
+    return {k: bind(k, lambda spark, d, t: BUILDERS[t](spark, d)) for k in TABLE_QUERIES}
