@@ -29,8 +29,9 @@ from cohortcart.functions.rounding import idiv
 
 Order = Sequence[tuple[str, bool]]      # (column, ascending)
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 1024
+ROWS_PER_BUCKET = 2_000_000      # upper target for one range (one window task)
+MIN_ROWS_PER_BUCKET = 1_000      # below this, extra ranges only add overhead
+MAX_BUCKETS = 1024               # bounds the split literals, the sample and the broadcast offsets
 SAMPLES_PER_BUCKET = 64
 
 
@@ -85,21 +86,33 @@ def _splits(keys: DataFrame, n: int, buckets: int, seed: int) -> list:
     return out
 
 
+def bucket_count(n: int, parallelism: int, rows_per_bucket: int = ROWS_PER_BUCKET,
+                 max_buckets: int = MAX_BUCKETS) -> int:
+    """Ranges for ``n`` rows: enough to keep each under ``rows_per_bucket`` and to use the
+    cluster's parallelism, never ranges of fewer than ``MIN_ROWS_PER_BUCKET`` rows."""
+    wanted = max(math.ceil(n / rows_per_bucket), min(parallelism, n // MIN_ROWS_PER_BUCKET))
+    return max(1, min(max_buckets, wanted))
+
+
 def global_row_number(df: DataFrame, order: Order, out: str = "row_number", key_source: DataFrame | None = None,
-                      rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS,
+                      n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
+                      max_buckets: int = MAX_BUCKETS, buckets: int | None = None,
                       seed: int = 17) -> tuple[DataFrame, int]:
     """Add ``out`` = 1-based position of each row in ``order``; returns ``(frame, row count)``.
 
     ``key_source`` may be a cheaper DataFrame holding the same multiset of order columns
     (e.g. the base table behind a derived one, or a checkpoint); statistics are taken there.
-    Runs two small jobs now (count, sample); the returned frame is lazy.
+    ``n`` is its row count when already known.  Runs up to two small jobs now (count,
+    sample); the returned frame is lazy.
     """
     src = key_source if key_source is not None else df
     src_keys = src.select(sort_key(src, order).alias("_k"))
     struct_type = src_keys.schema["_k"].dataType
-    n = src_keys.count()
-    buckets = max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
-    splits = _splits(src_keys, n, buckets, seed)
+    if n is None:
+        n = src_keys.count()
+    if buckets is None:
+        buckets = bucket_count(n, df.sparkSession.sparkContext.defaultParallelism, rows_per_bucket, max_buckets)
+    splits = _splits(src_keys, n, min(buckets, max_buckets), seed)
 
     counts = (src_keys.select(_range_of(F.col("_k"), splits, struct_type).alias("_b"))
               .groupBy("_b").agg(F.count(F.lit(1)).alias("_c")))

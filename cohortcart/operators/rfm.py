@@ -49,12 +49,13 @@ def rfm_scores(df: DataFrame, as_of, tiles: int = 5, best_high: bool = False, so
     the three exact distributed NTILEs then read that instead of re-aggregating the lines.
     """
     values = rfm_values(df, as_of, sort=False).checkpoint(eager=True)
+    n = values.count()
     scored = values
     for column, ascending, name in (("Recency", True, "RecencyScore"),
                                     ("Frequency", False, "FrequencyScore"),
                                     ("Monetary", False, "MonetaryScore")):
         scored = ntile(scored, tiles, [(column, ascending), ("CustomerID", True)], name,
-                       key_source=values, **ntile_options)
+                       key_source=values, n=n, **ntile_options)
     scores = ["RecencyScore", "FrequencyScore", "MonetaryScore"]
     cols = [(tiles + 1 - F.col(c)).alias(c) if best_high else F.col(c) for c in scores]
     out = scored.select("CustomerID", *cols)
