@@ -30,7 +30,6 @@ from cohortcart.functions.rounding import idiv
 Order = Sequence[tuple[str, bool]]      # (column, ascending)
 
 ROWS_PER_BUCKET = 2_000_000      # upper target for one range (one window task)
-MIN_ROWS_PER_BUCKET = 1_000      # below this, extra ranges only add overhead
 MAX_BUCKETS = 1024               # bounds the split literals, the sample and the broadcast offsets
 SAMPLES_PER_BUCKET = 64
 
@@ -71,11 +70,18 @@ def _range_of(key: Column, splits: list, struct_type: StructType) -> Column:
     return search(0, len(lits))
 
 
+def _python_order(key) -> tuple:
+    """Sort key of a collected struct, ordered as Spark orders it (a field is NULL only when its
+    NULL flag, compared first, is equal on both sides)."""
+    return tuple((0,) if v is None else (1, v) for v in key)
+
+
 def _splits(keys: DataFrame, n: int, buckets: int, seed: int) -> list:
     if buckets <= 1 or n == 0:
         return []
     fraction = min(1.0, buckets * SAMPLES_PER_BUCKET / n)
-    sample = [r[0] for r in keys.sample(False, fraction, seed).orderBy("_k").collect()]  # bounded
+    sample = [r[0] for r in keys.sample(False, fraction, seed).collect()]   # ~buckets * 64 rows
+    sample.sort(key=_python_order)
     if not sample:
         return []
     picks = [sample[(len(sample) * j) // buckets] for j in range(1, buckets)]
@@ -86,12 +92,10 @@ def _splits(keys: DataFrame, n: int, buckets: int, seed: int) -> list:
     return out
 
 
-def bucket_count(n: int, parallelism: int, rows_per_bucket: int = ROWS_PER_BUCKET,
-                 max_buckets: int = MAX_BUCKETS) -> int:
-    """Ranges for ``n`` rows: enough to keep each under ``rows_per_bucket`` and to use the
-    cluster's parallelism, never ranges of fewer than ``MIN_ROWS_PER_BUCKET`` rows."""
-    wanted = max(math.ceil(n / rows_per_bucket), min(parallelism, n // MIN_ROWS_PER_BUCKET))
-    return max(1, min(max_buckets, wanted))
+def bucket_count(n: int, rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> int:
+    """Ranges for ``n`` rows: enough to keep each near ``rows_per_bucket``.  Up to that many rows
+    one range (one window task) is cheaper than the sampling job and the offset join."""
+    return max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
 
 
 def global_row_number(df: DataFrame, order: Order, out: str = "row_number", key_source: DataFrame | None = None,
@@ -111,8 +115,12 @@ def global_row_number(df: DataFrame, order: Order, out: str = "row_number", key_
     if n is None:
         n = src_keys.count()
     if buckets is None:
-        buckets = bucket_count(n, df.sparkSession.sparkContext.defaultParallelism, rows_per_bucket, max_buckets)
+        buckets = bucket_count(n, rows_per_bucket, max_buckets)
     splits = _splits(src_keys, n, min(buckets, max_buckets), seed)
+    cols = [F.col(c) for c in df.columns]
+    if not splits:                          # one range of at most rows_per_bucket rows
+        number = F.row_number().over(Window.orderBy(sort_key(df, order)))
+        return df.select(*cols, number.cast("long").alias(out)), n
 
     counts = (src_keys.select(_range_of(F.col("_k"), splits, struct_type).alias("_b"))
               .groupBy("_b").agg(F.count(F.lit(1)).alias("_c")))
@@ -123,7 +131,6 @@ def global_row_number(df: DataFrame, order: Order, out: str = "row_number", key_
     keyed = keyed.withColumn("_b", _range_of(F.col("_k"), splits, struct_type))
     ranked = keyed.join(F.broadcast(offsets), "_b", "inner")
     number = F.row_number().over(Window.partitionBy("_b").orderBy("_k")) + F.col("_off")
-    cols = [F.col(c) for c in df.columns]
     return ranked.select(*cols, number.cast("long").alias(out)), n
 
 
