@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analyses this library reproduces are batch computations over whole tables;
+they contain no stream source, watermark, event-time window or stateful stream
+operator, so there is nothing to express with Structured Streaming here.  The
+repeatable scoring job is a batch job (``cohortcart.plans.jobs.run_risk_batch``).
+"""
