@@ -66,11 +66,11 @@ def score_risk(flagged: DataFrame, rulebook: dict = RISK_RULEBOOK, sort: bool =
 
 
 def risk_records(factors: DataFrame, run_ts, start_id: int = 0, id_source: DataFrame | None = None,
-                 order_by: str = "Admission_ID") -> DataFrame:
+                 order_by: str = "Admission_ID", **rank_options) -> DataFrame:
     """Rows of the persisted score table for one run: ``ID`` continues after ``start_id`` in
     ``order_by`` order (exact, gap-free, computed without a single-partition sort), and every row
     carries the same ``CalculationDate`` literal."""
-    ranked, _ = global_row_number(factors, [(order_by, True)], "_seq", key_source=id_source)
+    ranked, _ = global_row_number(factors, [(order_by, True)], "_seq", key_source=id_source, **rank_options)
     return ranked.select((F.col("_seq") + F.lit(start_id)).cast("long").alias("ID"),
                          *[F.col(src).alias(dst) for dst, src in RECORD_COLUMNS],
                          F.lit(timestamp_text(run_ts)).cast("timestamp_ntz").alias("CalculationDate"))

@@ -31,3 +31,26 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["Medical_Condition", "total_admissions", "readmissions", "readmission_rate_percent"]
     assert df.count() > 0
+
+
+def test_multi_range_ranking_matches_oracle(spark):
+    """Force the sampled-range path of the distributed NTILE and row number (above 2M rows it is
+    the default) and compare with the single-window SQL on the check-scale tables."""
+    from cohortcart.operators import rfm as RFM
+    from cohortcart.operators import readmission as RA
+    from cohortcart.operators import risk as RK
+    from cohortcart.operators import ranking
+    from cohortcart.plans.queries import RUN_TS
+    from cohortcart.sources import fixtures as FX
+    from tests.conftest import SF_CHECK
+
+    con = duck(SF_CHECK)
+    sql = entry.oracle_sql()
+    scores = RFM.rfm_scores(FX.transactions(spark, SF_CHECK), FX.AS_OF, buckets=7)
+    assert compare(scores, sql["rfm_scores"], con)["ok"]
+
+    adm = FX.admissions(spark, SF_CHECK)
+    records = RK.risk_records(RK.risk_factors(RA.flag_readmissions(adm)), RUN_TS,
+                              id_source=adm.select("Admission_ID"), rows_per_bucket=1000)   # 15 ranges
+    assert compare(records, sql["risk_batch"], con)["ok"]
+    assert ranking.bucket_count(15000, 1000) == 15
