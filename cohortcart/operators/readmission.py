@@ -31,6 +31,16 @@ from cohortcart.functions.rounding import pct_half_up
 FLAG_COLUMNS = ("next_admission", "days_until_readmission", "is_readmission")
 
 
+def day_table(df: DataFrame, patient: str = "Name", admitted: str = "Date_of_Admission",
+              tie_breaker: str = "Admission_ID") -> DataFrame:
+    """One row per (patient, day): ``_p``, ``_d``, the day's last tie-breaker ``_last`` and
+    ``_next_day``, the patient's next admission day (a ``lead`` over at most one row per patient
+    and calendar day).  A partial aggregate: copies are combined before the shuffle."""
+    days = df.groupBy(F.col(patient).alias("_p"), F.col(admitted).alias("_d")).agg(F.max(tie_breaker).alias("_last"))
+    by_patient = Window.partitionBy("_p").orderBy(F.col("_d").asc_nulls_first())
+    return days.withColumn("_next_day", F.lead("_d").over(by_patient))
+
+
 def flag_readmissions(df: DataFrame, patient: str = "Name", admitted: str = "Date_of_Admission",
                       discharged: str = "Discharge_Date", tie_breaker: str = "Admission_ID",
                       lo: int = 1, hi: int = 30) -> DataFrame:
@@ -41,10 +51,7 @@ def flag_readmissions(df: DataFrame, patient: str = "Name", admitted: str = "Dat
     stay or a missing discharge); ``is_readmission`` = 1 when it lies in ``[lo, hi]``, else 0.
     NULL patients form one patient, as in ``PARTITION BY``.
     """
-    days = (df.groupBy(F.col(patient).alias("_p"), F.col(admitted).alias("_d"))
-            .agg(F.max(tie_breaker).alias("_last")))
-    by_patient = Window.partitionBy("_p").orderBy(F.col("_d").asc_nulls_first())
-    days = days.withColumn("_next_day", F.lead("_d").over(by_patient))
+    days = day_table(df, patient, admitted, tie_breaker)
     joined = df.join(days, on=[df[patient].eqNullSafe(days["_p"]), df[admitted].eqNullSafe(days["_d"])],
                      how="inner")
     next_adm = F.when(F.col(tie_breaker) == F.col("_last"), F.col("_next_day")).otherwise(F.col(admitted))
@@ -70,12 +77,9 @@ def length_of_stay(admitted: str = "Date_of_Admission", discharged: str = "Disch
     return F.datediff(F.col(discharged), F.col(admitted))
 
 
-def readmission_rate(flagged: DataFrame, dim: Column | str, name: str | None = None,
-                     count_name: str = "total_admissions", sort: bool = True) -> DataFrame:
-    """Admissions, readmissions and the readmission rate (%, 2 places, half-up) per value of ``dim``.
-
-    The denominator counts every admission of the group, last stays included; NULL keys form a group.
-    """
+def rate_from_flags(flagged: DataFrame, dim: Column | str, name: str | None = None,
+                    count_name: str = "total_admissions", sort: bool = True) -> DataFrame:
+    """Admissions, readmissions and rate per value of ``dim`` over already flagged admissions."""
     key = (F.col(dim) if isinstance(dim, str) else dim).alias(name or (dim if isinstance(dim, str) else "dim"))
     out = (flagged.groupBy(key)
            .agg(F.count(F.lit(1)).alias(count_name), F.sum("is_readmission").alias("readmissions"))
@@ -83,10 +87,20 @@ def readmission_rate(flagged: DataFrame, dim: Column | str, name: str | None = N
     return out.orderBy(F.desc("readmission_rate_percent")) if sort else out
 
 
-def rate_by_age(flagged: DataFrame, sort: bool = True) -> DataFrame:
-    return readmission_rate(flagged, age_group("Age"), "age_group", "total_patients", sort)
+def readmission_rate(admissions: DataFrame, dim: Column | str, name: str | None = None,
+                     count_name: str = "total_admissions", sort: bool = True, **flag_options) -> DataFrame:
+    """Admissions, readmissions and the readmission rate (%, 2 places, half-up) per value of ``dim``.
+
+    The denominator counts every admission of the group, last stays included; NULL keys form a
+    group.  ``flag_options`` go to ``flag_readmissions`` (column names, ``lo``/``hi`` window).
+    """
+    return rate_from_flags(flag_readmissions(admissions, **flag_options), dim, name, count_name, sort)
+
+
+def rate_by_age(admissions: DataFrame, sort: bool = True) -> DataFrame:
+    return readmission_rate(admissions, age_group("Age"), "age_group", "total_patients", sort)
 
 
-def rate_by_stay(flagged: DataFrame, sort: bool = True) -> DataFrame:
-    return readmission_rate(flagged, stay_length_group(length_of_stay()), "stay_length_group",
+def rate_by_stay(admissions: DataFrame, sort: bool = True) -> DataFrame:
+    return readmission_rate(admissions, stay_length_group(length_of_stay()), "stay_length_group",
                             "total_admissions", sort)

@@ -47,7 +47,7 @@ def _run_job(spark: SparkSession, adm: DataFrame):
 
 
 def _rate(dim: str, count_name: str = "total_admissions"):
-    return lambda spark, adm: RA.readmission_rate(RA.flag_readmissions(adm), dim, dim, count_name)
+    return lambda spark, adm: RA.readmission_rate(adm, dim, dim, count_name)
 
 
 # key -> (input tables, fn(spark, *inputs) -> DataFrame)
@@ -59,8 +59,8 @@ TABLE_QUERIES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
     "impute_billing_mean": ((ADM,), lambda spark, adm: Q.impute_mean(adm, "Billing_Amount")),
     "readmissions_30d": ((ADM,), lambda spark, adm: RA.readmissions(RA.flag_readmissions(adm))),
     "readmit_rate_condition": ((ADM,), _rate("Medical_Condition")),
-    "readmit_rate_age": ((ADM,), lambda spark, adm: RA.rate_by_age(RA.flag_readmissions(adm))),
-    "readmit_rate_los": ((ADM,), lambda spark, adm: RA.rate_by_stay(RA.flag_readmissions(adm))),
+    "readmit_rate_age": ((ADM,), lambda spark, adm: RA.rate_by_age(adm)),
+    "readmit_rate_los": ((ADM,), lambda spark, adm: RA.rate_by_stay(adm)),
     "readmit_rate_admission_type": ((ADM,), _rate("Admission_Type")),
     "readmit_rate_insurance": ((ADM,), _rate("Insurance_Provider")),
     "readmit_rate_medication": ((ADM,), _rate("Medication", "total_prescriptions")),

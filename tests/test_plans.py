@@ -50,14 +50,22 @@ def test_rfm_scores_never_gathers_customers_in_one_partition(spark, stored):
 
 
 def test_readmission_rate_has_one_window_and_no_patient_partition(spark, stored):
-    df = RA.readmission_rate(RA.flag_readmissions(load_admissions(spark, f"{stored}/admissions")),
-                             "Medical_Condition")
+    df = RA.readmission_rate(load_admissions(spark, f"{stored}/admissions"), "Medical_Condition")
     p = plan(df)
     assert p.count("Window [") == 1
     # the row-level data is never hash-partitioned by the patient alone
     assert not re.search(r"hashpartitioning\(Name#\d+, \d+\)", p)
 
 
+def test_flagged_rows_and_direct_rates_agree(spark, stored):
+    adm = load_admissions(spark, f"{stored}/admissions")
+    for dim in ["Medical_Condition", "Medication"]:
+        direct = sorted(map(tuple, RA.readmission_rate(adm, dim, sort=False).collect()), key=str)
+        flagged = sorted(map(tuple, RA.rate_from_flags(RA.flag_readmissions(adm), dim, sort=False).collect()),
+                         key=str)
+        assert direct == flagged
+
+
 def test_no_python_in_any_plan(spark, stored):
     def inputs(spark_, src, table):
         return (load_admissions if table == "admissions" else load_transactions)(spark_, f"{src}/{table}")
