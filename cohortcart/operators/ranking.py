@@ -30,6 +30,8 @@ from cohortcart.functions.rounding import idiv
 Order = Sequence[tuple[str, bool]]      # (column, ascending)
 
 ROWS_PER_BUCKET = 2_000_000      # upper target for one range (one window task)
+SINGLE_RANGE_ROWS = 500_000      # up to here one range beats the sampling job and the offset join
+RANGES_PER_CORE = 2              # above it, at least this many ranges per core of the cluster
 MAX_BUCKETS = 1024               # bounds the split literals, the sample and the broadcast offsets
 SAMPLES_PER_BUCKET = 64
 
@@ -92,10 +94,14 @@ def _splits(keys: DataFrame, n: int, buckets: int, seed: int) -> list:
     return out
 
 
-def bucket_count(n: int, rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> int:
-    """Ranges for ``n`` rows: enough to keep each near ``rows_per_bucket``.  Up to that many rows
-    one range (one window task) is cheaper than the sampling job and the offset join."""
-    return max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
+def bucket_count(n: int, parallelism: int = 1, rows_per_bucket: int = ROWS_PER_BUCKET,
+                 max_buckets: int = MAX_BUCKETS) -> int:
+    """Ranges for ``n`` rows: one up to ``SINGLE_RANGE_ROWS`` (cheaper than sampling); above, enough
+    to keep each range under ``rows_per_bucket`` rows and every core busy, at most ``max_buckets``."""
+    if n <= min(SINGLE_RANGE_ROWS, rows_per_bucket):
+        return 1
+    wanted = max(math.ceil(n / rows_per_bucket), RANGES_PER_CORE * parallelism)
+    return max(1, min(max_buckets, wanted))
 
 
 def global_row_number(df: DataFrame, order: Order, out: str = "row_number", key_source: DataFrame | None = None,
@@ -115,7 +121,8 @@ def global_row_number(df: DataFrame, order: Order, out: str = "row_number", key_
     if n is None:
         n = src_keys.count()
     if buckets is None:
-        buckets = bucket_count(n, rows_per_bucket, max_buckets)
+        parallelism = df.sparkSession.sparkContext.defaultParallelism
+        buckets = bucket_count(n, parallelism, rows_per_bucket, max_buckets)
     splits = _splits(src_keys, n, min(buckets, max_buckets), seed)
     cols = [F.col(c) for c in df.columns]
     if not splits:                          # one range of at most rows_per_bucket rows

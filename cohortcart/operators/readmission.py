@@ -43,7 +43,7 @@ def day_table(df: DataFrame, patient: str = "Name", admitted: str = "Date_of_Adm
 
 def flag_readmissions(df: DataFrame, patient: str = "Name", admitted: str = "Date_of_Admission",
                       discharged: str = "Discharge_Date", tie_breaker: str = "Admission_ID",
-                      lo: int = 1, hi: int = 30) -> DataFrame:
+                      lo: int = 1, hi: int = 30, join_hint: str | None = "shuffle_hash") -> DataFrame:
     """Add ``next_admission``, ``days_until_readmission`` and ``is_readmission`` to every admission.
 
     ``tie_breaker`` must be unique and non-NULL; it orders admissions of one patient on one day.
@@ -52,6 +52,8 @@ def flag_readmissions(df: DataFrame, patient: str = "Name", admitted: str = "Dat
     NULL patients form one patient, as in ``PARTITION BY``.
     """
     days = day_table(df, patient, admitted, tie_breaker)
+    if join_hint:
+        days = days.hint(join_hint)
     joined = df.join(days, on=[df[patient].eqNullSafe(days["_p"]), df[admitted].eqNullSafe(days["_d"])],
                      how="inner")
     next_adm = F.when(F.col(tie_breaker) == F.col("_last"), F.col("_next_day")).otherwise(F.col(admitted))

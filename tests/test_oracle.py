@@ -53,4 +53,4 @@ def test_multi_range_ranking_matches_oracle(spark):
     records = RK.risk_records(RK.risk_factors(RA.flag_readmissions(adm)), RUN_TS,
                               id_source=adm.select("Admission_ID"), rows_per_bucket=1000)   # 15 ranges
     assert compare(records, sql["risk_batch"], con)["ok"]
-    assert ranking.bucket_count(15000, 1000) == 15
+    assert ranking.bucket_count(15000, 1, rows_per_bucket=1000) == 15

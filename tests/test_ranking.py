@@ -59,7 +59,9 @@ def test_ntile_matches_brute_force(spark, skewed):
 
 
 def test_bucket_count_bounds():
-    assert bucket_count(0) == 1
-    assert bucket_count(2_000_000) == 1
-    assert bucket_count(2_000_001) == 2
-    assert bucket_count(10**12) == 1024
+    assert bucket_count(0, 8) == 1
+    assert bucket_count(500_000, 8) == 1
+    assert bucket_count(500_001, 8) == 16
+    assert bucket_count(100_000_000, 8) == 50
+    assert bucket_count(10**12, 8000) == 1024
+    assert bucket_count(15_000, 8, rows_per_bucket=1000) == 16
