@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortcart.functions.rounding import avg_half_up, int_avg
+from cohortcart.operators.aggregates import grouped_with_distinct
 
 MONEY = "decimal(38,5)"        # SUM of a DECIMAL(18,5) money column
 MEAN = 6                       # decimal places of a money average
@@ -23,20 +24,21 @@ def monthly_trend(df: DataFrame, sort: bool = True) -> DataFrame:
     """Per calendar month of lines with a known customer (returns included):
     distinct invoices, distinct customers and revenue."""
     day = F.to_date(F.col("InvoiceDate"))
-    out = (_known(df).groupBy(F.year(day).alias("Year"), F.month(day).alias("Month"))
-           .agg(F.count_distinct("InvoiceNo").alias("InvoiceCount"),
-                F.count_distinct("CustomerID").alias("CustomerCount"),
-                F.sum("Total_Sales").cast(MONEY).alias("TotalRevenue")))
+    out = grouped_with_distinct(
+        _known(df), {"Year": F.year(day), "Month": F.month(day)},
+        {"InvoiceCount": "InvoiceNo", "CustomerCount": "CustomerID"},
+        [F.sum("Total_Sales").cast(MONEY).alias("TotalRevenue")])
+    out = out.select("Year", "Month", "InvoiceCount", "CustomerCount", "TotalRevenue")
     return out.orderBy("Year", "Month") if sort else out
 
 
 def country_sales(df: DataFrame, sort: bool = True) -> DataFrame:
     """Per country, purchases only (known customer, positive quantity): distinct invoices and
     customers, revenue and the mean *line* value (``AvgOrderValue``), by revenue descending."""
-    out = (_purchases(df).groupBy("Country")
-           .agg(F.count_distinct("InvoiceNo").alias("InvoiceCount"),
-                F.count_distinct("CustomerID").alias("CustomerCount"),
-                F.sum("Total_Sales").alias("_s"), F.count("Total_Sales").alias("_n"))
+    out = (grouped_with_distinct(
+        _purchases(df), {"Country": F.col("Country")},
+        {"InvoiceCount": "InvoiceNo", "CustomerCount": "CustomerID"},
+        [F.sum("Total_Sales").alias("_s"), F.count("Total_Sales").alias("_n")])
            .select("Country", "InvoiceCount", "CustomerCount",
                    F.col("_s").cast(MONEY).alias("TotalRevenue"),
                    avg_half_up(F.col("_s"), F.col("_n"), MEAN).alias("AvgOrderValue")))

@@ -182,3 +182,16 @@ def test_integer_average_truncates(spark):
     row = S.customer_behaviour(df).collect()[0]
     assert row["AvgInvoicesPerCustomer"] == 1 and row["TotalCustomers"] == 2
     assert row["AvgSpentPerCustomer"] == Decimal("15.000000")
+
+
+def test_distinct_counts_keep_a_null_group(spark):
+    from cohortcart.operators.aggregates import grouped_with_distinct
+    df = spark.createDataFrame([("a", "i1", 1), ("a", "i1", 2), ("a", "i2", None), (None, "i3", 3), (None, None, 4)],
+                               "g string, inv string, c int")
+    out = grouped_with_distinct(df, {"g": F.col("g")}, {"n_inv": "inv", "n_c": "c"},
+                                [F.count(F.lit(1)).alias("rows")])
+    got = {r["g"]: (r["rows"], r["n_inv"], r["n_c"]) for r in out.collect()}
+    assert got == {"a": (3, 2, 2), None: (2, 1, 2)}
+    expand = df.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("inv").alias("n_inv"),
+                                 F.count_distinct("c").alias("n_c"))
+    assert {r["g"]: (r["rows"], r["n_inv"], r["n_c"]) for r in expand.collect()} == got
