@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortcart.functions.bands import rank_of
@@ -15,13 +15,16 @@ def share_by(df: DataFrame, label: str, count_name: str, pct_name: str,
              count_col: str | None = None, sort: bool = True) -> DataFrame:
     """Rows (or non-NULL ``count_col`` values) per ``label`` and ``pct(count, all rows)``.
 
-    Meant for labels of bounded cardinality (categories, bands): the input is scanned once,
-    aggregated to one row per label, and the total is a sum over those few rows.
+    The input is aggregated to one row per label; the total is a 1-row sum over that result,
+    broadcast back.  Both branches read the same aggregate exchange, so the input is scanned
+    once, and no step gathers the labels in one partition whatever their number.
     """
     counter = F.count(F.col(count_col)) if count_col else F.count(F.lit(1))
     grouped = df.groupBy(label).agg(counter.alias(count_name), F.count(F.lit(1)).alias("_rows"))
-    total = F.sum("_rows").over(Window.partitionBy())           # all rows; summed over one row per label
-    out = grouped.withColumn(pct_name, pct(F.col(count_name), total)).drop("_rows")
+    total = grouped.agg(F.sum("_rows").alias("_total"))          # one row
+    out = (grouped.crossJoin(F.broadcast(total))
+           .withColumn(pct_name, pct(F.col(count_name), F.col("_total")))
+           .drop("_rows", "_total"))
     if sort and order is not None:
         out = out.orderBy(rank_of(label, order))
     return out
