@@ -39,13 +39,19 @@ class RiskBatchResult:
     first_alert_id: int
 
 
-def ensure_table(spark: SparkSession, name: str, columns: str, location: str | None = None) -> None:
-    """``CREATE TABLE IF NOT EXISTS`` (parquet), at ``location`` when given."""
+def ensure_table(spark: SparkSession, name: str, columns: str, location: str | None = None) -> bool:
+    """``CREATE TABLE IF NOT EXISTS`` (parquet), at ``location`` when given; True if it existed."""
+    existed = spark.catalog.tableExists(name)
     where = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{where}")
+    return existed
 
 
-def _max_id(spark: SparkSession, table: str) -> int:
+def _max_id(spark: SparkSession, table: str, may_hold_rows: bool = True) -> int:
+    """Largest ``ID`` so far; 0 without a scan for a managed table this run created.  A table
+    created at an explicit location may re-attach rows of earlier runs, so it is always read."""
+    if not may_hold_rows:
+        return 0
     return spark.table(table).agg(F.max("ID")).first()[0] or 0
 
 
@@ -56,15 +62,17 @@ def run_risk_batch(spark: SparkSession, admissions: DataFrame, run_ts: dt.dateti
     if run_ts is None:
         run_ts = dt.datetime.now().replace(microsecond=0)
     ts_text = run_ts.isoformat(sep=" ") if isinstance(run_ts, dt.datetime) else str(run_ts)
-    ensure_table(spark, risk_table, RISK_TABLE_COLUMNS, f"{location}/{risk_table}" if location else None)
-    ensure_table(spark, alerts_table, ALERTS_TABLE_COLUMNS, f"{location}/{alerts_table}" if location else None)
+    risk_existed = ensure_table(spark, risk_table, RISK_TABLE_COLUMNS,
+                                f"{location}/{risk_table}" if location else None)
+    alerts_existed = ensure_table(spark, alerts_table, ALERTS_TABLE_COLUMNS,
+                                  f"{location}/{alerts_table}" if location else None)
 
-    first_risk = _max_id(spark, risk_table)
+    first_risk = _max_id(spark, risk_table, risk_existed or location is not None)
     factors = risk_factors(flag_readmissions(admissions))
     records = risk_records(factors, ts_text, first_risk, id_source=admissions.select("Admission_ID"))
     records.write.insertInto(risk_table)
 
-    first_alert = _max_id(spark, alerts_table)
+    first_alert = _max_id(spark, alerts_table, alerts_existed or location is not None)
     alerts = build_alerts(spark.table(risk_table), ts_text[:10], ts_text, first_alert)
     alerts.write.insertInto(alerts_table)
     return RiskBatchResult(risk_table, alerts_table, ts_text, first_risk, first_alert)

@@ -195,3 +195,17 @@ def test_distinct_counts_keep_a_null_group(spark):
     expand = df.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("inv").alias("n_inv"),
                                  F.count_distinct("c").alias("n_c"))
     assert {r["g"]: (r["rows"], r["n_inv"], r["n_c"]) for r in expand.collect()} == got
+
+
+def test_risk_job_continues_ids_of_rows_at_an_existing_location(spark, tmp_location):
+    """After a restart an in-memory catalog has forgotten the tables; re-creating them over the
+    same location re-attaches the stored rows, and IDs must continue after them."""
+    rows = [admission(1, "a", D(2020, 1, 1), D(2020, 1, 3)), admission(2, "b", D(2020, 1, 2), D(2020, 1, 4))]
+    adm = admissions_df(spark, rows)
+    tables = dict(risk_table="risk_r", alerts_table="alerts_r", location=tmp_location)
+    run_risk_batch(spark, adm, "2021-01-01 09:00:00", **tables)
+    spark.sql("DROP TABLE risk_r")              # external tables: the files stay
+    spark.sql("DROP TABLE alerts_r")
+    second = run_risk_batch(spark, adm, "2021-01-02 09:00:00", **tables)
+    assert second.first_risk_id == 2
+    assert sorted(r[0] for r in spark.table("risk_r").select("ID").collect()) == [1, 2, 3, 4]
