@@ -18,6 +18,11 @@ def list_columns(df: DataFrame) -> DataFrame:
     return spark.createDataFrame([(f.name,) for f in df.schema.fields], "COLUMN_NAME string")
 
 
+def list_table_columns(spark, table: str) -> DataFrame:
+    """``COLUMN_NAME`` of every column of a catalog table, read from the catalog (no scan)."""
+    return spark.createDataFrame([(c.name,) for c in spark.catalog.listColumns(table)], "COLUMN_NAME string")
+
+
 def missing_audit(df: DataFrame, columns: Sequence[str] | None = None,
                   names: Sequence[str] | None = None, prefix: str = "Missing_") -> DataFrame:
     """One row with the number of NULLs of each column (NULL counts on an empty table are NULL).

@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from cohortcart.operators import readmission as RA
 from cohortcart.operators import rfm as RFM
+from cohortcart.plans.inspect import plan_text
 from cohortcart.plans.queries import TABLE_QUERIES, bind
 from cohortcart.session import scratch_path
 from cohortcart.sources import fixtures as FX
@@ -16,7 +17,7 @@ from tests.conftest import SF_SMALL
 
 
 def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    return plan_text(df)
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +97,21 @@ def test_breakdowns_add_up(spark):
         rows = qs[key](spark, SF_SMALL).collect()
         assert sum(r["readmissions"] for r in rows) == total, key
         assert sum(r[1] for r in rows) == 1500, key
+
+
+def test_alert_filters_reach_the_scan(spark, tmp_location):
+    from cohortcart.operators import risk as RK
+    from cohortcart.plans.queries import RUN_TS
+    adm = FX.admissions(spark, SF_SMALL)
+    RK.risk_records(RK.risk_factors(RA.flag_readmissions(adm)), RUN_TS).write.parquet(tmp_location)
+    alerts = RK.build_alerts(spark.read.parquet(tmp_location), RUN_TS[:10], RUN_TS)
+    p = plan_text(alerts, "formatted")                  # the simple mode truncates filter lists
+    pushed = [line for line in p.split("\n") if line.startswith("PushedFilters")][0]
+    assert "GreaterThanOrEqual(CalculationDate" in pushed and "LessThan(CalculationDate" in pushed
+    assert "In(RiskCategory" in pushed
+
+
+def test_list_table_columns_reads_the_catalog(spark, tmp_location):
+    from cohortcart.operators.quality import list_table_columns
+    spark.sql(f"CREATE TABLE cols_t (a INT, b STRING) USING parquet LOCATION '{tmp_location}'")
+    assert [r[0] for r in list_table_columns(spark, "cols_t").collect()] == ["a", "b"]
