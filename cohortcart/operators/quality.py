@@ -66,7 +66,8 @@ def profile(df: DataFrame, invoice: str = "InvoiceNo", customer: str = "Customer
     """Rows, distinct invoices / customers / products / countries, first and last day, day span.
 
     Each exact distinct count is its own two-phase aggregate over one column, so no row is
-    expanded per distinct column; the 1-row results are cross-joined.
+    expanded per distinct column; the 1-row results are cross-joined.  Each reads ``df`` again
+    (only its column when ``df`` is a stored table); checkpoint a costly derived input first.
     """
     day = F.to_date(F.col(date))
     base = df.agg(F.count(F.lit(1)).alias("TotalRows"),

@@ -65,3 +65,23 @@ def test_bucket_count_bounds():
     assert bucket_count(100_000_000, 8) == 50
     assert bucket_count(10**12, 8000) == 1024
     assert bucket_count(15_000, 8, rows_per_bucket=1000) == 16
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.one_of(st.none(), st.integers(-3, 3)), min_size=0, max_size=60),
+       tiles=st.integers(1, 7), buckets=st.integers(1, 6), ascending=st.booleans())
+def test_ntile_is_exact_for_any_split(spark, values, tiles, buckets, ascending):
+    """Whatever the ties, NULLs and number of sampled ranges, NTILE equals the brute force."""
+    rows = [(i, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "cid long, k int")
+    got = {r["cid"]: r["t"] for r in ntile(df, tiles, [("k", ascending), ("cid", True)], "t",
+                                           buckets=buckets).collect()}
+    nulls = [r for r in rows if r[1] is None]
+    known = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1] if ascending else -r[1], r[0]))
+    order = (nulls + known) if ascending else (known + nulls)
+    expected = dict(zip([r[0] for r in order], brute_ntile(order, tiles)))
+    assert got == expected
