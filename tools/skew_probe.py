@@ -5,7 +5,11 @@ one patient), then runs the readmission rate twice - with the library's ``readmi
 and with a plain ``LEAD ... OVER (PARTITION BY Name ...)`` window - and reports, from
 the Spark event log, the most rows one task read from a shuffle in each variant.
 
-usage: python tools/skew_probe.py [sf_dir]
+usage: python tools/skew_probe.py [sf_dir] [patient|copies]
+
+``copies`` also gives the hot patient's rows one day, so a third of the rows share
+one (patient, day) key: the day table combines them before its shuffle, and the
+join of rows to the day table relies on AQE splitting the hot partition.
 """
 
 from __future__ import annotations
@@ -62,20 +66,29 @@ def max_task_shuffle_rows(log_dir: str) -> dict[str, int]:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
+    scenario = sys.argv[2] if len(sys.argv) > 2 else "patient"
     log_dir = tempfile.mkdtemp(prefix="run-eventlog-", dir="/tmp")
-    # no partition coalescing: every hash partition is one task, as on a large input
+    # no partition coalescing: every hash partition is one task, as on a large input; AQE's skew
+    # thresholds scaled down to this input (defaults: 256MB and 5x the median)
     spark = build_session("local[8]", shuffle_partitions=32,
                           extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
-                                 "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+                                 "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                                 "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+                                 "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+                                 "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB"})
     root = scratch_path(spark, "skew-probe")
     adm = FX.admissions(spark, sf_dir)
-    skewed = adm.withColumn("Name", F.when(F.col("Admission_ID") % 3 == 0, F.lit("HOT PATIENT"))
-                            .otherwise(F.col("Name")))
-    skewed.write.parquet(root)
+    hot = F.col("Admission_ID") % 3 == 0
+    skewed = adm.withColumn("Name", F.when(hot, F.lit("HOT PATIENT")).otherwise(F.col("Name")))
+    if scenario == "copies":          # a third of the rows: one patient on one day
+        skewed = skewed.withColumn("Date_of_Admission", F.when(hot, F.lit("2000-01-01").cast("date"))
+                                   .otherwise(F.col("Date_of_Admission")))
+    skewed.repartition(32).write.parquet(root)
     table = load_admissions(spark, root)
     rows = table.count()
 
-    report = {"rows": rows, "hot_patient_rows": table.filter(F.col("Name") == "HOT PATIENT").count()}
+    report = {"scenario": scenario, "rows": rows,
+              "hot_patient_rows": table.filter(F.col("Name") == "HOT PATIENT").count()}
     variants = {
         "readmission_rate": lambda: RA.readmission_rate(table, "Medical_Condition", sort=False),
         "plain_window": lambda: RA.rate_from_flags(plain_flag(table), "Medical_Condition", sort=False),
