@@ -5,11 +5,13 @@ one patient), then runs the readmission rate twice - with the library's ``readmi
 and with a plain ``LEAD ... OVER (PARTITION BY Name ...)`` window - and reports, from
 the Spark event log, the most rows one task read from a shuffle in each variant.
 
-usage: python tools/skew_probe.py [sf_dir] [patient|copies]
+usage: python tools/skew_probe.py [sf_dir] [patient|copies|customer]
 
 ``copies`` also gives the hot patient's rows one day, so a third of the rows share
 one (patient, day) key: the day table combines them before its shuffle, and the
 join of rows to the day table relies on AQE splitting the hot partition.
+``customer`` gives a third of the sales lines to one customer and one invoice and
+reports the largest task of the per-customer aggregates.
 """
 
 from __future__ import annotations
@@ -64,6 +66,32 @@ def max_task_shuffle_rows(log_dir: str) -> dict[str, int]:
     return out
 
 
+def customer_probe(spark, sf_dir: str, root: str, log_dir: str) -> None:
+    """A third of the sales lines belong to one customer and one invoice: the per-customer
+    aggregates must combine them before any shuffle."""
+    from cohortcart.operators import rfm as RFM
+    from cohortcart.operators import sales as S
+    from cohortcart.sources.tables import load_transactions
+    tx = FX.transactions(spark, sf_dir)
+    hot = F.abs(F.xxhash64("InvoiceNo", "StockCode", "Quantity")) % 3 == 0
+    tx = (tx.withColumn("CustomerID", F.when(hot, F.lit(1)).otherwise(F.col("CustomerID")))
+          .withColumn("InvoiceNo", F.when(hot, F.lit("HOT")).otherwise(F.col("InvoiceNo"))))
+    tx.repartition(32).write.parquet(root)
+    table = load_transactions(spark, root)
+    report = {"scenario": "customer", "rows": table.count(),
+              "hot_customer_rows": table.filter(F.col("CustomerID") == 1).count()}
+    variants = {"rfm_values": lambda: RFM.rfm_values(table, "2002-01-01", sort=False),
+                "customer_behaviour": lambda: S.customer_behaviour(table),
+                "sales_segments": lambda: RFM.sales_segments(table, sort=False),
+                "rfm_scores": lambda: RFM.rfm_scores(table, "2002-01-01", sort=False)}
+    for label, build in variants.items():
+        spark.sparkContext.setJobGroup(label, label)
+        build().write.format("noop").mode("overwrite").save()
+    spark.stop()
+    report["max_task_shuffle_rows"] = max_task_shuffle_rows(log_dir)
+    print(json.dumps(report, default=str))
+
+
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     scenario = sys.argv[2] if len(sys.argv) > 2 else "patient"
@@ -77,6 +105,9 @@ def main() -> None:
                                  "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
                                  "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB"})
     root = scratch_path(spark, "skew-probe")
+    if scenario == "customer":
+        customer_probe(spark, sf_dir, root, log_dir)
+        return
     adm = FX.admissions(spark, sf_dir)
     hot = F.col("Admission_ID") % 3 == 0
     skewed = adm.withColumn("Name", F.when(hot, F.lit("HOT PATIENT")).otherwise(F.col("Name")))
