@@ -16,8 +16,9 @@ without that partition:
 * the next day per patient is a ``lead`` over ``days``, whose partitions hold at
   most one row per calendar day and patient - bounded by the calendar, not by
   the data;
-* a join on (patient, day) brings the two values back; AQE splits a skewed
-  (patient, day) partition of the row side.
+* a join on (patient, day) brings the two values back: a shuffled hash join built
+  on ``days`` (one row per key, so the build side has no hot key), whose streamed
+  row side AQE splits when one (patient, day) key holds many rows.
 """
 
 from __future__ import annotations
@@ -28,15 +29,13 @@ from pyspark.sql import functions as F
 from cohortcart.functions.bands import age_group, stay_length_group
 from cohortcart.functions.rounding import pct_half_up
 
-FLAG_COLUMNS = ("next_admission", "days_until_readmission", "is_readmission")
-
-
 def day_table(df: DataFrame, patient: str = "Name", admitted: str = "Date_of_Admission",
               tie_breaker: str = "Admission_ID") -> DataFrame:
     """One row per (patient, day): ``_p``, ``_d``, the day's last tie-breaker ``_last`` and
     ``_next_day``, the patient's next admission day (a ``lead`` over at most one row per patient
     and calendar day).  A partial aggregate: copies are combined before the shuffle."""
-    days = df.groupBy(F.col(patient).alias("_p"), F.col(admitted).alias("_d")).agg(F.max(tie_breaker).alias("_last"))
+    days = (df.groupBy(F.col(patient).alias("_p"), F.col(admitted).alias("_d"))
+            .agg(F.max(tie_breaker).alias("_last")))
     by_patient = Window.partitionBy("_p").orderBy(F.col("_d").asc_nulls_first())
     return days.withColumn("_next_day", F.lead("_d").over(by_patient))
 
