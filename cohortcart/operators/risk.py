@@ -59,10 +59,16 @@ def risk_factors(flagged: DataFrame, rulebook: dict = RISK_RULEBOOK) -> DataFram
             .withColumn("was_readmitted", F.col("is_readmission")))
 
 
-def score_risk(flagged: DataFrame, rulebook: dict = RISK_RULEBOOK, sort: bool = True) -> DataFrame:
-    """Per admission: the scored attributes, total score, category and observed readmission."""
-    out = risk_factors(flagged, rulebook).select(*SCORE_COLUMNS)
-    return out.orderBy(F.desc("total_risk_score")) if sort else out
+def score_risk(flagged: DataFrame, rulebook: dict = RISK_RULEBOOK, sort: bool = True,
+               tie_breaker: str = "Admission_ID") -> DataFrame:
+    """Per admission: the scored attributes, total score, category and observed readmission,
+    highest score first.  The score has a few hundred values at most, so the sort also orders by
+    the unique ``tie_breaker`` (not returned): the range partitioning of the sort can then split a
+    score shared by a large share of the rows."""
+    out = risk_factors(flagged, rulebook).select(*SCORE_COLUMNS, tie_breaker)
+    if sort:
+        out = out.orderBy(F.desc("total_risk_score"), F.asc(tie_breaker))
+    return out.drop(tie_breaker)
 
 
 def risk_records(factors: DataFrame, run_ts, start_id: int = 0, id_source: DataFrame | None = None,
@@ -97,8 +103,9 @@ def build_alerts(records: DataFrame, as_of, created_ts, start_id: int = 0) -> Da
 
 
 def risk_results(records: DataFrame) -> DataFrame:
-    """All persisted score records, highest score first."""
-    return records.orderBy(F.desc("TotalRiskScore"))
+    """All persisted score records, highest score first (then by ``ID``, which lets the range
+    partitioning of the sort split a score shared by many rows)."""
+    return records.orderBy(F.desc("TotalRiskScore"), F.asc("ID"))
 
 
 def risk_distribution(records: DataFrame, sort: bool = True) -> DataFrame:
