@@ -209,3 +209,17 @@ def test_risk_job_continues_ids_of_rows_at_an_existing_location(spark, tmp_locat
     second = run_risk_batch(spark, adm, "2021-01-02 09:00:00", **tables)
     assert second.first_risk_id == 2
     assert sorted(r[0] for r in spark.table("risk_r").select("ID").collect()) == [1, 2, 3, 4]
+
+
+def test_flag_strategies_agree(spark):
+    from tests.conftest import SF_SMALL
+    from cohortcart.sources import fixtures as FX
+    adm = FX.admissions(spark, SF_SMALL)
+    cols = ["Admission_ID", "next_admission", "days_until_readmission", "is_readmission"]
+    ref = RA.flag_readmissions(adm, strategy="day_table").select(cols)
+    assert RA.largest_history_is_bounded(adm)
+    for strategy in ["window", "auto"]:
+        other = RA.flag_readmissions(adm, strategy=strategy).select(cols)
+        assert ref.exceptAll(other).count() == 0 and other.exceptAll(ref).count() == 0, strategy
+    hot = adm.withColumn("Name", F.lit("one patient"))
+    assert not RA.largest_history_is_bounded(hot)
