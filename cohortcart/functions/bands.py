@@ -121,3 +121,31 @@ def sales_segment(total: Column | str = "TotalSales") -> Column:
 
 def risk_category(score: Column | str = "total_risk_score") -> Column:
     return first_match(score, RISK_CATEGORIES, RISK_CATEGORY_ELSE)
+
+
+# ---- SQL twins, for the oracle queries --------------------------------------------------
+
+def _sql_literal(value) -> str:
+    return f"'{value}'" if isinstance(value, str) else str(value)
+
+
+def condition_sql(col: str, cond: Sequence) -> str:
+    op = cond[0]
+    if op in ("<", ">", ">="):
+        return f"{col} {op} {_sql_literal(cond[1])}"
+    if op == "between":
+        return f"{col} BETWEEN {_sql_literal(cond[1])} AND {_sql_literal(cond[2])}"
+    if op == "==":
+        return f"{col} = {_sql_literal(cond[1])}"
+    if op == "in":
+        return f"{col} IN ({', '.join(_sql_literal(v) for v in cond[1])})"
+    raise ValueError(f"unknown condition {cond!r}")
+
+
+def first_match_sql(col: str, rules: Sequence, default) -> str:
+    arms = " ".join(f"WHEN {condition_sql(col, cond)} THEN {_sql_literal(value)}" for cond, value in rules)
+    return f"CASE {arms} ELSE {_sql_literal(default)} END"
+
+
+def rank_of_sql(col: str, order: Sequence[str]) -> str:
+    return first_match_sql(col, [(("==", label), i + 1) for i, label in enumerate(order)], len(order) + 1)

@@ -28,7 +28,7 @@ from cohortcart.sources import tables as T
 Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = FX.AS_OF
-RUN_TS = f"{AS_OF} 10:15:00"          # fixed run time of the scoring job in the registered queries
+RUN_TS = FX.RUN_TS
 
 ADM, TX = "admissions", "transactions"
 BUILDERS = {ADM: FX.admissions, TX: FX.transactions}
