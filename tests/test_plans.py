@@ -51,17 +51,29 @@ def test_rfm_scores_never_gathers_customers_in_one_partition(spark, stored):
 
 
 def test_readmission_rate_has_one_window_and_no_patient_partition(spark, stored):
-    df = RA.readmission_rate(load_admissions(spark, f"{stored}/admissions"), "Medical_Condition")
+    df = RA.readmission_rate(load_admissions(spark, f"{stored}/admissions"), "Medical_Condition",
+                             strategy="day_table")
     p = plan(df)
     assert p.count("Window [") == 1
     # the row-level data is never hash-partitioned by the patient alone
     assert not re.search(r"hashpartitioning\(Name#\d+, \d+\)", p)
 
 
+def test_readmission_rate_auto_picks_by_the_largest_history(spark, stored):
+    from pyspark.sql import functions as F
+    adm = load_admissions(spark, f"{stored}/admissions")
+    p = plan(RA.readmission_rate(adm, "Medical_Condition"))          # histories of ~10 stays: plain window
+    assert re.search(r"hashpartitioning\(Name#\d+, \d+\)", p) and p.count("Window [") == 1
+    assert p.count("Exchange") == 3
+    hot = adm.withColumn("Name", F.when(F.col("Admission_ID") % 3 == 0, F.lit("hot")).otherwise(F.col("Name")))
+    p = plan(RA.readmission_rate(hot, "Medical_Condition"))          # one patient with a third: day table
+    assert not re.search(r"hashpartitioning\(Name#\d+, \d+\)", p)
+
+
 def test_flagged_rows_and_direct_rates_agree(spark, stored):
     adm = load_admissions(spark, f"{stored}/admissions")
     for dim in ["Medical_Condition", "Medication"]:
-        direct = sorted(map(tuple, RA.readmission_rate(adm, dim, sort=False).collect()), key=str)
+        direct = sorted(map(tuple, RA.readmission_rate(adm, dim, sort=False).collect()), key=str)  # auto
         flagged = sorted(map(tuple, RA.rate_from_flags(RA.flag_readmissions(adm), dim, sort=False).collect()),
                          key=str)
         assert direct == flagged
