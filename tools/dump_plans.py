@@ -34,7 +34,9 @@ def main() -> None:
     out = ["# Physical plans of the headline queries", "",
            "Generated by `tools/dump_plans.py` over the sf0.01 fixture tables stored as parquet, with",
            "`spark.sql.shuffle.partitions=200` and AQE on (AQE re-plans at run time: it coalesces",
-           "partitions, may switch joins to broadcast and splits skewed join partitions).", ""]
+           "partitions, may switch joins to broadcast and splits skewed join partitions).",
+           "`readmit_rate_condition` shows the plain-window path, chosen because no patient history in the",
+           "fixture exceeds a task's share; `risk_score` shows the skew-safe day-table path.", ""]
     for key in HEADLINE:
         df = bind(key, lambda s, src, t: loaders[t](s, f"{src}/{t}"))(spark, root)
         text = plan_text(df).strip().replace(root, "<stored>")
