@@ -54,3 +54,14 @@ def test_multi_range_ranking_matches_oracle(spark):
                               id_source=adm.select("Admission_ID"), rows_per_bucket=1000)   # 15 ranges
     assert compare(records, sql["risk_batch"], con)["ok"]
     assert ranking.bucket_count(15000, 1, rows_per_bucket=1000) == 15
+
+
+@pytest.mark.parametrize("key", ["transactions_scan", "monthly_trend", "rfm_values", "risk_alerts"])
+def test_results_do_not_depend_on_the_session_time_zone(spark, con, key):
+    """Timestamps are wall-clock (TIMESTAMP_NTZ) and literals are cast from text."""
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        res = compare(entry.queries()[key](spark, SF_SMALL), entry.oracle_sql()[key], con)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert res["ok"], res
