@@ -28,6 +28,14 @@ HEADLINE = ["readmit_rate_condition", "risk_score", "risk_batch", "dataset_profi
 LOADERS = {"admissions": load_admissions, "transactions": load_transactions}
 
 
+def _scale_factor(sf_dir: str):
+    name = os.path.basename(sf_dir).replace("sf", "")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def _timed(fn) -> float:
     t = time.perf_counter()
     fn()
@@ -70,7 +78,7 @@ def main() -> None:
     headline = {k: results[k] for k in HEADLINE if k in results}
     print(json.dumps({
         "metric": "headline_sum_median_sec", "value": round(sum(headline.values()), 4), "unit": "sec",
-        "queries": results, "headline": HEADLINE, "sf": os.path.basename(sf_dir).replace("sf", ""),
+        "queries": results, "headline": HEADLINE, "sf": _scale_factor(sf_dir),
         "cpus": cpus, "shuffle_partitions": partitions, "runs": runs,
         "input_build_sec": round(fixture_sec, 3), "input_files": files, "spark": spark.version,
     }))
