@@ -127,3 +127,20 @@ def test_list_table_columns_reads_the_catalog(spark, tmp_location):
     from cohortcart.operators.quality import list_table_columns
     spark.sql(f"CREATE TABLE cols_t (a INT, b STRING) USING parquet LOCATION '{tmp_location}'")
     assert [r[0] for r in list_table_columns(spark, "cols_t").collect()] == ["a", "b"]
+
+
+def test_results_do_not_depend_on_input_partitioning(spark):
+    from cohortcart.operators import sales as S
+    adm = FX.admissions(spark, SF_SMALL)
+    tx = FX.transactions(spark, SF_SMALL)
+    cases = [
+        (lambda a, t: RA.readmission_rate(a, "Medication", sort=False), (adm, tx)),
+        (lambda a, t: RA.flag_readmissions(a).select("Admission_ID", "is_readmission"), (adm, tx)),
+        (lambda a, t: RFM.rfm_scores(t, "2002-01-01", sort=False, buckets=3), (adm, tx)),
+        (lambda a, t: S.country_sales(t, sort=False), (adm, tx)),
+    ]
+    for build, (a, t) in cases:
+        base = sorted(map(tuple, build(a, t).collect()), key=str)
+        for n in (1, 7):
+            again = sorted(map(tuple, build(a.repartition(n), t.repartition(n)).collect()), key=str)
+            assert again == base
