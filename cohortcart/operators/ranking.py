@@ -5,15 +5,16 @@ as one task over all rows.  Here the total order is cut into ordered ranges:
 
 1. the sort key becomes one ascending struct (``NULLS FIRST`` for ascending keys,
    ``NULLS LAST`` with negated values for descending numeric/date keys);
-2. a bounded random sample of keys, sorted by Spark, gives split keys; they are
-   inlined as literals, so a row's range is a pure function of its key and every
-   retry recomputes the same range;
+2. a bounded random sample of keys (about 64 per range, sorted on the driver in
+   Spark's struct order) gives split keys; they are inlined as literals, so a row's
+   range is a pure function of its key and every retry recomputes the same range;
 3. rows per range (a ``<= max_buckets``-row aggregate) give each range's offset,
    broadcast back (its size is bounded by ``max_buckets``);
 4. global number = offset + ``row_number()`` inside the range.
 
 The result is exact whatever the sample: the splits only affect balance.  The
-order must be total (end it with a unique column).
+order must be total (end it with a unique column).  Up to ``SINGLE_RANGE_ROWS``
+rows one range is used: no sample, no offsets, one window task.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ def global_row_number(df: DataFrame, order: Order, out: str = "row_number", key_
         buckets = bucket_count(n, parallelism, rows_per_bucket, max_buckets)
     splits = _splits(src_keys, n, min(buckets, max_buckets), seed)
     cols = [F.col(c) for c in df.columns]
-    if not splits:                          # one range of at most rows_per_bucket rows
+    if not splits:                          # one range (n <= SINGLE_RANGE_ROWS, or one bucket asked for)
         number = F.row_number().over(Window.orderBy(sort_key(df, order)))
         return df.select(*cols, number.cast("long").alias(out)), n
 
