@@ -35,6 +35,7 @@ SINGLE_RANGE_ROWS = 500_000      # up to here one range beats the sampling job a
 RANGES_PER_CORE = 2              # above it, at least this many ranges per core of the cluster
 MAX_BUCKETS = 1024               # bounds the split literals, the sample and the broadcast offsets
 SAMPLES_PER_BUCKET = 64
+CASE_TREE_MAX_SPLITS = 64        # above this, the split search is one array literal + a binary-search fold
 
 
 def sort_key(df: DataFrame, order: Order) -> Column:
@@ -61,16 +62,35 @@ def _literal(value, struct_type: StructType) -> Column:
 
 
 def _range_of(key: Column, splits: list, struct_type: StructType) -> Column:
-    """Number of splits ``<= key``: a balanced binary search of CASE expressions."""
-    lits = [_literal(s, struct_type) for s in splits]
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < lits[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+    """Number of splits ``<= key``, by binary search over the sorted splits.
 
-    return search(0, len(lits))
+    Few splits: a balanced tree of CASE expressions (fully code-generated).  Many: the same
+    search as one ``aggregate`` fold over ``log2`` steps that reads an array literal of the
+    splits, whose generated code does not grow with the number of splits (a CASE tree of
+    hundreds of struct literals exceeds the JVM's method size limits).
+    """
+    lits = [_literal(s, struct_type) for s in splits]
+    if len(lits) <= CASE_TREE_MAX_SPLITS:
+        def search(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(key < lits[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+
+        return search(0, len(lits))
+
+    table = F.array(*lits)                                   # constant-folded to one literal
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(lits)).alias("hi"))
+
+    def step(bounds: Column, _: Column) -> Column:
+        lo, hi = bounds["lo"], bounds["hi"]
+        mid = F.shiftright(lo + hi, 1)
+        left = F.struct(lo.alias("lo"), mid.alias("hi"))
+        right = F.struct((mid + 1).alias("lo"), hi.alias("hi"))
+        return F.when(lo >= hi, bounds).when(key < table[mid], left).otherwise(right)
+
+    steps = F.sequence(F.lit(1), F.lit(len(lits).bit_length()))
+    return F.aggregate(steps, start, step, lambda bounds: bounds["lo"])
 
 
 def _python_order(key) -> tuple:

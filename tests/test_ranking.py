@@ -85,3 +85,17 @@ def test_ntile_is_exact_for_any_split(spark, values, tiles, buckets, ascending):
     order = (nulls + known) if ascending else (known + nulls)
     expected = dict(zip([r[0] for r in order], brute_ntile(order, tiles)))
     assert got == expected
+
+
+def test_many_ranges_use_the_fold_search_and_stay_exact(spark, skewed):
+    """Above CASE_TREE_MAX_SPLITS the split search is an array fold; same exact numbering."""
+    from cohortcart.operators.ranking import CASE_TREE_MAX_SPLITS
+    buckets = CASE_TREE_MAX_SPLITS + 36
+    out = ntile(skewed, 5, [("m", False), ("cid", True)], "t", buckets=buckets).toPandas()
+    pdf = skewed.toPandas().sort_values(["m", "cid"], ascending=[False, True], na_position="last")
+    expected = pd.Series(brute_ntile(pdf, 5), index=pdf["cid"].values)
+    assert (out.set_index("cid")["t"].sort_index() == expected.sort_index()).all()
+    ranked, n = global_row_number(skewed, [("k", True), ("cid", True)], "rn", buckets=buckets)
+    got = ranked.select("cid", "rn").toPandas().sort_values("rn")
+    want = skewed.toPandas().sort_values(["k", "cid"], na_position="first")
+    assert got["cid"].tolist() == want["cid"].tolist()
