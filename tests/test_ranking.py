@@ -2,6 +2,8 @@
 
 import pandas as pd
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cohortcart.operators.ranking import bucket_count, global_row_number, ntile
@@ -40,15 +42,13 @@ def test_row_number_matches_pandas_sort(spark, skewed, ascending):
 
 
 def test_ranges_are_balanced_under_a_hot_key(spark, skewed):
-    ranked, _ = global_row_number(skewed, [("k", True), ("cid", True)], "rn", buckets=16)
     # each range is one window partition: the largest must stay far below the hot key's third
-    keyed = skewed.withColumn("_rn", F.lit(1))
     from cohortcart.operators.ranking import _range_of, _splits, sort_key
     keys = skewed.select(sort_key(skewed, [("k", True), ("cid", True)]).alias("_k"))
     splits = _splits(keys, 6000, 16, 17)
     sizes = keys.groupBy(_range_of(F.col("_k"), splits, keys.schema["_k"].dataType).alias("b")).count()
     assert max(r["count"] for r in sizes.collect()) < 1000
-    assert keyed.count() == ranked.count()
+    assert sum(r["count"] for r in sizes.collect()) == 6000
 
 
 def test_ntile_matches_brute_force(spark, skewed):
@@ -67,10 +67,6 @@ def test_bucket_count_bounds():
     assert bucket_count(15_000, 8, rows_per_bucket=1000) == 16
 
 
-from hypothesis import HealthCheck, given, settings  # noqa: E402
-from hypothesis import strategies as st  # noqa: E402
-
-
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(values=st.lists(st.one_of(st.none(), st.integers(-3, 3)), min_size=0, max_size=60),
        tiles=st.integers(1, 7), buckets=st.integers(1, 6), ascending=st.booleans())
