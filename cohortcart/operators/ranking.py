@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StructType
 
 from cohortcart.functions.rounding import idiv
+from cohortcart.session import cluster_parallelism
 
 Order = Sequence[tuple[str, bool]]      # (column, ascending)
 
@@ -142,7 +143,7 @@ def global_row_number(df: DataFrame, order: Order, out: str = "row_number", key_
     if n is None:
         n = src_keys.count()
     if buckets is None:
-        parallelism = df.sparkSession.sparkContext.defaultParallelism
+        parallelism = cluster_parallelism(df.sparkSession)
         buckets = bucket_count(n, parallelism, rows_per_bucket, max_buckets)
     splits = _splits(src_keys, n, min(buckets, max_buckets), seed)
     cols = [F.col(c) for c in df.columns]

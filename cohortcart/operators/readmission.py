@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from cohortcart.functions.bands import age_group, stay_length_group
 from cohortcart.functions.rounding import pct_half_up
+from cohortcart.session import cluster_parallelism
 
 WINDOW_MAX_GROUP_ROWS = 1_000_000     # never more than this many rows of one patient in a window task
 
@@ -60,7 +61,7 @@ def largest_history_is_bounded(df: DataFrame, patient: str = "Name",
              .agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first())
     if stats["largest"] is None:
         return True
-    share = stats["total"] // (2 * df.sparkSession.sparkContext.defaultParallelism)
+    share = stats["total"] // (2 * cluster_parallelism(df.sparkSession))
     return stats["largest"] <= min(max_group_rows, max(share, 1))
 
 

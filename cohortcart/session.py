@@ -33,9 +33,21 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def cluster_parallelism(spark: SparkSession) -> int:
+    """Cores of the cluster (``defaultParallelism``); the shuffle partitions where no context is
+    exposed to Python (Spark Connect)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no JVM context in this client
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the cluster's checkpoint directory; set a local one only when none is configured."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's configuration applies
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -47,5 +59,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint directory (never machine-local on a cluster)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/cohortcart-{name}-{uuid.uuid4().hex[:12]}"
