@@ -8,13 +8,15 @@ as one task over all rows.  Here the total order is cut into ordered ranges:
 2. a bounded random sample of keys (about 64 per range, sorted on the driver in
    Spark's struct order) gives split keys; they are inlined as literals, so a row's
    range is a pure function of its key and every retry recomputes the same range;
-3. rows per range (a ``<= max_buckets``-row aggregate) give each range's offset,
-   broadcast back (its size is bounded by ``max_buckets``);
-4. global number = offset + ``row_number()`` inside the range.
+3. rows per range (at most ``max_buckets`` numbers per order, one small job) give
+   each range's offset, inlined as a literal array;
+4. global number = offset + ``row_number()`` inside the range, a window partitioned
+   by range (a hash exchange, never a single partition).
 
 The result is exact whatever the sample: the splits only affect balance.  The
-order must be total (end it with a unique column).  Up to ``SINGLE_RANGE_ROWS``
-rows one range is used: no sample, no offsets, one window task.
+order must be total (end it with a unique column).  Several orders over the same
+rows (the three RFM quintiles) share the count, the sample and the range counts.
+Inputs with fewer rows than one range's sample keep one range.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, StructType
+from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, StructType, TimestampNTZType
 
 from cohortcart.functions.rounding import idiv
 from cohortcart.session import cluster_parallelism
@@ -32,8 +34,7 @@ from cohortcart.session import cluster_parallelism
 Order = Sequence[tuple[str, bool]]      # (column, ascending)
 
 ROWS_PER_BUCKET = 2_000_000      # upper target for one range (one window task)
-SINGLE_RANGE_ROWS = 500_000      # up to here one range beats the sampling job and the offset join
-RANGES_PER_CORE = 2              # above it, at least this many ranges per core of the cluster
+RANGES_PER_CORE = 2              # at least this many ranges per core of the cluster
 MAX_BUCKETS = 1024               # bounds the split literals, the sample and the broadcast offsets
 SAMPLES_PER_BUCKET = 64
 CASE_TREE_MAX_SPLITS = 64        # above this, the split search is one array literal + a binary-search fold
@@ -58,30 +59,52 @@ def sort_key(df: DataFrame, order: Order) -> Column:
     return F.struct(*fields)
 
 
-def _literal(value, struct_type: StructType) -> Column:
-    return F.struct(*[F.lit(value[f.name]).cast(f.dataType).alias(f.name) for f in struct_type.fields])
+def _sql_literal(value, dtype) -> str:
+    """A typed SQL literal for one field of a sampled key."""
+    t = dtype.simpleString()
+    if value is None:
+        return f"CAST(NULL AS {t})"
+    if isinstance(dtype, BooleanType):
+        return "TRUE" if value else "FALSE"
+    if isinstance(dtype, StringType):
+        return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(dtype, DateType):
+        return f"DATE '{value.isoformat()}'"
+    if isinstance(dtype, TimestampNTZType):
+        return f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'"
+    if isinstance(dtype, NumericType):
+        return f"CAST('{value}' AS {t})"
+    raise TypeError(f"unsupported sort key type {t}")
+
+
+def _split_table(splits: list, struct_type: StructType) -> Column:
+    """The sorted split keys as one array literal (one expression, constant-folded)."""
+    items = ", ".join("named_struct(" + ", ".join(f"'{f.name}', {_sql_literal(s[f.name], f.dataType)}"
+                                                  for f in struct_type.fields) + ")" for s in splits)
+    return F.expr(f"array({items})")
 
 
 def _range_of(key: Column, splits: list, struct_type: StructType) -> Column:
     """Number of splits ``<= key``, by binary search over the sorted splits.
 
-    Few splits: a balanced tree of CASE expressions (fully code-generated).  Many: the same
-    search as one ``aggregate`` fold over ``log2`` steps that reads an array literal of the
-    splits, whose generated code does not grow with the number of splits (a CASE tree of
-    hundreds of struct literals exceeds the JVM's method size limits).
+    The splits are one array literal.  Few splits: a balanced tree of CASE expressions over its
+    elements (fully code-generated).  Many: the same search as one ``aggregate`` fold over
+    ``log2`` steps, whose generated code does not grow with the number of splits (a CASE tree
+    of hundreds of struct literals exceeds the JVM's method size limits).
     """
-    lits = [_literal(s, struct_type) for s in splits]
-    if len(lits) <= CASE_TREE_MAX_SPLITS:
+    if not splits:
+        return F.lit(0)
+    table = _split_table(splits, struct_type)
+    if len(splits) <= CASE_TREE_MAX_SPLITS:
         def search(lo: int, hi: int) -> Column:
             if lo == hi:
                 return F.lit(lo)
             mid = (lo + hi) // 2
-            return F.when(key < lits[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+            return F.when(key < table[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
 
-        return search(0, len(lits))
+        return search(0, len(splits))
 
-    table = F.array(*lits)                                   # constant-folded to one literal
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(lits)).alias("hi"))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(splits)).alias("hi"))
 
     def step(bounds: Column, _: Column) -> Column:
         lo, hi = bounds["lo"], bounds["hi"]
@@ -90,7 +113,7 @@ def _range_of(key: Column, splits: list, struct_type: StructType) -> Column:
         right = F.struct((mid + 1).alias("lo"), hi.alias("hi"))
         return F.when(lo >= hi, bounds).when(key < table[mid], left).otherwise(right)
 
-    steps = F.sequence(F.lit(1), F.lit(len(lits).bit_length()))
+    steps = F.sequence(F.lit(1), F.lit(len(splits).bit_length()))
     return F.aggregate(steps, start, step, lambda bounds: bounds["lo"])
 
 
@@ -100,77 +123,109 @@ def _python_order(key) -> tuple:
     return tuple((0,) if v is None else (1, v) for v in key)
 
 
-def _splits(keys: DataFrame, n: int, buckets: int, seed: int) -> list:
-    if buckets <= 1 or n == 0:
+def _pick_splits(sample_keys: list, buckets: int) -> list:
+    """``buckets - 1`` evenly spaced keys of the sorted sample, without repeats."""
+    if buckets <= 1 or not sample_keys:
         return []
-    fraction = min(1.0, buckets * SAMPLES_PER_BUCKET / n)
-    sample = [r[0] for r in keys.sample(False, fraction, seed).collect()]   # ~buckets * 64 rows
-    sample.sort(key=_python_order)
-    if not sample:
-        return []
-    picks = [sample[(len(sample) * j) // buckets] for j in range(1, buckets)]
+    keys = sorted(sample_keys, key=_python_order)
     out = []
-    for p in picks:
-        if not out or p != out[-1]:
-            out.append(p)
+    for j in range(1, buckets):
+        pick = keys[(len(keys) * j) // buckets]
+        if not out or pick != out[-1]:
+            out.append(pick)
     return out
 
 
 def bucket_count(n: int, parallelism: int = 1, rows_per_bucket: int = ROWS_PER_BUCKET,
                  max_buckets: int = MAX_BUCKETS) -> int:
-    """Ranges for ``n`` rows: one up to ``SINGLE_RANGE_ROWS`` (cheaper than sampling); above, enough
-    to keep each range under ``rows_per_bucket`` rows and every core busy, at most ``max_buckets``."""
-    if n <= min(SINGLE_RANGE_ROWS, rows_per_bucket):
-        return 1
+    """Ranges for ``n`` rows: enough to keep each under ``rows_per_bucket`` rows and every core
+    busy (``RANGES_PER_CORE`` per core), at most ``max_buckets``, and no range expected to hold
+    fewer rows than one range's sample (so tiny inputs keep one range)."""
     wanted = max(math.ceil(n / rows_per_bucket), RANGES_PER_CORE * parallelism)
-    return max(1, min(max_buckets, wanted))
+    return max(1, min(max_buckets, wanted, n // SAMPLES_PER_BUCKET))
 
 
-def global_row_number(df: DataFrame, order: Order, out: str = "row_number", key_source: DataFrame | None = None,
-                      n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-                      max_buckets: int = MAX_BUCKETS, buckets: int | None = None,
-                      seed: int = 17) -> tuple[DataFrame, int]:
-    """Add ``out`` = 1-based position of each row in ``order``; returns ``(frame, row count)``.
-
-    ``key_source`` may be a cheaper DataFrame holding the same multiset of order columns
-    (e.g. the base table behind a derived one, or a checkpoint); statistics are taken there.
-    ``n`` is its row count when already known.  Runs up to two small jobs now (count,
-    sample); the returned frame is lazy.
+def _tile(number: Column, n: int, tiles: int) -> Column:
+    """NTILE from a 1-based row number: the first ``n % tiles`` tiles get one extra row."""
+    q, r = divmod(n, tiles)
+    i = number - 1
+    big = r * (q + 1)                      # rows in the larger tiles
+    tile = idiv(i, F.lit(q + 1)) + 1
+    if q > 0:
+        tile = F.when(i < big, tile).otherwise(idiv(i - big, F.lit(q)) + r + 1)
+    return tile.cast("int")
+
+
+def global_row_numbers(df: DataFrame, orders: dict[str, Order], key_source: DataFrame | None = None,
+                       n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
+                       max_buckets: int = MAX_BUCKETS, buckets: int | None = None,
+                       seed: int = 17) -> tuple[DataFrame, int]:
+    """Add one column per entry of ``orders`` (name -> order): the 1-based position of each row
+    in that order.  Returns ``(frame, row count)``.
+
+    ``key_source`` may be a cheaper DataFrame holding the same multiset of order columns (the
+    base table behind a derived one, or a checkpoint); the statistics of all orders come from it
+    in at most three small jobs run now - a count (skipped when ``n`` is given), one sample and
+    one count of rows per range (at most ``len(orders) * max_buckets`` numbers).  The offsets
+    are then literals: the returned frame is lazy, has no join and no single-partition step
+    (unless the input is too small to be worth more than one range).
     """
     src = key_source if key_source is not None else df
-    src_keys = src.select(sort_key(src, order).alias("_k"))
-    struct_type = src_keys.schema["_k"].dataType
+    names = list(orders)
+    keys = src.select(*[sort_key(src, orders[o]).alias(f"_k{i}") for i, o in enumerate(names)])
+    types = [keys.schema[f"_k{i}"].dataType for i in range(len(names))]
     if n is None:
-        n = src_keys.count()
+        n = keys.count()
     if buckets is None:
-        parallelism = cluster_parallelism(df.sparkSession)
-        buckets = bucket_count(n, parallelism, rows_per_bucket, max_buckets)
-    splits = _splits(src_keys, n, min(buckets, max_buckets), seed)
+        buckets = bucket_count(n, cluster_parallelism(df.sparkSession), rows_per_bucket, max_buckets)
+    buckets = min(buckets, max_buckets)
     cols = [F.col(c) for c in df.columns]
-    if not splits:                          # one range (n <= SINGLE_RANGE_ROWS, or one bucket asked for)
-        number = F.row_number().over(Window.orderBy(sort_key(df, order)))
-        return df.select(*cols, number.cast("long").alias(out)), n
+    if buckets <= 1 or n == 0:
+        numbers = [F.row_number().over(Window.orderBy(sort_key(df, orders[o]))).cast("long").alias(o)
+                   for o in names]
+        return df.select(*cols, *numbers), n
+
+    sample = keys.sample(False, min(1.0, buckets * SAMPLES_PER_BUCKET / n), seed).collect()  # bounded
+    splits = [_pick_splits([row[i] for row in sample], buckets) for i in range(len(names))]
+    # one range expression per order over its key column "_k<i>", used for the counts and the numbers
+    ranges = [_range_of(F.col(f"_k{i}"), splits[i], types[i]) for i in range(len(names))]
+    tagged = keys.select(F.explode(F.array(*[F.struct(F.lit(i).alias("o"), r.alias("b"))
+                                              for i, r in enumerate(ranges)])).alias("t"))
+    counts = {(r["o"], r["b"]): r["c"]        # at most len(orders) * max_buckets rows
+              for r in tagged.groupBy("t.o", "t.b").agg(F.count(F.lit(1)).alias("c")).collect()}
+
+    numbers = []
+    for i, name in enumerate(names):
+        offsets, total = [], 0
+        for b in range(len(splits[i]) + 1):
+            offsets.append(total)
+            total += counts.get((i, b), 0)
+        offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col(f"_b{i}") + 1)
+        within = F.row_number().over(Window.partitionBy(f"_b{i}").orderBy(f"_k{i}"))
+        numbers.append((within + offset).cast("long").alias(name))
+    staged = df.select(*cols, *[sort_key(df, orders[o]).alias(f"_k{i}") for i, o in enumerate(names)])
+    staged = staged.select("*", *[r.alias(f"_b{i}") for i, r in enumerate(ranges)])
+    return staged.select(*cols, *numbers), n
+
 
-    counts = (src_keys.select(_range_of(F.col("_k"), splits, struct_type).alias("_b"))
-              .groupBy("_b").agg(F.count(F.lit(1)).alias("_c")))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)   # over <= max_buckets rows
-    offsets = counts.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+def global_row_number(df: DataFrame, order: Order, out: str = "row_number", key_source: DataFrame | None = None,
+                      **kwargs) -> tuple[DataFrame, int]:
+    """``global_row_numbers`` for one order."""
+    return global_row_numbers(df, {out: order}, key_source, **kwargs)
 
-    keyed = df.withColumn("_k", sort_key(df, order))
-    keyed = keyed.withColumn("_b", _range_of(F.col("_k"), splits, struct_type))
-    ranked = keyed.join(F.broadcast(offsets), "_b", "inner")
-    number = F.row_number().over(Window.partitionBy("_b").orderBy("_k")) + F.col("_off")
-    return ranked.select(*cols, number.cast("long").alias(out)), n
+
+def ntiles(df: DataFrame, tiles: int, orders: dict[str, Order], key_source: DataFrame | None = None,
+           **kwargs) -> DataFrame:
+    """``NTILE(tiles) OVER (ORDER BY order)`` for each entry of ``orders`` (name -> order),
+    sharing one set of statistics jobs."""
+    numbered = {f"_rn_{name}": order for name, order in orders.items()}
+    ranked, n = global_row_numbers(df, numbered, key_source, **kwargs)
+    for name in orders:
+        ranked = ranked.withColumn(name, _tile(F.col(f"_rn_{name}"), n, tiles)).drop(f"_rn_{name}")
+    return ranked
 
 
 def ntile(df: DataFrame, tiles: int, order: Order, out: str, key_source: DataFrame | None = None,
           **kwargs) -> DataFrame:
     """``NTILE(tiles) OVER (ORDER BY order)``: the first ``n % tiles`` tiles get one extra row."""
-    ranked, n = global_row_number(df, order, "_rn", key_source=key_source, **kwargs)
-    q, r = divmod(n, tiles)
-    i = F.col("_rn") - 1
-    big = r * (q + 1)                      # rows in the larger tiles
-    tile = idiv(i, F.lit(q + 1)) + 1
-    if q > 0:
-        tile = F.when(i < big, tile).otherwise(idiv(i - big, F.lit(q)) + r + 1)
-    return ranked.withColumn(out, tile.cast("int")).drop("_rn")
+    return ntiles(df, tiles, {out: order}, key_source, **kwargs)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortcart.functions.bands import SALES_SEGMENT_ORDER, SALES_SEGMENTS, first_match, SALES_SEGMENT_ELSE
 from cohortcart.functions.rounding import pct_half_up_decimal
-from cohortcart.operators.ranking import ntile
+from cohortcart.operators.ranking import ntiles
 from cohortcart.operators.sales import MONEY
 from cohortcart.operators.shares import share_by
 
@@ -46,16 +46,14 @@ def rfm_scores(df: DataFrame, as_of, tiles: int = 5, best_high: bool = False, so
     ``best_high=True`` the scale is flipped so that ``tiles`` is best.
 
     The per-customer values are checkpointed once (in the session's checkpoint directory):
-    the three exact distributed NTILEs then read that instead of re-aggregating the lines.
+    the three exact distributed NTILEs read that, sharing one count, one sample and one job
+    of per-range counts, instead of re-aggregating the lines.
     """
     values = rfm_values(df, as_of, sort=False).checkpoint(eager=True)
-    n = values.count()
-    scored = values
-    for column, ascending, name in (("Recency", True, "RecencyScore"),
-                                    ("Frequency", False, "FrequencyScore"),
-                                    ("Monetary", False, "MonetaryScore")):
-        scored = ntile(scored, tiles, [(column, ascending), ("CustomerID", True)], name,
-                       key_source=values, n=n, **ntile_options)
+    orders = {"RecencyScore": [("Recency", True), ("CustomerID", True)],
+              "FrequencyScore": [("Frequency", False), ("CustomerID", True)],
+              "MonetaryScore": [("Monetary", False), ("CustomerID", True)]}
+    scored = ntiles(values, tiles, orders, key_source=values, **ntile_options)
     scores = ["RecencyScore", "FrequencyScore", "MonetaryScore"]
     cols = [(tiles + 1 - F.col(c)).alias(c) if best_high else F.col(c) for c in scores]
     out = scored.select("CustomerID", *cols)
