@@ -79,8 +79,12 @@ def _sql_literal(value, dtype) -> str:
 
 def _split_table(splits: list, struct_type: StructType) -> Column:
     """The sorted split keys as one array literal (one expression, constant-folded)."""
-    items = ", ".join("named_struct(" + ", ".join(f"'{f.name}', {_sql_literal(s[f.name], f.dataType)}"
-                                                  for f in struct_type.fields) + ")" for s in splits)
+    try:
+        items = ", ".join("named_struct(" + ", ".join(f"'{f.name}', {_sql_literal(s[f.name], f.dataType)}"
+                                                      for f in struct_type.fields) + ")" for s in splits)
+    except TypeError:                      # other key types: typed literals through the Column API
+        return F.array(*[F.struct(*[F.lit(s[f.name]).cast(f.dataType).alias(f.name) for f in struct_type.fields])
+                         for s in splits])
     return F.expr(f"array({items})")
 
 

@@ -96,3 +96,20 @@ def test_many_ranges_use_the_fold_search_and_stay_exact(spark, skewed):
     got = ranked.select("cid", "rn").toPandas().sort_values("rn")
     want = skewed.toPandas().sort_values(["k", "cid"], na_position="first")
     assert got["cid"].tolist() == want["cid"].tolist()
+
+
+def test_string_and_date_keys_with_awkward_values(spark):
+    """Split keys are rendered as SQL literals: quotes, backslashes, NULLs and dates must survive."""
+    import datetime as dt
+    names = ["O'Brien", "back\\slash", "plain", None, "ünïcode", "a'b\\'c", "zz"]
+    rows = [(i, names[i % len(names)], dt.date(2000, 1, 1) + dt.timedelta(days=i % 37)) for i in range(700)]
+    df = spark.createDataFrame(rows, "cid long, name string, day date")
+    got, n = global_row_number(df, [("name", True), ("day", False), ("cid", True)], "rn", buckets=9)
+    pdf = df.toPandas()
+    pdf["null_name"] = pdf["name"].isna()
+    pdf["day_key"] = pdf["day"].map(lambda d: -d.toordinal())
+    # NULL names first (ascending), then names in byte order, days descending, cid ascending
+    pdf["name_bytes"] = pdf["name"].map(lambda x: x.encode() if x is not None else b"")
+    pdf = pdf.sort_values(["null_name", "name_bytes", "day_key", "cid"], ascending=[False, True, True, True])
+    ranked = got.toPandas().sort_values("rn")
+    assert n == 700 and ranked["cid"].tolist() == pdf["cid"].tolist()
