@@ -76,3 +76,31 @@ def run_risk_batch(spark: SparkSession, admissions: DataFrame, run_ts: dt.dateti
     alerts = build_alerts(spark.table(risk_table), ts_text[:10], ts_text, first_alert)
     alerts.write.insertInto(alerts_table)
     return RiskBatchResult(risk_table, alerts_table, ts_text, first_risk, first_alert)
+
+
+def main(argv: list[str] | None = None) -> RiskBatchResult:
+    """Command-line run of the scoring job, e.g. from a scheduler:
+
+    ``python -m cohortcart.plans.jobs --admissions <table or parquet path> [--location <dir>]
+    [--run-ts "YYYY-MM-DD HH:MM:SS"] [--risk-table NAME] [--alerts-table NAME]``
+    """
+    import argparse
+
+    from cohortcart.sources.tables import load_admissions
+
+    parser = argparse.ArgumentParser(prog="cohortcart.plans.jobs", description=main.__doc__)
+    parser.add_argument("--admissions", required=True, help="catalog table or parquet path")
+    parser.add_argument("--location", default=None, help="shared folder for the output tables")
+    parser.add_argument("--run-ts", default=None, help="run time stamped on every row (default: now)")
+    parser.add_argument("--risk-table", default=RISK_TABLE)
+    parser.add_argument("--alerts-table", default=ALERTS_TABLE)
+    args = parser.parse_args(argv)
+    spark = SparkSession.builder.getOrCreate()
+    result = run_risk_batch(spark, load_admissions(spark, args.admissions), args.run_ts,
+                            args.risk_table, args.alerts_table, args.location)
+    print(result)
+    return result
+
+
+if __name__ == "__main__":
+    main()

@@ -223,3 +223,14 @@ def test_flag_strategies_agree(spark):
         assert ref.exceptAll(other).count() == 0 and other.exceptAll(ref).count() == 0, strategy
     hot = adm.withColumn("Name", F.lit("one patient"))
     assert not RA.largest_history_is_bounded(hot)
+
+
+def test_scoring_job_command_line(spark, tmp_location):
+    from cohortcart.plans.jobs import main
+    rows = [admission(1, "a", D(2020, 1, 1), D(2020, 1, 3)), admission(2, "a", D(2020, 1, 10), D(2020, 1, 12))]
+    admissions_df(spark, rows).write.parquet(f"{tmp_location}/adm")
+    result = main(["--admissions", f"{tmp_location}/adm", "--location", tmp_location,
+                   "--run-ts", "2021-05-06 07:08:09", "--risk-table", "cli_risk", "--alerts-table", "cli_alerts"])
+    assert result.run_ts == "2021-05-06 07:08:09"
+    stored = spark.table("cli_risk").collect()
+    assert len(stored) == 2 and {str(r["CalculationDate"]) for r in stored} == {"2021-05-06 07:08:09"}
