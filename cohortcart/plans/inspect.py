@@ -14,7 +14,3 @@ def plan_text(df: DataFrame, mode: str = "simple") -> str:
     with contextlib.redirect_stdout(buf):
         df.explain(mode=mode)
     return buf.getvalue()
-
-
-def count_nodes(df: DataFrame, needle: str) -> int:
-    return plan_text(df).count(needle)
