@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cohortcart.functions.bands import age_group, sales_segment, stay_length_group
@@ -234,3 +236,24 @@ def test_scoring_job_command_line(spark, tmp_location):
     assert result.run_ts == "2021-05-06 07:08:09"
     stored = spark.table("cli_risk").collect()
     assert len(stored) == 2 and {str(r["CalculationDate"]) for r in stored} == {"2021-05-06 07:08:09"}
+
+_ROW = st.tuples(st.sampled_from(["a", "b", "c", None]),                  # patient (NULL is one patient)
+                 st.one_of(st.none(), st.integers(0, 40)),                # admission day (NULL allowed)
+                 st.one_of(st.none(), st.integers(-3, 12)))               # stay (negative and NULL allowed)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(_ROW, min_size=1, max_size=40))
+def test_day_table_flag_equals_the_window_flag(spark, rows):
+    """The skew-safe day-table plan equals LEAD over PARTITION BY patient on any data."""
+    base = D(2020, 1, 1)
+    data = []
+    for i, (name, day, stay) in enumerate(rows):
+        admitted = None if day is None else base + dt.timedelta(days=day)
+        discharged = None if admitted is None or stay is None else admitted + dt.timedelta(days=stay)
+        data.append(admission(i, name, admitted, discharged))
+    df = admissions_df(spark, data)
+    cols = ["Admission_ID", "next_admission", "days_until_readmission", "is_readmission"]
+    ours = sorted(map(tuple, RA.flag_readmissions(df, strategy="day_table").select(cols).collect()))
+    plain = sorted(map(tuple, RA.flag_readmissions(df, strategy="window").select(cols).collect()))
+    assert ours == plain
