@@ -35,7 +35,7 @@ Order = Sequence[tuple[str, bool]]      # (column, ascending)
 
 ROWS_PER_BUCKET = 2_000_000      # upper target for one range (one window task)
 RANGES_PER_CORE = 2              # at least this many ranges per core of the cluster
-MAX_BUCKETS = 1024               # bounds the split literals, the sample and the broadcast offsets
+MAX_BUCKETS = 1024               # bounds the split literals, the sample and the collected range counts
 SAMPLES_PER_BUCKET = 64
 CASE_TREE_MAX_SPLITS = 64        # above this, the split search is one array literal + a binary-search fold
 
