@@ -242,7 +242,7 @@ _ROW = st.tuples(st.sampled_from(["a", "b", "c", None]),                  # pati
                  st.one_of(st.none(), st.integers(-3, 12)))               # stay (negative and NULL allowed)
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows=st.lists(_ROW, min_size=1, max_size=40))
 def test_day_table_flag_equals_the_window_flag(spark, rows):
     """The skew-safe day-table plan equals LEAD over PARTITION BY patient on any data."""
