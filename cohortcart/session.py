@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CHECKPOINT_FALLBACK = "/tmp/cohortcart-checkpoints"
 
@@ -29,7 +29,6 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -42,22 +41,47 @@ def cluster_parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Return the cluster's checkpoint directory; set a local one only when none is configured."""
+def is_local(spark: SparkSession) -> bool:
+    """True when driver and tasks share one machine (``local`` masters, but not ``local-cluster``)."""
+    master = spark.conf.get("spark.master", "") or ""
+    return master == "local" or master.startswith("local[")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir`` (or already set on the context).
+
+    With none set, a local master gets a folder under ``/tmp``; on any other master this raises,
+    because executors would each write to a disk of their own.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: the server's configuration applies
-        return spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            return configured
+        raise RuntimeError("set spark.checkpoint.dir on the server to a folder all executors share") from None
     current = sc.getCheckpointDir()
+    if configured:
+        if not current:
+            sc.setCheckpointDir(configured)
+        return configured
     if current:
         return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    target = configured or _LOCAL_CHECKPOINT_FALLBACK
-    sc.setCheckpointDir(target)
+    if not is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(_LOCAL_CHECKPOINT_FALLBACK)
     return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint directory (never machine-local on a cluster)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/cohortcart-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique folder under the shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohortcart-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as parquet under the shared checkpoint directory and read back.
+
+    Cuts the lineage: a lost executor re-reads the files instead of recomputing ``df``."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
