@@ -31,11 +31,14 @@ SYMBOLS = r"[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class RuleSettings:
-    """Thresholds.  ``buckets`` must be a power of two."""
+    """Thresholds.  ``buckets`` must be a power of two.  The target is fitted on at most
+    ``max_trusted`` trusted documents (those of the smallest id hashes); raw counts and verdicts
+    always cover all documents."""
 
     buckets: int = 1 << 15
     smoothing: float = 8.0
     threshold: float = -0.1
+    max_trusted: int = 200_000
     min_words: int = 50
     max_repeat_percent: int = 50
 
@@ -106,20 +109,22 @@ def ngram_buckets(w: Column, buckets: int) -> Column:
     return let(F.transform(w, lambda x: F.xxhash64(x)), both)
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Ids marked good quality and not toxic (several labels for an id: all must agree)."""
+def trusted_ids(labels: DataFrame, at_most: int) -> DataFrame:
+    """Ids marked good quality and not toxic (several labels for an id: all must agree); beyond
+    ``at_most`` ids, those with the smallest hashes."""
     good = (F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    return (labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
-            .agg(F.min(good.cast("int")).alias("_good")).where("_good = 1").select("doc_id"))
+    found = (labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+             .agg(F.min(good.cast("int")).alias("_good")).where("_good = 1"))
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most).select("doc_id")
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, settings: RuleSettings) -> DataFrame:
     """``(bucket, raw, target)`` counted over all documents; at most ``2 * buckets`` rows.
 
-    The trusted ids are joined to the texts by ``doc_id``; counting is partial per task, so what
-    is shuffled afterwards is bounded by tasks x buckets."""
+    The trusted ids are a bounded set (``max_trusted``) and are broadcast, so no text is shuffled;
+    counting is partial per task, and what is shuffled is bounded by tasks x buckets."""
     marked = docs.select("doc_id", "text").join(
-        trusted.select("doc_id", F.lit(1).alias("_target")), "doc_id", "left")
+        F.broadcast(trusted.select("doc_id", F.lit(1).alias("_target"))), "doc_id", "left")
     grams = marked.select(F.coalesce(F.col("_target"), F.lit(0)).cast("long").alias("_target"),
                           F.explode(ngram_buckets(words(F.col("text")), settings.buckets)).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_target").alias("target"))
@@ -160,7 +165,7 @@ def ratio_score(w: Column, ratios: list[float], settings: RuleSettings) -> Colum
 def judged(docs: DataFrame, labels: DataFrame, settings: RuleSettings = RuleSettings()) -> DataFrame:
     """``docs`` with one more struct column ``_rules``: the base counts, ``base_failed``,
     ``score`` and ``kept``."""
-    ratios = bucket_ratios(bucket_counts(docs, trusted_ids(labels), settings), settings)
+    ratios = bucket_ratios(bucket_counts(docs, trusted_ids(labels, settings.max_trusted), settings), settings)
 
     def verdict(w: Column) -> Column:
         return let(F.struct(base_columns(F.col("text"), w, settings).alias("b"),

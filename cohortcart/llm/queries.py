@@ -9,6 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortcart.llm.packing import pack
+from cohortcart.llm.quality_rules import quality_rules
+from cohortcart.llm.sharding import LAW, row_size, write_shards
+from cohortcart.llm.simhash import near_duplicates
+from cohortcart.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,14 +24,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cohortcart.llm.quality_rules import quality_rules
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    shards = write_shards(docs, scratch_path(spark, "shards"), shards=16,
+                          row_key=[F.col("doc_id"), F.col("file"), F.col("row")])
+    text = F.col("record.text")
+    return shards.select(
+        F.col("record.doc_id").alias("doc_id"), row_size(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.lit(LAW).alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op9_quality_rules,)}
+    return {f.__name__: f for f in (op1_packing, op3_sharding, op7_simhash, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
