@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortcart.llm.mixing import fit_mixture, with_copies
 from cohortcart.llm.packing import pack
+from cohortcart.llm.quality_classifier import quality_scores
 from cohortcart.llm.quality_rules import quality_rules
 from cohortcart.llm.sharding import LAW, row_size, write_shards
 from cohortcart.llm.simhash import near_duplicates
@@ -32,6 +34,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
@@ -44,6 +50,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return with_copies(docs.select("doc_id", "text", "source"), fit_mixture(docs)).select(
+        "doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"),
+        F.col("_mix_target").alias("target"), (F.col("_mix_copies") * F.col("_mix_size")).alias("taken"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,7 +66,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op3_sharding, op7_simhash, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_mixing, op7_simhash,
+                                     op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
