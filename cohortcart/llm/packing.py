@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -32,11 +33,23 @@ from cohortcart.session import stored
 
 SEQUENCE_LENGTH = 2048
 END_ID = 1
-CACHE_WORDS = 400_000        # words a Python worker remembers the ids of; then it starts afresh
+CACHE_WORDS = 600_000        # words a Python worker remembers the ids of; then it starts afresh
 SEGMENT_CHARS = 1 << 20      # texts are tokenised in segments of about this length, cut at blanks
 
 _SPLIT_ONLY_PYTHON = re.compile("[\x1c-\x1f]")   # str.split() cuts here, the tokenizer does not
 _TAIL = ".,;:!?*#%$&|"
+_LATIN_END = "\u0250"          # letters below it lower-case one by one and have no other normal form
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: printable Latin-1 stands for itself,
+    the other bytes take the characters from 256 on in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 TOKEN_SCHEMA = "part int, local_start long, doc_id long, n_tokens long, ids binary"
 
@@ -44,48 +57,51 @@ TOKEN_SCHEMA = "part int, local_start long, doc_id long, n_tokens long, ids bina
 class WordEncoder:
     """Token ids of texts, remembered per blank-separated word.
 
-    Valid for tokenizers that drop white space and never join characters across it, such as the
-    default one; ``tests`` compare it with whole-text encoding."""
+    Valid for byte-pair tokenizers that drop white space, lower-case, and cut at letters, digits and
+    signs, such as the default one; the tests compare it with whole-text encoding."""
 
     def __init__(self, tokenizer_json: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.known: dict[str, bytes] = {"": b""}
         self.cache_words = cache_words
 
+    def _part(self, part: str) -> bytes:
+        """Ids of a part of a word.  Lower-case Latin letters are one piece to the tokenizer, so they go to
+        its merges directly; anything else goes through all of it."""
+        if part.isalpha() and max(part) < _LATIN_END and part == part.lower():
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            return array("I", [t.id for t in self.merge(letters)]).tobytes()
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
     def _learn(self, words: set[str]) -> None:
         """Puts ids of new words in the cache.  Letters followed by ASCII signs are two separate
-        pieces to the tokenizer, and ASCII letters are lower-cased first, so the parts are shared."""
-        if len(self.known) + len(words) > self.cache_words:
-            self.known.clear()
-        parts: dict[str, tuple[str, str]] = {}
+        pieces to the tokenizer, and letters are lower-cased first, so the parts are shared."""
+        known = self.known
         for w in words:
             core = w.rstrip(_TAIL)
             if core.isalpha():
-                parts[w] = (core.lower() if core.isascii() else core, w[len(core):])
+                low = core.lower()
+                core, tail = low if max(low) < _LATIN_END else core, w[len(core):]
             else:
-                parts[w] = (w, "")
-        new = list({p for pair in parts.values() for p in pair if p and p not in self.known})
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {p: np.asarray(e.ids, dtype="<u4").tobytes() for p, e in zip(new, found, strict=True)}
-        self.known.update(fresh)
-        for w, (core, tail) in parts.items():
-            self.known[w] = self.known[core] + (self.known[tail] if tail else b"")
-
-    def encode(self, text: str) -> bytes:
-        """Ids of ``text`` as little-endian unsigned 32-bit integers."""
-        out, known = [], self.known
-        for piece in segments(text):
-            words = piece.split(" ") if _SPLIT_ONLY_PYTHON.search(piece) else piece.split()
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                self._learn({w for w in words if w not in known})
-                if any(w not in known for w in words):     # the cache was started afresh
-                    self._learn(set(words))
-                out.append(b"".join([known[w] for w in words]))
-        return b"".join(out)
+                core, tail = w, ""
+            if core not in known:
+                known[core] = self._part(core)
+            if tail not in known:
+                known[tail] = self._part(tail)
+            known[w] = known[core] + known[tail]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        lists = [[p.split(" ") if _SPLIT_ONLY_PYTHON.search(p) else p.split() for p in segments(t)] for t in texts]
+        words = set().union(*[run for runs in lists for run in runs])
+        if len(self.known) > self.cache_words:
+            self.known = {"": b""}
+        self._learn(words.difference(self.known))
+        ids = self.known.__getitem__
+        return [b"".join([b"".join(map(ids, run)) for run in runs]) for runs in lists]
 
 
 def segments(text: str, limit: int = SEGMENT_CHARS) -> Iterator[str]:
@@ -124,7 +140,7 @@ def token_table(docs: DataFrame, tokenizer_path: str | Path, end_id: int = END_I
         for batch in batches:
             column = batch.column(1)
             for low in range(0, batch.num_rows, 512):
-                ids = [encoder.encode(t.as_py()) + end for t in column.slice(low, 512)]
+                ids = [x + end for x in encoder.encode(column.slice(low, 512).to_pylist())]
                 counts = np.asarray([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = at + np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays(
