@@ -17,6 +17,7 @@ from cohortcart.llm.quality_classifier import quality_scores
 from cohortcart.llm.quality_rules import quality_rules
 from cohortcart.llm.sharding import LAW, row_size, write_shards
 from cohortcart.llm.simhash import near_duplicates
+from cohortcart.llm.warc import page_records, read_archives, write_archives
 from cohortcart.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,9 +66,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return page_records(read_archives(spark, path))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_mixing, op7_simhash,
-                                     op9_quality_rules)}
+                                     op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
