@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortcart.llm.mixing import fit_mixture, with_copies
+from cohortcart.llm.nearest import nearest_neighbours
 from cohortcart.llm.packing import pack
 from cohortcart.llm.quality_classifier import quality_scores
 from cohortcart.llm.quality_rules import quality_rules
@@ -62,6 +63,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,7 +78,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_mixing, op7_simhash,
+    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_mixing, op7_simhash, op8_nearest,
                                      op9_quality_rules, op10_warc)}
 
 
