@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortcart.llm.lm_scoring import language_model_scores
 from cohortcart.llm.mixing import fit_mixture, with_copies
 from cohortcart.llm.nearest import nearest_neighbours
 from cohortcart.llm.packing import pack
@@ -59,6 +60,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_mix_target").alias("target"), (F.col("_mix_copies") * F.col("_mix_size")).alias("taken"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -78,7 +83,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_mixing, op7_simhash, op8_nearest,
+    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_mixing, op5_lm_scoring, op7_simhash, op8_nearest,
                                      op9_quality_rules, op10_warc)}
 
 

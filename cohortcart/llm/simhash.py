@@ -43,7 +43,7 @@ LEVELS = 3
 
 # -- fingerprints -------------------------------------------------------------------------------
 
-def _word_runs(data: bytes) -> Iterator[list[bytes]]:
+def word_runs(data: bytes) -> Iterator[list[bytes]]:
     """The words of ``data``, in lists from segments of about ``SEGMENT_BYTES`` cut at spaces."""
     at = 0
     while len(data) - at > SEGMENT_BYTES:
@@ -59,7 +59,7 @@ def fingerprint(data: bytes, shingle: int = SHINGLE_WORDS, seed: int = SEED) ->
     """SimHash of a UTF-8 text; ``bytes.lower`` and ``bytes.split`` treat ASCII only, as wanted."""
     hash64 = xxhash.xxh64_intdigest
     counts, n, last = np.zeros(64, dtype=np.int64), 0, []
-    for run in _word_runs(data.lower()):
+    for run in word_runs(data.lower()):
         run = last + run
         if len(run) >= shingle:
             grams = zip(*[run[k:] for k in range(shingle)], strict=False)
