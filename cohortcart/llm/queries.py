@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortcart.llm import licenses
+from cohortcart.llm.licenses import scan_licenses
 from cohortcart.llm.lm_scoring import language_model_scores
 from cohortcart.llm.mixing import fit_mixture, with_copies
 from cohortcart.llm.nearest import nearest_neighbours
@@ -64,6 +66,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -83,9 +89,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_mixing, op5_lm_scoring, op7_simhash, op8_nearest,
+    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_mixing, op5_lm_scoring, op6_licenses, op7_simhash, op8_nearest,
                                      op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_licenses": licenses.oracle()}
