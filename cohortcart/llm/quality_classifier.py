@@ -70,7 +70,7 @@ def statistics(text: Column) -> Column:
         n = F.greatest(F.size(w), F.lit(1)).cast("double")
         chars = F.greatest(F.length(t), F.lit(1)).cast("double")
         lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x)) > 0)
-        repeats = F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i + 1), F.lit(False))))
+        repeats = F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda x, y: x == y), lambda same: same))
         values = (
             F.log1p(F.size(w).cast("double")),
             F.log1p(F.length(t) / n),
@@ -220,12 +220,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame,
 def with_score(docs: DataFrame, model: Model, column: str = "_score") -> DataFrame:
     """``docs`` with the score; only the statistics are sent to Python, not the texts."""
     @F.pandas_udf("double")
-    def scored(*columns: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.column_stack([c.to_numpy() for c in columns])))
+    def scored(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series(model.score(rows[list(STATISTICS)].to_numpy()))
 
-    made = docs.withColumn("_statistics", statistics(F.col("text")))
-    return (made.withColumn(column, scored(*[F.col("_statistics")[k] for k in STATISTICS]))
-            .drop("_statistics"))
+    return docs.withColumn(column, scored(statistics(F.col("text"))))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame,
