@@ -80,8 +80,10 @@ def write_archives(pages: DataFrame, path: str) -> None:
                         F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
                         .alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", _digest(F.col("payload"))).withColumn("size", F.octet_length("payload"))
-    shared = (rows.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-              .where("n > 1").select("digest", "size", "first"))
+    # stored, so that Spark knows how many payloads are shared: few are broadcast and no html moves,
+    # many are joined by sorting
+    shared = stored(rows.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+                    .where("n > 1").select("digest", "size", "first").coalesce(8), "shared")
     marked = rows.join(shared, ["digest", "size"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     url = F.col("url")
