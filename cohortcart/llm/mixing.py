@@ -66,12 +66,12 @@ def target_words(sizes: dict[str | None, int], weights=WEIGHTS, cap: int = CAP)
         free = [s for s in free if s not in out]
 
 
-def _with_basics(docs: DataFrame, seed: int) -> DataFrame:
-    """Adds ``_mix_size``, ``_mix_class`` (its binary logarithm) and ``_mix_u`` (0 to 1, by hash)."""
+def _basics(seed: int) -> list[Column]:
+    """Of a document: its source, its size, the size's binary logarithm, and its hash from 0 to 1."""
     size = F.size(words(F.col("text"))).cast("long")
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), 11) / F.lit(float(1 << 53))
-    return (docs.withColumn("_mix_size", size).withColumn("_mix_u", u)
-            .withColumn("_mix_class", F.floor(F.log2(F.greatest(F.col("_mix_size"), F.lit(1)))).cast("int")))
+    return [F.col("source").cast("string").alias("source"), size.alias("_mix_size"),
+            F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int").alias("_mix_class"), u.alias("_mix_u")]
 
 
 def _rate(cap: int) -> Column:
@@ -146,8 +146,7 @@ def _cuts(bins: pd.DataFrame) -> pd.DataFrame:
 def fit_mixture(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 5) -> Mixture:
     """Targets, rates and cuts for ``docs`` (columns ``doc_id, text, source``)."""
     spark = docs.sparkSession
-    slim = stored(_with_basics(docs.select("doc_id", "text", F.col("source").cast("string").alias("source")), seed)
-                  .select("source", "_mix_size", "_mix_class", "_mix_u"), "sizes")
+    slim = stored(docs.select(*_basics(seed)), "sizes")
     per_source = slim.groupBy("source").agg(F.sum("_mix_size").alias("words"), F.count(F.lit(1)).alias("docs"))
     rows = per_source.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -172,26 +171,21 @@ def fit_mixture(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 5)
 
 
 def with_copies(docs: DataFrame, mix: Mixture) -> DataFrame:
-    """``docs`` with ``_mix_size``, ``_mix_source_size``, ``_mix_target`` and ``_mix_copies``."""
-    sources = mix.sources.select(F.col("source").alias("_mix_s"), F.col("source_size").alias("_mix_source_size"),
-                                 F.col("target").alias("_mix_target"), "rate_scale", "full")
-    cuts = mix.cuts.select(F.col("source").alias("_mix_c"), F.col("size_class").alias("_mix_k"),
-                           F.col("cut").alias("_mix_cut"))
-    source = docs["source"].cast("string")
-    made = _with_basics(docs.withColumn("_mix_source", source), mix.seed)
-    made = made.join(F.broadcast(sources), F.col("_mix_source").eqNullSafe(F.col("_mix_s")), "left")
-    made = made.join(F.broadcast(cuts), F.col("_mix_source").eqNullSafe(F.col("_mix_c"))
-                     & (F.col("_mix_class") == F.col("_mix_k")), "left")
-    rate = _rate(mix.cap)
-    made = made.withColumn("_mix_rate", rate)
-    rate = F.col("_mix_rate")
-    more = F.coalesce(_bin(rate) < F.col("_mix_cut"), F.lit(False)) & (rate > F.floor(rate))
+    """``doc`` (struct of all columns of ``docs``), ``size``, ``source_size``, ``target``, ``copies``."""
+    sources = mix.sources.withColumnRenamed("source", "_mix_s")
+    cuts = mix.cuts.select(F.col("source").alias("_mix_c"), "size_class", "cut")
+    made = docs.select(F.struct(*docs.columns).alias("doc"), *_basics(mix.seed))
+    made = made.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_mix_s")), "left")
+    made = made.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("_mix_c"))
+                     & (F.col("_mix_class") == F.col("size_class")), "left")
+    made = made.withColumn("_rate", _rate(mix.cap))
+    rate = F.col("_rate")
+    more = F.coalesce(_bin(rate) < F.col("cut"), F.lit(False)) & (rate > F.floor(rate))
     copies = F.when(F.col("_mix_size") == 0, F.lit(0)).otherwise(F.floor(rate) + more.cast("int")).cast("long")
-    return made.withColumn("_mix_copies", copies)
+    return made.select("doc", F.col("_mix_size").alias("size"), "source_size", "target", copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, mix: Mixture) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    return (with_copies(docs, mix).where("_mix_copies > 0")
-            .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
-            .select(*docs.columns))
+    return (with_copies(docs, mix).where("copies > 0")
+            .select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*"))

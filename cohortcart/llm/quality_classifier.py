@@ -217,13 +217,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame,
     return Model(**{**fitted.__dict__, "steps_at": at, "steps": rates})
 
 
-def with_score(docs: DataFrame, model: Model, column: str = "_score") -> DataFrame:
-    """``docs`` with the score; only the statistics are sent to Python, not the texts."""
+def score_column(model: Model) -> Column:
+    """The score of a row's ``text``; only the statistics are sent to Python, not the texts."""
     @F.pandas_udf("double")
     def scored(rows: pd.DataFrame) -> pd.Series:
         return pd.Series(model.score(rows[list(STATISTICS)].to_numpy()))
 
-    return docs.withColumn(column, scored(statistics(F.col("text"))))
+    return scored(statistics(F.col("text")))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame,
@@ -231,13 +231,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame,
     """``doc_id, held_out, score, predicted`` for every document."""
     docs = docs.select("doc_id", "text")
     model = fit_classifier(docs, labels, settings)
-    return with_score(docs, model).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= settings.keep_at).cast("int").alias("predicted"))
+    return docs.select("doc_id", score_column(model).alias("score")).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= settings.keep_at).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame,
               settings: ClassifierSettings = ClassifierSettings()) -> DataFrame:
     """The documents predicted to be good, with all their columns."""
-    model = fit_classifier(docs, labels, settings)
-    return with_score(docs, model).where(F.col("_score") >= settings.keep_at).select(*docs.columns)
+    return docs.where(score_column(fit_classifier(docs, labels, settings)) >= settings.keep_at)

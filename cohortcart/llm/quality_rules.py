@@ -162,9 +162,9 @@ def ratio_score(w: Column, ratios: list[float], settings: RuleSettings) -> Colum
 
 # -- operator -----------------------------------------------------------------------------------
 
-def judged(docs: DataFrame, labels: DataFrame, settings: RuleSettings = RuleSettings()) -> DataFrame:
-    """``docs`` with one more struct column ``_rules``: the base counts, ``base_failed``,
-    ``score`` and ``kept``."""
+def verdicts(docs: DataFrame, labels: DataFrame, settings: RuleSettings = RuleSettings()) -> Column:
+    """Fits the ratios to ``docs`` and returns the judgement of a row's ``text`` as a struct: the base
+    counts, ``base_failed``, ``score`` and ``kept``."""
     ratios = bucket_ratios(bucket_counts(docs, trusted_ids(labels, settings.max_trusted), settings), settings)
 
     def verdict(w: Column) -> Column:
@@ -176,14 +176,15 @@ def judged(docs: DataFrame, labels: DataFrame, settings: RuleSettings = RuleSett
                        x["score"].alias("score"),
                        (~x["b"]["base_failed"] & (x["score"] >= settings.threshold)).alias("kept")))
 
-    return docs.withColumn("_rules", let(words(F.col("text")), verdict))
+    return let(words(F.col("text")), verdict)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, settings: RuleSettings = RuleSettings()) -> DataFrame:
     """One row per document: its id, the base counts, the score and the verdict."""
-    return judged(docs.select("doc_id", "text"), labels, settings).select("doc_id", "_rules.*")
+    docs = docs.select("doc_id", "text")
+    return docs.select("doc_id", verdicts(docs, labels, settings).alias("rules")).select("doc_id", "rules.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, settings: RuleSettings = RuleSettings()) -> DataFrame:
     """The documents that pass, with all their columns."""
-    return judged(docs, labels, settings).where("_rules.kept").select(*docs.columns)
+    return docs.where(verdicts(docs, labels, settings)["kept"])

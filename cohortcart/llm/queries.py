@@ -57,9 +57,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return with_copies(docs.select("doc_id", "text", "source"), fit_mixture(docs)).select(
-        "doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"),
-        F.col("_mix_target").alias("target"), (F.col("_mix_copies") * F.col("_mix_size")).alias("taken"))
+    rows = with_copies(docs.select("doc_id", "text", "source"), fit_mixture(docs))
+    return rows.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
