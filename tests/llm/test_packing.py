@@ -1,0 +1,84 @@
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from cohortcart.llm.packing import WordEncoder, pack, segments, sequences
+from tests.llm import odd
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(str(PATH))
+
+
+def test_word_encoder_equals_whole_text_encoding(tokenizer):
+    texts = [r[1] or "" for r in odd.rows()] + ["áb café ́x é. ÀÉ Ǆx ß ſ ŉ ª º", "12345 3.14, (a)b 'quoted' don't"]
+    encoder = WordEncoder(open(PATH, encoding="utf-8").read(), cache_words=50)
+    for _ in range(2):                      # the second time with a cache that was started afresh
+        for t, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:50]
+
+
+def test_segments_lose_nothing_but_the_blank():
+    text = "ab cd " * 50
+    assert " ".join(segments(text, 20)) == text
+    assert list(segments("x" * 100, 20)) == ["x" * 100]
+
+
+def test_every_id_in_one_piece_and_offsets_gapless(spark, tokenizer):
+    docs = odd.documents(spark, clash=True)
+    pieces = pack(docs, PATH, length=256).cache()
+    ids = {}
+    for r in odd.rows():
+        ids.setdefault(r[0], []).append(tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1])
+    covered, windows = {}, {}
+    for p in pieces.collect():
+        got = np.frombuffer(p["ids"], dtype="<u4").tolist()
+        assert len(got) == p["length"] and any(x[p["start"]:p["start"] + p["length"]] == got for x in ids[p["doc_id"]])
+        covered[p["doc_id"]] = covered.get(p["doc_id"], 0) + p["length"]
+        windows.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    assert covered == {k: sum(map(len, v)) for k, v in ids.items()}
+    total = sum(covered.values())
+    for number, parts in windows.items():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == (256 if number < total // 256 else total % 256)
+    assert sorted(windows) == list(range(-(-total // 256)))
+
+
+def test_sequences_round_trip(spark):
+    pieces = pack(odd.documents(spark), PATH, length=128).cache()
+    whole = sequences(pieces, 128).collect()
+    laid = {}
+    for p in pieces.collect():
+        laid.setdefault(p["sequence_id"], {})[p["offset"]] = p["ids"]
+    assert len(whole) == len(laid)
+    for s in whole:
+        joined = b"".join(v for _, v in sorted(laid[s["sequence_id"]].items()))
+        assert s["ids"] == joined + bytes(4 * 128 - len(joined))
+
+
+def test_empty_table(spark):
+    assert pack(odd.empty(spark), PATH).count() == 0
+
+
+def test_query_against_brute_force(spark, tokenizer):
+    from cohortcart.llm.queries import op1_packing, table
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    seen = {}
+    for p in sorted(op1_packing(spark, sf).collect(), key=lambda p: (p["doc_id"], p["start"])):
+        ids = tokenizer.encode(texts[p["doc_id"]], add_special_tokens=False).ids + [1]
+        assert p["doc_tokens"] == len(ids) and p["start"] == seen.get(p["doc_id"], 0)
+        seen[p["doc_id"]] = p["start"] + p["length"]
+        part = np.array(ids[p["start"]:seen[p["doc_id"]]], dtype="<u4")
+        assert p["ids_crc32"] == zlib.crc32(part.tobytes())
+    assert seen.keys() == texts.keys()
