@@ -255,7 +255,7 @@ def _rejoined(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
     The pieces wanted are few or many; Spark sees their number and picks the join."""
     before = Window.partitionBy("file").orderBy("at")
     owner = F.last(F.when(F.col("real"), F.struct("at", "length", "payload_bytes")), ignorenulls=True).over(before)
-    wanted = (known.withColumn("o", owner).where("o is not null and o.payload_bytes is null and at < o.at + o.length")
+    wanted = (known.withColumn("o", owner).where("o is not null and o.payload_bytes is null and at <= o.at + o.length")
               .select("file", "block", "row", "at", F.col("o.at").alias("owner")))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

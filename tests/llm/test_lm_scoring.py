@@ -1,0 +1,100 @@
+import dataclasses
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from cohortcart.llm import lm_scoring as lm
+from tests.llm import odd
+
+SMALL = lm.ModelSettings(symbols=40, classes=8, head_words=120, width=6, batch=64, noise=8)
+
+
+def tokens(text):
+    return [*(text or "").encode().lower().split(), None]
+
+
+def is_held_out(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
+
+
+def base_facts(rows):
+    """Per row ``(n_tokens, n_known, train_tokens, base_score)``."""
+    c = Counter(t for r in rows if not is_held_out(r[0]) for t in tokens(r[1]))
+    n, v = sum(c.values()), len(c)
+    return [(len(tokens(r[1])), sum(c[t] > 0 for t in tokens(r[1])), n,
+             sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens(r[1]))) for r in rows]
+
+
+def check_base(out, rows):
+    want = sorted((odd.key((r[0], is_held_out(r[0]), *f[:3])), f[3]) for r, f in zip(rows, base_facts(rows), strict=True))
+    got = sorted((odd.key((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"])), r["base_score"])
+                 for r in out)
+    assert [k for k, _ in got] == [k for k, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
+
+
+def test_odd_documents(spark):
+    docs = odd.documents(spark, clash=True)
+    out = lm.language_model_scores(docs, SMALL).collect()
+    check_base(out, odd.rows())
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
+    alike = {}
+    for r, row in ((r, x) for r in out for x in odd.rows() if x[0] == r["doc_id"] and x[0] is not None):
+        alike.setdefault(row[1], set()).add(round(r["score"], 6))
+    assert all(len(s) == 1 for s in alike.values())
+
+
+def test_model_probabilities_add_up_to_one(spark):
+    """Over all symbols and contexts, and over all words of a class and one unseen."""
+    docs = odd.documents(spark).where("doc_id < 60")
+    counts = lm.token_counts(docs, SMALL.classes).cache()
+    vocab = lm.vocabulary(counts, SMALL)
+    model = lm.train(lm.encoded(docs, vocab).cache(), vocab)
+    norm = lm.normalisers(spark, model)
+    rng = np.random.default_rng(0)
+    for two, one in rng.integers(0, vocab.size + 1, (50, 2)):
+        scores = (model.context[one] * model.one + model.context[two] * model.two) @ model.target.T + model.bias
+        assert np.exp(scores - norm[two, one]).sum() == pytest.approx(1, abs=1e-5)
+    top = {r["word"] for r in counts.orderBy(lm.F.desc("n"), "word").limit(SMALL.symbols).collect()} - {lm.END}
+    own = {w for w, i in vocab.head.items() if vocab.symbol[i] < SMALL.symbols} - {lm.END}
+    assert own <= top | own and len(own) == SMALL.symbols - 1
+    for c in range(SMALL.classes):
+        share = [r["n"] for r in counts.collect() if r["cls"] == c and bytes(r["word"]) not in own]
+        total = sum(n + 0.1 for n in share) + 0.1
+        assert 10 ** vocab.class_space[c] == pytest.approx(total)
+
+
+def test_head_size_changes_no_count(spark):
+    docs = odd.documents(spark).where("doc_id < 60 or doc_id is null")
+    runs = [sorted((odd.key((r["doc_id"], r["n_known"])), round(r["base_score"], 6)) for r in lm.language_model_scores(
+        docs, dataclasses.replace(SMALL, head_words=k)).collect()) for k in (60, 100_000)]
+    assert runs[0] == runs[1]
+
+
+def test_contexts_do_not_cross_documents():
+    blobs = [np.array(x, dtype=np.uint16).tobytes() for x in ([5, 6, 0], [0], [7, 0])]
+    w, one, two = lm._contexts(blobs, 99)
+    assert w.tolist() == [5, 6, 0, 0, 7, 0]
+    assert one.tolist() == [99, 5, 6, 99, 99, 7] and two.tolist() == [99, 99, 5, 99, 99, 99]
+
+
+def test_no_training_documents_and_empty(spark):
+    held = odd.documents(spark).where("crc32(cast(doc_id as string)) % 10 = 0")
+    out = lm.language_model_scores(held, SMALL).collect()
+    assert out and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == pytest.approx(0, abs=1e-9)
+                       and math.isfinite(r["score"]) for r in out)
+    assert lm.language_model_scores(odd.empty(spark), SMALL).count() == 0
+
+
+def test_query_against_brute_force_and_held_out_gain(spark):
+    from cohortcart.llm.queries import op5_lm_scoring, table
+
+    sf = "/root/testdata/sf0.01"
+    out = op5_lm_scoring(spark, sf).collect()
+    check_base(out, [(r["doc_id"], r["text"]) for r in table(spark, sf, "documents").collect()])
+    held = [r for r in out if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert gain > 0.1

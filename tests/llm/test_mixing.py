@@ -1,0 +1,79 @@
+import re
+from collections import Counter
+
+import pytest
+
+from cohortcart.llm.mixing import fit_mixture, mixed, target_words, with_copies
+from tests.llm import odd
+
+
+def n_words(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def test_targets_by_hand():
+    got = target_words({"a": 100, "b": 100, "c": 100, "d": 100, None: 1})
+    assert got[None] == 3                       # 2/15 of 401 is more than three times its size
+    left = 398 / 13
+    assert got == pytest.approx({"a": 5 * left, "b": 2 * left, "c": left, "d": 5 * left, None: 3})
+    assert sum(got.values()) == pytest.approx(401)
+    capped = target_words({"a": 10, "b": 1000, "c": 10})
+    assert capped["a"] == 30 and sum(capped.values()) == pytest.approx(1020)
+    assert target_words({}) == {} and target_words({"a": 0, None: 0}) == {"a": 0, None: 0}
+
+
+def test_taken_words_near_targets_caps_and_reruns(spark):
+    docs = odd.documents(spark, clash=True)
+    runs = []
+    for d in (docs, docs.repartition(7)):
+        rows = with_copies(d, fit_mixture(d)).collect()
+        runs.append(sorted(odd.key((r["doc"]["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["copies"]))
+                           for r in rows))
+    assert runs[0] == runs[1]
+    sizes = Counter()
+    for r in odd.rows():
+        sizes[r[3]] += n_words(r[1])
+    want = target_words(dict(sizes))
+    taken, units = Counter(), {}
+    for r in rows:
+        assert r["size"] == n_words(r["doc"]["text"]) and 0 <= r["copies"] <= 3
+        assert r["source_size"] == sizes[r["doc"]["source"]]
+        assert r["target"] == pytest.approx(want[r["doc"]["source"]])
+        assert r["size"] or not r["copies"]
+        taken[r["doc"]["source"]] += r["copies"] * r["size"]
+        units.setdefault(r["doc"]["source"], Counter())[(r["doc"]["doc_id"], r["doc"]["text"])] += r["size"]
+    for s in ("s0", "s1", "s2", "hot"):
+        assert abs(taken[s] - want[s]) <= max(0.02 * want[s], max(units[s].values())), s
+
+
+def test_mix_repeats_rows_with_their_columns(spark):
+    docs = odd.documents(spark, clash=True)
+    mix = fit_mixture(docs)
+    out = mixed(docs, mix)
+    assert out.columns == docs.columns
+    assert out.count() == sum(r["copies"] for r in with_copies(docs, mix).collect())
+
+
+def test_empty_table(spark):
+    docs = odd.empty(spark)
+    assert with_copies(docs, fit_mixture(docs)).count() == 0
+
+
+def test_query_against_brute_force(spark):
+    from cohortcart.llm.queries import op4_mixing, table
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r for r in table(spark, sf, "documents").collect()}
+    sizes, taken = Counter(), Counter()
+    for r in docs.values():
+        sizes[r["source"]] += n_words(r["text"])
+    want = target_words(dict(sizes))
+    rows = op4_mixing(spark, sf).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        source = docs[r["doc_id"]]["source"]
+        assert r["size"] == n_words(docs[r["doc_id"]]["text"]) and r["source_size"] == sizes[source]
+        assert r["target"] == pytest.approx(want[source]) and 0 <= r["taken"] <= 3 * r["size"]
+        taken[source] += r["taken"]
+    for s, t in want.items():
+        assert taken[s] == pytest.approx(t, rel=0.02)

@@ -1,0 +1,63 @@
+import pytest
+
+import corpus_pipeline
+from cohortcart.llm import mixing, packing, quality_classifier, quality_rules, simhash
+from cohortcart.session import stored
+from tests.llm import odd
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """Input of every stage and the result of the last, over a small table."""
+    docs = [spark.read.parquet(f"{SF}/documents.parquet")]
+    for name, stage in corpus_pipeline.STAGES:
+        docs.append(stored(stage(spark, docs[-1], SF), "pipeline-test"))
+    return docs
+
+
+def test_order_and_columns(stages):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "quality classifier", "SimHash near-dedup",
+                                                      "mixing sources", "packing"]
+    assert all(d.columns == stages[0].columns for d in stages[:-1])
+
+
+def test_each_stage_takes_effect(spark, stages):
+    ids = [sorted(r["doc_id"] for r in d.select("doc_id").collect()) for d in stages[:5]]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rules = quality_rules.quality_rules(stages[0], labels).collect()
+    assert ids[1] == sorted(r["doc_id"] for r in rules if r["kept"])
+    scores = quality_classifier.quality_scores(stages[1], labels).collect()
+    assert ids[2] == sorted(r["doc_id"] for r in scores if r["predicted"])
+    groups = simhash.near_duplicates(stages[2]).collect()
+    assert ids[3] == sorted({r["component_id"] for r in groups})
+    copies = mixing.with_copies(stages[3], mixing.fit_mixture(stages[3])).collect()
+    assert ids[4] == sorted(r["doc"]["doc_id"] for r in copies for _ in range(r["copies"]))
+    import public_tokenizers
+
+    whole = packing.token_table(stages[4], public_tokenizers.path("word_bpe_49k.json")).groupBy().sum("n_tokens").first()[0]
+    assert stages[5].groupBy().sum("length").first()[0] == whole
+
+
+def test_clean_documents_stay(spark, stages):
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").collect()}
+    kept = {r["doc_id"] for r in stages[2].collect()}
+    long_enough = {r["doc_id"] for r in quality_rules.quality_rules(
+        stages[0], spark.read.parquet(f"{SF}/labels.parquet")).where("not base_failed").collect()}
+    assert len(kept & good & long_enough) >= 0.95 * len(good & long_enough)
+
+
+def test_run_equals_the_stages(spark, stages):
+    assert sorted(map(odd.key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(odd.key, stages[-1].collect()))
+
+
+def test_odd_documents(spark):
+    docs = odd.documents(spark, clash=True)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, SF), "pipeline-test")
+    assert docs.count() > 0
+    docs = odd.empty(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, SF), "pipeline-test")
+    assert docs.count() == 0
