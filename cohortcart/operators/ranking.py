@@ -1,45 +1,67 @@
 """Exact global row numbers and ``NTILE`` without moving all rows to one partition.
 
-``ROW_NUMBER() OVER (ORDER BY ...)`` with no ``PARTITION BY`` is planned by Spark
-as one task over all rows.  Here the total order is cut into ordered ranges:
-
-1. the sort key becomes one ascending struct (``NULLS FIRST`` for ascending keys,
-   ``NULLS LAST`` with negated values for descending numeric/date keys);
-2. a bounded random sample of keys (about 64 per range, sorted on the driver in
-   Spark's struct order) gives split keys; they are inlined as literals, so a row's
-   range is a pure function of its key and every retry recomputes the same range;
-3. rows per range (at most ``max_buckets`` numbers per order, one small job) give
-   each range's offset, inlined as a literal array;
-4. global number = offset + ``row_number()`` inside the range, a window partitioned
-   by range (a hash exchange, never a single partition).
-
-The result is exact whatever the sample: the splits only affect balance.  The
-order must be total (end it with a unique column).  Several orders over the same
-rows (the three RFM quintiles) share the count, the sample and the range counts.
-Inputs with fewer rows than one range's sample keep one range.
+``ROW_NUMBER() OVER (ORDER BY ...)`` with no ``PARTITION BY`` is planned by Spark as one task over all
+rows.  Two other ways, both exact:
+
+* *Row numbers*: Spark's own range partitioning and sort, with as many ranges as keep each at about
+  ``ROWS_PER_RANGE`` rows, however many that makes.  The sorted rows are stored once; a row's place in its
+  range comes with the sort, and the offsets are sums over one row per range.
+* *NTILE*: a tile follows from at most ``tiles - 1`` boundary keys, so only those are looked for.  Each
+  search keeps a bracket of keys around its rank and narrows it by a bounded sample and an exact count,
+  until few enough keys are left to be read and sorted.  Then tiles are plain comparisons: no window,
+  no shuffle, whatever the number of rows.
+
+The order must be total for a repeatable result (end it with a unique column).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, StructType, TimestampNTZType
 
-from cohortcart.functions.rounding import idiv
-from cohortcart.session import cluster_parallelism
+from cohortcart.session import cluster_parallelism, stored
 
 Order = Sequence[tuple[str, bool]]      # (column, ascending)
 
-ROWS_PER_BUCKET = 2_000_000      # upper target for one range (one window task)
-RANGES_PER_CORE = 2              # at least this many ranges per core of the cluster
-MAX_BUCKETS = 1024               # bounds the split literals, the sample and the collected range counts
-SAMPLES_PER_BUCKET = 64
-CASE_TREE_MAX_SPLITS = 64        # above this, the split search is one array literal + a binary-search fold
+ROWS_PER_RANGE = 2_000_000
+LEAST_ROWS_PER_RANGE = 10_000           # no more ranges than cores while ranges are smaller than this
+SELECT_ROWS = 20_000                    # keys of one bracket that are read and sorted on the driver
 
 
+# -- row numbers --------------------------------------------------------------------------------
+
+def range_count(n: int, parallelism: int = 1, rows_per_range: int = ROWS_PER_RANGE) -> int:
+    """Ranges for ``n`` rows: each at most ``rows_per_range``, and all cores busy once rows suffice."""
+    return max(1, math.ceil(n / rows_per_range), min(parallelism, math.ceil(n / LEAST_ROWS_PER_RANGE)))
+
+
+def global_row_number(df: DataFrame, order: Order, out: str = "row_number", n: int | None = None,
+                      ranges: int | None = None, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``df`` with the 1-based position of each row in ``order`` (asc NULLS FIRST, desc NULLS LAST).
+
+    ``n``: the number of rows or a bound of it, counted if not given; it only sets the number of
+    ranges.  Runs a job: the sorted rows are stored under the shared checkpoint folder."""
+    if ranges is None:
+        ranges = range_count(df.count() if n is None else n, cluster_parallelism(df.sparkSession), rows_per_range)
+    by = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in order]
+    # the id Spark gives a row of a task: the task's number above bit 33, the row's place in it below
+    placed = stored(df.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
+                    .withColumn("_place", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_place", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = sizes.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(before), "_part")     # one row per range
+    number = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return numbered.select(*df.columns, number.alias(out))
+
+
+# -- boundary keys and tiles --------------------------------------------------------------------
+
 def sort_key(df: DataFrame, order: Order) -> Column:
     """One ascending struct that sorts like ``ORDER BY`` (asc NULLS FIRST, desc NULLS LAST)."""
     fields = []
@@ -60,7 +82,7 @@ def sort_key(df: DataFrame, order: Order) -> Column:
 
 
 def _sql_literal(value, dtype) -> str:
-    """A typed SQL literal for one field of a sampled key."""
+    """A typed SQL literal for one field of a key."""
     t = dtype.simpleString()
     if value is None:
         return f"CAST(NULL AS {t})"
@@ -77,159 +99,122 @@ def _sql_literal(value, dtype) -> str:
     raise TypeError(f"unsupported sort key type {t}")
 
 
-def _split_table(splits: list, struct_type: StructType) -> Column:
-    """The sorted split keys as one array literal (one expression, constant-folded)."""
-    try:
-        items = ", ".join("named_struct(" + ", ".join(f"'{f.name}', {_sql_literal(s[f.name], f.dataType)}"
-                                                      for f in struct_type.fields) + ")" for s in splits)
-    except TypeError:                      # other key types: typed literals through the Column API
-        return F.array(*[F.struct(*[F.lit(s[f.name]).cast(f.dataType).alias(f.name) for f in struct_type.fields])
-                         for s in splits])
-    return F.expr(f"array({items})")
-
-
-def _range_of(key: Column, splits: list, struct_type: StructType) -> Column:
-    """Number of splits ``<= key``, by binary search over the sorted splits.
-
-    The splits are one array literal.  Few splits: a balanced tree of CASE expressions over its
-    elements (fully code-generated).  Many: the same search as one ``aggregate`` fold over
-    ``log2`` steps, whose generated code does not grow with the number of splits (a CASE tree
-    of hundreds of struct literals exceeds the JVM's method size limits).
-    """
-    if not splits:
-        return F.lit(0)
-    table = _split_table(splits, struct_type)
-    if len(splits) <= CASE_TREE_MAX_SPLITS:
-        def search(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(key < table[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
-
-        return search(0, len(splits))
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(splits)).alias("hi"))
-
-    def step(bounds: Column, _: Column) -> Column:
-        lo, hi = bounds["lo"], bounds["hi"]
-        mid = F.shiftright(lo + hi, 1)
-        left = F.struct(lo.alias("lo"), mid.alias("hi"))
-        right = F.struct((mid + 1).alias("lo"), hi.alias("hi"))
-        return F.when(lo >= hi, bounds).when(key < table[mid], left).otherwise(right)
-
-    steps = F.sequence(F.lit(1), F.lit(len(splits).bit_length()))
-    return F.aggregate(steps, start, step, lambda bounds: bounds["lo"])
-
-
-def _python_order(key) -> tuple:
-    """Sort key of a collected struct, ordered as Spark orders it (a field is NULL only when its
-    NULL flag, compared first, is equal on both sides)."""
-    return tuple((0,) if v is None else (1, v) for v in key)
-
-
-def _pick_splits(sample_keys: list, buckets: int) -> list:
-    """``buckets - 1`` evenly spaced keys of the sorted sample, without repeats."""
-    if buckets <= 1 or not sample_keys:
-        return []
-    keys = sorted(sample_keys, key=_python_order)
-    out = []
-    for j in range(1, buckets):
-        pick = keys[(len(keys) * j) // buckets]
-        if not out or pick != out[-1]:
-            out.append(pick)
-    return out
-
-
-def bucket_count(n: int, parallelism: int = 1, rows_per_bucket: int = ROWS_PER_BUCKET,
-                 max_buckets: int = MAX_BUCKETS) -> int:
-    """Ranges for ``n`` rows: enough to keep each under ``rows_per_bucket`` rows and every core
-    busy (``RANGES_PER_CORE`` per core), at most ``max_buckets``, and no range expected to hold
-    fewer rows than one range's sample (so tiny inputs keep one range)."""
-    wanted = max(math.ceil(n / rows_per_bucket), RANGES_PER_CORE * parallelism)
-    return max(1, min(max_buckets, wanted, n // SAMPLES_PER_BUCKET))
-
-
-def _tile(number: Column, n: int, tiles: int) -> Column:
-    """NTILE from a 1-based row number: the first ``n % tiles`` tiles get one extra row."""
+def _literal(key: dict, struct_type: StructType) -> Column:
+    return F.expr("named_struct(" + ", ".join(f"'{f.name}', {_sql_literal(key[f.name], f.dataType)}"
+                                              for f in struct_type.fields) + ")")
+
+
+def _python_order(key: dict) -> tuple:
+    """Orders collected keys as Spark does (a field is NULL only when its NULL flag, compared first, is
+    equal on both sides)."""
+    return tuple((0,) if v is None else (1, v) for v in key.values())
+
+
+@dataclass
+class _Search:
+    """Where one boundary is: the key of ``rank`` lies above ``low`` and at or below ``high``."""
+
+    name: str
+    rank: int
+    below: int              # rows at or below ``low``
+    upto: int               # rows at or below ``high``
+    low: dict | None = None
+    high: dict | None = None
+
+    def holds(self, key: Column, kind: StructType) -> Column:
+        inside = F.lit(True)
+        if self.low is not None:
+            inside = inside & (key > _literal(self.low, kind))
+        if self.high is not None:
+            inside = inside & (key <= _literal(self.high, kind))
+        return inside
+
+    def holds_collected(self, key: dict) -> bool:
+        at = _python_order(key)
+        return ((self.low is None or at > _python_order(self.low))
+                and (self.high is None or at <= _python_order(self.high)))
+
+
+def boundary_keys(df: DataFrame, orders: dict[str, Order], ranks: Sequence[int], n: int,
+                  select_rows: int = SELECT_ROWS, seed: int = 17) -> dict[str, list[dict]]:
+    """For each order the sort keys of the rows at the given 1-based ``ranks``.
+
+    Every round is two jobs over the keys for all open searches of about one size; a round shrinks a
+    bracket to about ``4 / sqrt(select_rows)`` of its rows, or to half near its ends.  About
+    ``select_rows`` keys per search are read at once."""
+    keys = df.select(*[sort_key(df, o).alias(name) for name, o in orders.items()])
+    kinds = {name: keys.schema[name].dataType for name in orders}
+    searches = [_Search(name, r, 0, n) for name in orders for r in ranks]
+    found: dict[tuple[str, int], dict] = {}
+
+    def read(group: list[_Search], fraction: float | None, seed: int = 0) -> list[list[dict]]:
+        """Per search the keys (or a sample of them) in its bracket, sorted."""
+        some = keys if fraction is None else keys.sample(False, fraction, seed)
+        wanted = F.lit(False)
+        for s in group:
+            wanted = wanted | s.holds(F.col(s.name), kinds[s.name])
+        rows = some.where(wanted).toArrow().to_pylist()
+        return [sorted((r[s.name] for r in rows if s.holds_collected(r[s.name])), key=_python_order) for s in group]
+
+    idle = 0
+    while searches:
+        ready = [s for s in searches if s.upto - s.below <= select_rows]
+        if ready:
+            for s, inside in zip(ready, read(ready, None), strict=True):
+                found[s.name, s.rank] = inside[s.rank - s.below - 1]
+        searches = [s for s in searches if s.upto - s.below > select_rows]
+        if not searches:
+            break
+        # one sample serves searches of about the same size; each round takes the largest
+        largest = max(s.upto - s.below for s in searches)
+        group = [s for s in searches if s.upto - s.below > largest / 8]
+        tries = []
+        for s, inside in zip(group, read(group, min(1.0, max(select_rows, 64) / largest), seed), strict=True):
+            at = (s.rank - s.below) / (s.upto - s.below) * len(inside)
+            margin = 2 * math.sqrt(len(inside)) + 1
+            # around the rank, and the middle, which halves the bracket when the rank lies near an end
+            places = {int(at - margin), int(at + margin), len(inside) // 2}
+            tries.append([inside[i] for i in sorted(places) if 0 <= i < len(inside)])
+        counted = [F.count_if(F.col(s.name) <= _literal(key, kinds[s.name])).alias(f"c{i}_{j}")
+                   for i, (s, some) in enumerate(zip(group, tries, strict=True)) for j, key in enumerate(some)]
+        counts = keys.agg(F.count(F.lit(1)), *counted).first()
+        before = [(s.below, s.upto) for s in searches]
+        for i, (s, some) in enumerate(zip(group, tries, strict=True)):
+            for j, key in enumerate(some):
+                upto = counts[f"c{i}_{j}"]
+                if s.below < upto < s.rank:
+                    s.low, s.below = key, upto
+                elif s.rank <= upto < s.upto:
+                    s.high, s.upto = key, upto
+        seed += 1
+        idle = idle + 1 if before == [(s.below, s.upto) for s in searches] else 0
+        if idle >= 8:
+            raise ValueError("the order is not total: more equal keys than a bracket may hold")
+    return {name: [found[name, r] for r in ranks] for name in orders}
+
+
+def ntiles(df: DataFrame, tiles: int, orders: dict[str, Order], n: int | None = None,
+           select_rows: int = SELECT_ROWS) -> DataFrame:
+    """``NTILE(tiles) OVER (ORDER BY order)`` for each entry of ``orders`` (name -> order): the first
+    ``n % tiles`` tiles hold one row more.  ``df`` is read several times: store it first."""
+    n = df.count() if n is None else n
     q, r = divmod(n, tiles)
-    i = number - 1
-    big = r * (q + 1)                      # rows in the larger tiles
-    tile = idiv(i, F.lit(q + 1)) + 1
-    if q > 0:
-        tile = F.when(i < big, tile).otherwise(idiv(i - big, F.lit(q)) + r + 1)
-    return tile.cast("int")
-
-
-def global_row_numbers(df: DataFrame, orders: dict[str, Order], key_source: DataFrame | None = None,
-                       n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-                       max_buckets: int = MAX_BUCKETS, buckets: int | None = None,
-                       seed: int = 17) -> tuple[DataFrame, int]:
-    """Add one column per entry of ``orders`` (name -> order): the 1-based position of each row
-    in that order.  Returns ``(frame, row count)``.
-
-    ``key_source`` may be a cheaper DataFrame holding the same multiset of order columns (the
-    base table behind a derived one, or a checkpoint); the statistics of all orders come from it
-    in at most three small jobs run now - a count (skipped when ``n`` is given), one sample and
-    one count of rows per range (at most ``len(orders) * max_buckets`` numbers).  The offsets
-    are then literals: the returned frame is lazy, has no join and no single-partition step
-    (unless the input is too small to be worth more than one range).
-    """
-    src = key_source if key_source is not None else df
-    names = list(orders)
-    keys = src.select(*[sort_key(src, orders[o]).alias(f"_k{i}") for i, o in enumerate(names)])
-    types = [keys.schema[f"_k{i}"].dataType for i in range(len(names))]
-    if n is None:
-        n = keys.count()
-    if buckets is None:
-        buckets = bucket_count(n, cluster_parallelism(df.sparkSession), rows_per_bucket, max_buckets)
-    buckets = min(buckets, max_buckets)
-    cols = [F.col(c) for c in df.columns]
-    if buckets <= 1 or n == 0:
-        numbers = [F.row_number().over(Window.orderBy(sort_key(df, orders[o]))).cast("long").alias(o)
-                   for o in names]
-        return df.select(*cols, *numbers), n
-
-    sample = keys.sample(False, min(1.0, buckets * SAMPLES_PER_BUCKET / n), seed).collect()  # bounded
-    splits = [_pick_splits([row[i] for row in sample], buckets) for i in range(len(names))]
-    # one range expression per order over its key column "_k<i>", used for the counts and the numbers
-    ranges = [_range_of(F.col(f"_k{i}"), splits[i], types[i]) for i in range(len(names))]
-    tagged = keys.select(F.explode(F.array(*[F.struct(F.lit(i).alias("o"), r.alias("b"))
-                                              for i, r in enumerate(ranges)])).alias("t"))
-    counts = {(r["o"], r["b"]): r["c"]        # at most len(orders) * max_buckets rows
-              for r in tagged.groupBy("t.o", "t.b").agg(F.count(F.lit(1)).alias("c")).collect()}
-
-    numbers = []
-    for i, name in enumerate(names):
-        offsets, total = [], 0
-        for b in range(len(splits[i]) + 1):
-            offsets.append(total)
-            total += counts.get((i, b), 0)
-        offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col(f"_b{i}") + 1)
-        within = F.row_number().over(Window.partitionBy(f"_b{i}").orderBy(f"_k{i}"))
-        numbers.append((within + offset).cast("long").alias(name))
-    staged = df.select(*cols, *[sort_key(df, orders[o]).alias(f"_k{i}") for i, o in enumerate(names)])
-    staged = staged.select("*", *[r.alias(f"_b{i}") for i, r in enumerate(ranges)])
-    return staged.select(*cols, *numbers), n
-
-
-def global_row_number(df: DataFrame, order: Order, out: str = "row_number", key_source: DataFrame | None = None,
-                      **kwargs) -> tuple[DataFrame, int]:
-    """``global_row_numbers`` for one order."""
-    return global_row_numbers(df, {out: order}, key_source, **kwargs)
-
-
-def ntiles(df: DataFrame, tiles: int, orders: dict[str, Order], key_source: DataFrame | None = None,
-           **kwargs) -> DataFrame:
-    """``NTILE(tiles) OVER (ORDER BY order)`` for each entry of ``orders`` (name -> order),
-    sharing one set of statistics jobs."""
-    numbered = {f"_rn_{name}": order for name, order in orders.items()}
-    ranked, n = global_row_numbers(df, numbered, key_source, **kwargs)
-    for name in orders:
-        ranked = ranked.withColumn(name, _tile(F.col(f"_rn_{name}"), n, tiles)).drop(f"_rn_{name}")
-    return ranked
-
-
-def ntile(df: DataFrame, tiles: int, order: Order, out: str, key_source: DataFrame | None = None,
-          **kwargs) -> DataFrame:
-    """``NTILE(tiles) OVER (ORDER BY order)``: the first ``n % tiles`` tiles get one extra row."""
-    return ntiles(df, tiles, {out: order}, key_source, **kwargs)
+    ends = [t * q + min(t, r) for t in range(1, tiles)]
+    ends = [e for e in dict.fromkeys(ends) if 0 < e < n]       # last rank of each tile but the last
+    bounds = boundary_keys(df, orders, ends, n, select_rows) if ends else {name: [] for name in orders}
+    tile_of = {e: t for t in range(tiles - 1, 0, -1) for e in [t * q + min(t, r)] if e in ends}
+    last_tile = tiles if q else max(r, 1)
+    columns = []
+    for name, order in orders.items():
+        key = sort_key(df, order)
+        kind = df.select(key.alias("k")).schema["k"].dataType
+        tile = F.lit(last_tile)
+        for end, bound in reversed(list(zip(ends, bounds[name], strict=True))):
+            tile = F.when(key <= _literal(bound, kind), F.lit(tile_of[end])).otherwise(tile)
+        columns.append(tile.cast("int").alias(name))
+    return df.select(*df.columns, *columns)
+
+
+def ntile(df: DataFrame, tiles: int, order: Order, out: str, **options) -> DataFrame:
+    """``ntiles`` for one order."""
+    return ntiles(df, tiles, {out: order}, **options)

@@ -1,151 +1,165 @@
 """30-day readmission detection and readmission rates by any dimension.
 
-The readmission flag of an admission needs the date of the patient's *next*
-admission: ``LEAD(Date_of_Admission) OVER (PARTITION BY Name ORDER BY
-Date_of_Admission, Admission_ID)``.  A direct window partitioned by patient puts
-one patient's whole history into one task, which breaks when one patient (or the
-NULL name) holds a large share of the rows.  The same value is computed here
-without that partition:
-
-* the rows of one patient and one day are consecutive in the window order, so
-  every row but the last of its (patient, day) group is followed by a row of the
-  *same* day, and the last one by the first row of the patient's next day;
-* ``days`` = one row per (patient, day) with the last tie-breaker, built with a
-  partial (map-side) aggregate, so copies of a hot key are combined before the
-  shuffle;
-* the next day per patient is a ``lead`` over ``days``, whose partitions hold at
-  most one row per calendar day and patient - bounded by the calendar, not by
-  the data;
-* a join on (patient, day) brings the two values back: a shuffled hash join built
-  on ``days`` (one row per key, so the build side has no hot key), whose streamed
-  row side AQE splits when one (patient, day) key holds many rows.
-
-That plan costs three more exchanges (of a narrow table) than the plain window.
-``strategy="auto"`` uses the plain window only behind a check of the largest
-patient history (one aggregate of counts per patient), as a broadcast is used only
-behind a size check.  Measured on stored inputs: for the rate breakdowns ``auto``
-took 0.66 s vs 0.88 s (sf0.1) and 3.6 s vs 5.0 s (16 x sf0.1); for the full scored
-rows at 16 x it took 8.5 s vs 7.5 s (the window sorts the wide rows, and the check
-itself is a scan).  So ``readmission_rate`` (flags feeding an aggregate) defaults to
-``"auto"`` and ``flag_readmissions`` (per-row output) to the day-table plan.
+The readmission flag of an admission needs the date of the patient's *next* admission: ``LEAD(admission
+day) OVER (PARTITION BY patient ORDER BY admission day, ...)``.  That window would put one patient's whole
+history (or all rows without a name) into one task.  The same value comes from a *day table*:
+
+* rows of one patient and day are consecutive in the window order, so every row but the day's last is
+  followed by a row of the same day, and the last by the patient's next day;
+* the day's last row is a ``max`` per (patient, day), combined map-side;
+* the next day is a ``lead`` over one row per patient and day, so its partitions are bounded by the
+  calendar, not by the data.
+
+Order.  Admissions of one patient and day are ordered by the admission id where the table has one, then
+by all other columns in table order.  Only rows equal in every column stay tied, and those are
+interchangeable, so NULL, repeated or missing ids are ordered as well as good ones.
+
+There is one plan for all sizes.  Rates need no join: all rows are counted as if followed by the same
+day, and the day's last rows add the difference that their true next day makes.  Row output joins the
+day table to the rows, in which equal rows were first collapsed into one with a count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortcart.functions.bands import age_group, stay_length_group
 from cohortcart.functions.rounding import pct_half_up
-from cohortcart.session import cluster_parallelism
 
-WINDOW_MAX_GROUP_ROWS = 1_000_000     # never more than this many rows of one patient in a window task
+ADMISSION_ID = "Admission_ID"
 
-def day_table(df: DataFrame, patient: str = "Name", admitted: str = "Date_of_Admission",
-              tie_breaker: str = "Admission_ID") -> DataFrame:
-    """One row per (patient, day): ``_p``, ``_d``, the day's last tie-breaker ``_last`` and
-    ``_next_day``, the patient's next admission day (a ``lead`` over at most one row per patient
-    and calendar day).  A partial aggregate: copies are combined before the shuffle."""
-    days = (df.groupBy(F.col(patient).alias("_p"), F.col(admitted).alias("_d"))
-            .agg(F.max(tie_breaker).alias("_last")))
-    by_patient = Window.partitionBy("_p").orderBy(F.col("_d").asc_nulls_first())
-    return days.withColumn("_next_day", F.lead("_d").over(by_patient))
 
+def tie_columns(df: DataFrame, patient: str = "Name", admitted: str = "Date_of_Admission",
+                admission_id: str | None = ADMISSION_ID) -> list[str]:
+    """Columns that order admissions of one patient and day: the id if there is one, then all others."""
+    rest = [c for c in df.columns if c not in (patient, admitted)]
+    return sorted(rest, key=lambda c: c != admission_id)
 
-def largest_history_is_bounded(df: DataFrame, patient: str = "Name",
-                               max_group_rows: int = WINDOW_MAX_GROUP_ROWS) -> bool:
-    """True when no patient (the NULL name included) has more admissions than
-    ``min(max_group_rows, all rows / (2 x cores))``: one aggregate of counts per patient,
-    combined map-side, and one row back to the driver."""
-    stats = (df.groupBy(patient).agg(F.count(F.lit(1)).alias("_n"))
-             .agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first())
-    if stats["largest"] is None:
-        return True
-    share = stats["total"] // (2 * cluster_parallelism(df.sparkSession))
-    return stats["largest"] <= min(max_group_rows, max(share, 1))
 
+def _person(patient: str, same_person: Callable[[Column], Column] | None) -> Column:
+    name = F.col(patient)
+    return same_person(name) if same_person else name
 
-def _flag(df: DataFrame, next_adm: Column, discharged: str, lo: int, hi: int) -> DataFrame:
-    gap = F.datediff(F.col("next_admission"), F.col(discharged))
-    return (df.withColumn("next_admission", next_adm)
-            .withColumn("days_until_readmission", gap)
-            .withColumn("is_readmission",
-                        F.when(F.col("days_until_readmission").between(lo, hi), 1).otherwise(0)))
+
+def day_table(rows: DataFrame) -> DataFrame:
+    """``_p, _d, _last, _next_day`` of rows ``_p`` (patient), ``_d`` (day), ``_t`` (a struct that orders the
+    day's rows): one row per patient and day with its greatest ``_t`` and the patient's next day."""
+    days = rows.groupBy("_p", "_d").agg(F.max("_t").alias("_last"))
+    by_patient = Window.partitionBy("_p").orderBy(F.col("_d").asc_nulls_first())
+    return days.withColumn("_next_day", F.lead("_d").over(by_patient))
 
 
 def flag_readmissions(df: DataFrame, patient: str = "Name", admitted: str = "Date_of_Admission",
-                      discharged: str = "Discharge_Date", tie_breaker: str = "Admission_ID",
-                      lo: int = 1, hi: int = 30, strategy: str = "day_table",
-                      join_hint: str | None = "shuffle_hash") -> DataFrame:
+                      discharged: str = "Discharge_Date", admission_id: str | None = ADMISSION_ID,
+                      lo: int = 1, hi: int = 30,
+                      same_person: Callable[[Column], Column] | None = None) -> DataFrame:
     """Add ``next_admission``, ``days_until_readmission`` and ``is_readmission`` to every admission.
 
-    ``tie_breaker`` must be unique and non-NULL; it orders admissions of one patient on one day.
-    ``days_until_readmission`` = days from this discharge to the next admission (NULL for the last
-    stay or a missing discharge); ``is_readmission`` = 1 when it lies in ``[lo, hi]``, else 0.
-    NULL patients form one patient, as in ``PARTITION BY``.
-
-    ``strategy``: ``"day_table"`` (default; skew-safe, see the module notes), ``"window"``
-    (plain per-patient window; only for histories known to be bounded) or ``"auto"`` (checks the
-    largest history with ``largest_history_is_bounded`` and picks).  All give the same rows.
+    ``days_until_readmission`` = days from this discharge to the next admission (NULL for the last stay or
+    a missing discharge); ``is_readmission`` = 1 when it lies in ``[lo, hi]``, else 0.  NULL patients form
+    one patient, as in ``PARTITION BY``.  ``same_person`` maps names to what identifies a person, e.g.
+    ``F.lower`` to ignore case.
     """
-    if strategy == "auto":
-        strategy = "window" if largest_history_is_bounded(df, patient) else "day_table"
-    if strategy == "window":
-        order = Window.partitionBy(patient).orderBy(F.col(admitted).asc_nulls_first(), F.col(tie_breaker).asc())
-        return _flag(df, F.lead(admitted).over(order), discharged, lo, hi)
-    if strategy != "day_table":
-        raise ValueError(f"unknown strategy {strategy!r}")
-    days = day_table(df, patient, admitted, tie_breaker)
-    if join_hint:
-        days = days.hint(join_hint)
-    joined = df.join(days, on=[df[patient].eqNullSafe(days["_p"]), df[admitted].eqNullSafe(days["_d"])],
-                     how="inner")
-    next_adm = F.when(F.col(tie_breaker) == F.col("_last"), F.col("_next_day")).otherwise(F.col(admitted))
-    return _flag(joined, next_adm, discharged, lo, hi).drop("_p", "_d", "_last", "_next_day")
-
-
-def readmissions(flagged: DataFrame, lo: int = 1, hi: int = 30) -> DataFrame:
+    ties = tie_columns(df, patient, admitted, admission_id)
+    # equal rows become one with a count, map-side; all but the last copy are followed by the same day
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    rows = rows.withColumns({"_p": _person(patient, same_person), "_d": F.col(admitted), "_t": F.struct(*ties)})
+    days = day_table(rows).select(F.col("_p").alias("_day_p"), F.col("_d").alias("_day_d"), "_last", "_next_day")
+    joined = rows.join(days, F.col("_p").eqNullSafe(F.col("_day_p")) & F.col("_d").eqNullSafe(F.col("_day_d")))
+    each = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    last = F.col("_t").eqNullSafe(F.col("_last")) & (F.col("_copy") == F.col("_copies"))
+    gap = F.datediff(F.col("next_admission"), F.col(discharged))
+    return (each.select(*df.columns, F.when(last, F.col("_next_day")).otherwise(F.col(admitted)).alias("next_admission"))
+            .withColumn("days_until_readmission", gap)
+            .withColumn("is_readmission", F.when(gap.between(lo, hi), 1).otherwise(0)))
+
+
+def readmissions(flagged: DataFrame, lo: int = 1, hi: int = 30, patient: str = "Name",
+                 admitted: str = "Date_of_Admission", discharged: str = "Discharge_Date",
+                 condition: str = "Medical_Condition") -> DataFrame:
     """Admissions followed by another admission of the same patient ``lo..hi`` days after discharge."""
-    days = F.col("days_until_readmission")
-    return (flagged.filter((days >= lo) & (days <= hi))
-            .select("Name",
-                    F.col("Date_of_Admission").alias("current_admission"),
-                    F.col("Discharge_Date").alias("current_discharge"),
-                    "Medical_Condition", "next_admission", "days_until_readmission"))
+    return flagged.where(F.col("days_until_readmission").between(lo, hi)).select(
+        patient, F.col(admitted).alias("current_admission"), F.col(discharged).alias("current_discharge"),
+        condition, "next_admission", "days_until_readmission")
 
 
 def length_of_stay(admitted: str = "Date_of_Admission", discharged: str = "Discharge_Date") -> Column:
     return F.datediff(F.col(discharged), F.col(admitted))
 
 
-def rate_from_flags(flagged: DataFrame, dim: Column | str, name: str | None = None,
-                    count_name: str = "total_admissions", sort: bool = True) -> DataFrame:
-    """Admissions, readmissions and rate per value of ``dim`` over already flagged admissions."""
-    key = (F.col(dim) if isinstance(dim, str) else dim).alias(name or (dim if isinstance(dim, str) else "dim"))
-    out = (flagged.groupBy(key)
-           .agg(F.count(F.lit(1)).alias(count_name), F.sum("is_readmission").alias("readmissions"))
-           .withColumn("readmission_rate_percent", pct_half_up(F.col("readmissions"), F.col(count_name))))
-    return out.orderBy(F.desc("readmission_rate_percent")) if sort else out
+def readmission_counts(df: DataFrame, dims: dict[str, Column], patient: str = "Name",
+                       admitted: str = "Date_of_Admission", discharged: str = "Discharge_Date",
+                       admission_id: str | None = ADMISSION_ID, lo: int = 1, hi: int = 30,
+                       same_person: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Admissions ``n`` and readmissions ``hits`` per combination of ``dims`` (name -> expression).
+
+    No join: every row counts a hit if a same-day next admission would be one, and the last row of each
+    day adds or takes what its true next day changes."""
+    def hit(next_day: str) -> Column:
+        return F.datediff(F.col(next_day), F.col("_e")).between(lo, hi).cast("int")
+
+    named = {f"_k{i}": expr for i, expr in enumerate(dims.values())}
+    ties = tie_columns(df, patient, admitted, admission_id)
+    rows = df.select(_person(patient, same_person).alias("_p"), F.col(admitted).alias("_d"),
+                     F.struct(F.struct(*ties).alias("t"), F.col(discharged).alias("e"),
+                              *[e.alias(k) for k, e in named.items()]).alias("_t"))
+    last = day_table(rows).select("_d", "_next_day", F.col("_last.e").alias("_e"),
+                                  *[F.col(f"_last.{k}").alias(k) for k in named])
+    change = F.coalesce(hit("_next_day"), F.lit(0)) - F.coalesce(hit("_d"), F.lit(0))
+    moved = last.select(*named, F.lit(0).alias("n"), change.alias("h")).where("h <> 0")
+    every = df.select(*[e.alias(k) for k, e in named.items()], F.col(admitted).alias("_d"),
+                      F.col(discharged).alias("_e"))
+    every = every.select(*named, F.lit(1).alias("n"), F.coalesce(hit("_d"), F.lit(0)).alias("h"))
+    counted = every.unionByName(moved).groupBy(*named).agg(F.sum("n").alias("n"), F.sum("h").alias("hits"))
+    return counted.select(*[F.col(k).alias(name) for k, name in zip(named, dims, strict=True)], "n", "hits")
+
+
+def _with_rate(counts: DataFrame, count_name: str) -> DataFrame:
+    return (counts.withColumnsRenamed({"n": count_name, "hits": "readmissions"})
+            .withColumn("readmission_rate_percent", pct_half_up(F.col("readmissions"), F.col(count_name))))
 
 
 def readmission_rate(admissions: DataFrame, dim: Column | str, name: str | None = None,
-                     count_name: str = "total_admissions", sort: bool = True, strategy: str = "auto",
-                     **flag_options) -> DataFrame:
+                     count_name: str = "total_admissions", sort: bool = True, **options) -> DataFrame:
     """Admissions, readmissions and the readmission rate (%, 2 places, half-up) per value of ``dim``.
 
-    The denominator counts every admission of the group, last stays included; NULL keys form a
-    group.  The flags only feed an aggregate here, so ``strategy`` defaults to ``"auto"``: the
-    plain per-patient window behind a check of the largest history, else the day-table plan
-    (both skew-safe; see ``flag_readmissions``).  ``flag_options`` go to ``flag_readmissions``.
-    """
-    flagged = flag_readmissions(admissions, strategy=strategy, **flag_options)
-    return rate_from_flags(flagged, dim, name, count_name, sort)
+    The denominator counts every admission of the group, last stays included; NULL keys form a group.
+    ``options`` go to ``readmission_counts``."""
+    expr = F.col(dim) if isinstance(dim, str) else dim
+    out = _with_rate(readmission_counts(admissions, {name or (dim if isinstance(dim, str) else "dim"): expr},
+                                        **options), count_name)
+    return out.orderBy(F.desc("readmission_rate_percent")) if sort else out
+
+
+def readmission_rates(admissions: DataFrame, dims: dict[str, Column], **options) -> DataFrame:
+    """``dimension, value, total_admissions, readmissions, readmission_rate_percent`` for several
+    dimensions from one pass: the flags are computed once, counted per combination of values, and those
+    counts are added up per dimension."""
+    counts = readmission_counts(admissions, dims, **options)
+    each = F.array(*[F.struct(F.lit(name).alias("dimension"), F.col(name).cast("string").alias("value"))
+                     for name in dims])
+    stacked = counts.select(F.explode(each).alias("k"), "n", "hits").select("k.*", "n", "hits")
+    return _with_rate(stacked.groupBy("dimension", "value").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")),
+                      "total_admissions")
+
+
+def rate_from_flags(flagged: DataFrame, dim: Column | str, name: str | None = None,
+                    count_name: str = "total_admissions", sort: bool = True) -> DataFrame:
+    """Admissions, readmissions and rate per value of ``dim`` over already flagged admissions."""
+    key = (F.col(dim) if isinstance(dim, str) else dim).alias(name or (dim if isinstance(dim, str) else "dim"))
+    out = _with_rate(flagged.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("is_readmission").alias("hits")),
+                     count_name)
+    return out.orderBy(F.desc("readmission_rate_percent")) if sort else out
 
 
-def rate_by_age(admissions: DataFrame, sort: bool = True, **options) -> DataFrame:
-    return readmission_rate(admissions, age_group("Age"), "age_group", "total_patients", sort, **options)
+def rate_by_age(admissions: DataFrame, sort: bool = True, age: str = "Age", **options) -> DataFrame:
+    return readmission_rate(admissions, age_group(age), "age_group", "total_patients", sort, **options)
 
 
-def rate_by_stay(admissions: DataFrame, sort: bool = True, **options) -> DataFrame:
-    return readmission_rate(admissions, stay_length_group(length_of_stay()), "stay_length_group",
-                            "total_admissions", sort, **options)
+def rate_by_stay(admissions: DataFrame, sort: bool = True, admitted: str = "Date_of_Admission",
+                 discharged: str = "Discharge_Date", **options) -> DataFrame:
+    return readmission_rate(admissions, stay_length_group(length_of_stay(admitted, discharged)), "stay_length_group",
+                            "total_admissions", sort, admitted=admitted, discharged=discharged, **options)

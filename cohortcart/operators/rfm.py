@@ -12,6 +12,7 @@ from cohortcart.functions.rounding import pct_half_up_decimal
 from cohortcart.operators.ranking import ntiles
 from cohortcart.operators.sales import MONEY
 from cohortcart.operators.shares import share_by
+from cohortcart.session import stored
 
 
 def _day(as_of) -> F.Column:
@@ -45,15 +46,14 @@ def rfm_scores(df: DataFrame, as_of, tiles: int = 5, best_high: bool = False, so
     (``CustomerID`` breaks ties), and their sum.  Tile 1 holds the best customers; with
     ``best_high=True`` the scale is flipped so that ``tiles`` is best.
 
-    The per-customer values are checkpointed once (in the session's checkpoint directory):
-    the three exact distributed NTILEs read that, sharing one count, one sample and one job
-    of per-range counts, instead of re-aggregating the lines.
+    The per-customer values are stored once under the session's checkpoint folder; the boundary keys of
+    all three scores are found over them together, and the scores are comparisons with those keys.
     """
-    values = rfm_values(df, as_of, sort=False).checkpoint(eager=True)
+    values = stored(rfm_values(df, as_of, sort=False), "rfm-values")
     orders = {"RecencyScore": [("Recency", True), ("CustomerID", True)],
               "FrequencyScore": [("Frequency", False), ("CustomerID", True)],
               "MonetaryScore": [("Monetary", False), ("CustomerID", True)]}
-    scored = ntiles(values, tiles, orders, key_source=values, **ntile_options)
+    scored = ntiles(values, tiles, orders, **ntile_options)
     scores = ["RecencyScore", "FrequencyScore", "MonetaryScore"]
     cols = [(tiles + 1 - F.col(c)).alias(c) if best_high else F.col(c) for c in scores]
     out = scored.select("CustomerID", *cols)

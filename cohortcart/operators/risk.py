@@ -13,7 +13,7 @@ from cohortcart.functions.bands import (ALERT_CATEGORIES, RISK_CATEGORY_ORDER, R
                                         risk_category)
 from cohortcart.functions.rounding import pct_half_up_int
 from cohortcart.operators.ranking import global_row_number
-from cohortcart.operators.readmission import length_of_stay
+from cohortcart.operators.readmission import length_of_stay, tie_columns
 from cohortcart.operators.shares import share_by
 
 # ---- fixed values: alert text -----------------------------------------------------------
@@ -22,6 +22,7 @@ ALERT_MESSAGE_PREFIX = "Patient identified as "
 ALERT_MESSAGE_SUFFIX = " for 30-day readmission. Consider enhanced follow-up."
 # -----------------------------------------------------------------------------------------
 
+# ---- fixed values: names of scored attributes and of the persisted record -----------------
 SCORE_COLUMNS = ["Name", "Medical_Condition", "Age", "Admission_Type", "Insurance_Provider", "Medication",
                  "Test_Results", "length_of_stay", "total_risk_score", "risk_category", "was_readmitted"]
 
@@ -31,6 +32,7 @@ RECORD_COLUMNS = [("PatientName", "Name"), ("MedicalCondition", "Medical_Conditi
                   ("Medication", "Medication"), ("TestResults", "Test_Results"),
                   ("LengthOfStay", "length_of_stay"), ("TotalRiskScore", "total_risk_score"),
                   ("RiskCategory", "risk_category")]
+# -----------------------------------------------------------------------------------------
 
 
 def timestamp_text(ts) -> str:
@@ -42,48 +44,49 @@ def timestamp_text(ts) -> str:
     return str(ts)
 
 
-def risk_factors(flagged: DataFrame, rulebook: dict = RISK_RULEBOOK) -> DataFrame:
-    """All columns of the flagged admissions plus ``length_of_stay``, one column of points per
-    factor of ``rulebook``, ``total_risk_score``, ``risk_category`` and ``was_readmitted``.
+def risk_factors(admissions: DataFrame, rulebook: dict = RISK_RULEBOOK, admitted: str = "Date_of_Admission",
+                 discharged: str = "Discharge_Date") -> DataFrame:
+    """All columns of the admissions plus ``length_of_stay``, one column of points per factor of
+    ``rulebook``, ``total_risk_score`` and ``risk_category``: a projection of the scan, no join.
 
-    The points never look at ``was_readmitted``; it is there to validate the score against.
     A NULL stay earns 0 points here (no rule holds).
     """
-    f = flagged.withColumn("length_of_stay", length_of_stay())
+    f = admissions.withColumn("length_of_stay", length_of_stay(admitted, discharged))
     points = [first_match(col, rules, default).cast("int").alias(name)
               for name, (col, rules, default) in rulebook.items()]
     f = f.select("*", *points)
     total = reduce(add, [F.col(name) for name in rulebook])
     return (f.withColumn("total_risk_score", total.cast("int"))
-            .withColumn("risk_category", risk_category("total_risk_score"))
-            .withColumn("was_readmitted", F.col("is_readmission")))
-
-
-def score_risk(flagged: DataFrame, rulebook: dict = RISK_RULEBOOK, sort: bool = True,
-               tie_breaker: str = "Admission_ID") -> DataFrame:
-    """Per admission: the scored attributes, total score, category and observed readmission,
-    highest score first.  The score has a few hundred values at most, so the sort also orders by
-    the unique ``tie_breaker`` (not returned): the range partitioning of the sort can then split a
-    score shared by a large share of the rows."""
-    out = risk_factors(flagged, rulebook).select(*SCORE_COLUMNS, tie_breaker)
-    if sort:
-        out = out.orderBy(F.desc("total_risk_score"), F.asc(tie_breaker))
-    return out.drop(tie_breaker)
-
-
-def risk_records(factors: DataFrame, run_ts, start_id: int = 0, id_source: DataFrame | None = None,
-                 order_by: str = "Admission_ID", **rank_options) -> DataFrame:
-    """Rows of the persisted score table for one run: ``ID`` continues after ``start_id`` in
-    ``order_by`` order (exact, gap-free, computed without a single-partition sort), and every row
-    carries the same ``CalculationDate`` literal."""
-    ranked, _ = global_row_number(factors, [(order_by, True)], "_seq", key_source=id_source, **rank_options)
+            .withColumn("risk_category", risk_category("total_risk_score")))
+
+
+def score_risk(flagged: DataFrame, rulebook: dict = RISK_RULEBOOK, sort: bool = True) -> DataFrame:
+    """Per flagged admission: the scored attributes, total score, category and observed readmission
+    (``was_readmitted``, to validate the score against; the points never look at it), highest score
+    first.  The score has a few hundred values at most, so the sort goes on with the other columns of
+    the admission (not returned): its range partitioning can then split a score that many rows share."""
+    scored = risk_factors(flagged, rulebook).withColumn("was_readmitted", F.col("is_readmission"))
+    if not sort:
+        return scored.select(*SCORE_COLUMNS)
+    ties = tie_columns(flagged, "", "")
+    return (scored.select(*SCORE_COLUMNS, F.struct(*ties).alias("_ties"))
+            .orderBy(F.desc("total_risk_score"), F.asc("_ties")).drop("_ties"))
+
+
+def risk_records(factors: DataFrame, run_ts, start_id: int = 0, n: int | None = None, **rank_options) -> DataFrame:
+    """Rows of the persisted score table for one run: ``ID`` continues after ``start_id`` in order of the
+    admission id and then of all other columns (exact and gap-free), and every row carries the same
+    ``CalculationDate``."""
+    derived = {*RISK_RULEBOOK, "length_of_stay", "total_risk_score", "risk_category"}
+    order = [(c, True) for c in tie_columns(factors, "", "") if c not in derived]
+    ranked = global_row_number(factors, order, "_seq", n, **rank_options)
     return ranked.select((F.col("_seq") + F.lit(start_id)).cast("long").alias("ID"),
                          *[F.col(src).alias(dst) for dst, src in RECORD_COLUMNS],
                          F.lit(timestamp_text(run_ts)).cast("timestamp_ntz").alias("CalculationDate"))
 
 
-def build_alerts(records: DataFrame, as_of, created_ts, start_id: int = 0) -> DataFrame:
-    """One alert per High / Very High record calculated on day ``as_of``.
+def due_for_alert(records: DataFrame, as_of) -> DataFrame:
+    """High / Very High records calculated on day ``as_of``.
 
     The day test is a range on ``CalculationDate`` (pushed to the scan); it compares the *date*
     of the calculation, which is what the alert step intends - an equality between the stored
@@ -93,9 +96,14 @@ def build_alerts(records: DataFrame, as_of, created_ts, start_id: int = 0) -> Da
         dt.date.fromisoformat(str(as_of)[:10])
     lo = F.lit(f"{day.isoformat()} 00:00:00").cast("timestamp_ntz")
     hi = F.lit(f"{(day + dt.timedelta(days=1)).isoformat()} 00:00:00").cast("timestamp_ntz")
-    due = records.filter(F.col("RiskCategory").isin(ALERT_CATEGORIES)
-                         & (F.col("CalculationDate") >= lo) & (F.col("CalculationDate") < hi))
-    ranked, _ = global_row_number(due, [("ID", True)], "_seq")
+    return records.filter(F.col("RiskCategory").isin(ALERT_CATEGORIES)
+                          & (F.col("CalculationDate") >= lo) & (F.col("CalculationDate") < hi))
+
+
+def build_alerts(records: DataFrame, as_of, created_ts, start_id: int = 0, n: int | None = None) -> DataFrame:
+    """One alert per record ``due_for_alert``, numbered in order of the records.  ``n`` (about how many
+    records there are; counted if not given) only sets how finely the numbering is split."""
+    ranked = global_row_number(due_for_alert(records, as_of), [("ID", True)], "_seq", n)
     message = F.concat(F.lit(ALERT_MESSAGE_PREFIX), F.col("RiskCategory"), F.lit(ALERT_MESSAGE_SUFFIX))
     return ranked.select((F.col("_seq") + F.lit(start_id)).cast("long").alias("ID"), "PatientName",
                          F.lit(ALERT_TYPE).alias("AlertType"), message.alias("AlertMessage"),

@@ -1,11 +1,13 @@
 """The repeatable scoring job: score every admission, append the scores, raise alerts.
 
-Two write jobs in order (alerts read the score table just written), no transaction
-around them.  Each run appends, so a second run adds a second set of rows.  The
-run time is one explicit timestamp stamped on every row.  Output tables are
-parquet tables created on first use, optionally at an explicit location in shared
-storage.  ``ID`` continues after the table's current maximum, which assumes a
-single writer per table.
+Two write jobs in order (alerts read the score table just written), no transaction around them.  The run
+time is one explicit timestamp stamped on every row.  Output tables are parquet tables created on first
+use, optionally at an explicit location in shared storage.  ``ID`` continues after the table's current
+maximum, which assumes a single writer per table.
+
+By default each run appends, so a second run adds a second set of rows.  With ``by_run_date=True`` both
+tables are partitioned by ``run_date`` and a run replaces its date's partition: a failed and repeated run
+leaves one set of rows with the same ids, and the alert step reads one partition.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortcart.operators.readmission import flag_readmissions
 from cohortcart.operators.risk import build_alerts, risk_factors, risk_records
 
+# ---- fixed values: names of the output tables and their columns ------------------------------
 RISK_TABLE = "PatientReadmissionRisk"
 ALERTS_TABLE = "PatientAlerts"
 
@@ -28,6 +30,8 @@ RISK_TABLE_COLUMNS = ("ID BIGINT, PatientName STRING, MedicalCondition STRING, A
                       "TotalRiskScore INT, RiskCategory STRING, CalculationDate TIMESTAMP_NTZ")
 ALERTS_TABLE_COLUMNS = ("ID BIGINT, PatientName STRING, AlertType STRING, AlertMessage STRING, "
                         "CreatedDate TIMESTAMP_NTZ")
+# -----------------------------------------------------------------------------------------
+RUN_DATE = "run_date"
 
 
 @dataclass
@@ -39,42 +43,69 @@ class RiskBatchResult:
     first_alert_id: int
 
 
-def ensure_table(spark: SparkSession, name: str, columns: str, location: str | None = None) -> bool:
+def ensure_table(spark: SparkSession, name: str, columns: str, location: str | None = None,
+                 partitioned: bool = False) -> bool:
     """``CREATE TABLE IF NOT EXISTS`` (parquet), at ``location`` when given; True if it existed."""
     existed = spark.catalog.tableExists(name)
     where = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{where}")
+    parts = f" PARTITIONED BY ({RUN_DATE} DATE)" if partitioned else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{parts}{where}")
+    if partitioned and location and not existed and _exists(spark, location):
+        spark.catalog.recoverPartitions(name)          # partitions of earlier runs
     return existed
 
 
-def _max_id(spark: SparkSession, table: str, may_hold_rows: bool = True) -> int:
-    """Largest ``ID`` so far; 0 without a scan for a managed table this run created.  A table
-    created at an explicit location may re-attach rows of earlier runs, so it is always read."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, asked of the file system that Spark itself uses for it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _max_id(table: DataFrame, may_hold_rows: bool = True) -> int:
+    """Largest ``ID`` so far; 0 without a scan for a managed table this run created.  A table created at an
+    explicit location may hold rows of earlier runs, so its ``ID`` column is always read."""
     if not may_hold_rows:
         return 0
-    return spark.table(table).agg(F.max("ID")).first()[0] or 0
+    return table.agg(F.max("ID")).first()[0] or 0
+
+
+def _append(rows: DataFrame, name: str, day: str | None) -> None:
+    """Appends to the table, or replaces its partition of ``day``."""
+    if day is None:
+        rows.write.insertInto(name)
+        return
+    spark = rows.sparkSession
+    rows.createOrReplaceTempView("_scoring_rows")
+    columns = ", ".join(rows.columns)
+    spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION ({RUN_DATE} = DATE '{day}') SELECT {columns} FROM _scoring_rows")
+    spark.catalog.dropTempView("_scoring_rows")
 
 
 def run_risk_batch(spark: SparkSession, admissions: DataFrame, run_ts: dt.datetime | str | None = None,
                    risk_table: str = RISK_TABLE, alerts_table: str = ALERTS_TABLE,
-                   location: str | None = None) -> RiskBatchResult:
+                   location: str | None = None, by_run_date: bool = False) -> RiskBatchResult:
     """Score all admissions into ``risk_table`` and alert on today's High / Very High rows."""
     if run_ts is None:
         run_ts = dt.datetime.now().replace(microsecond=0)
     ts_text = run_ts.isoformat(sep=" ") if isinstance(run_ts, dt.datetime) else str(run_ts)
-    risk_existed = ensure_table(spark, risk_table, RISK_TABLE_COLUMNS,
-                                f"{location}/{risk_table}" if location else None)
-    alerts_existed = ensure_table(spark, alerts_table, ALERTS_TABLE_COLUMNS,
-                                  f"{location}/{alerts_table}" if location else None)
-
-    first_risk = _max_id(spark, risk_table, risk_existed or location is not None)
-    factors = risk_factors(flag_readmissions(admissions))
-    records = risk_records(factors, ts_text, first_risk, id_source=admissions.select("Admission_ID"))
-    records.write.insertInto(risk_table)
-
-    first_alert = _max_id(spark, alerts_table, alerts_existed or location is not None)
-    alerts = build_alerts(spark.table(risk_table), ts_text[:10], ts_text, first_alert)
-    alerts.write.insertInto(alerts_table)
+    day = ts_text[:10] if by_run_date else None
+
+    def prepared(name: str, columns: str) -> int:
+        """Creates the table; the largest id of other runs."""
+        existed = ensure_table(spark, name, columns, f"{location}/{name}" if location else None, by_run_date)
+        table = spark.table(name)
+        others = table.where(F.col(RUN_DATE) < F.lit(day).cast("date")) if by_run_date else table
+        return _max_id(others, existed or location is not None)
+
+    first_risk = prepared(risk_table, RISK_TABLE_COLUMNS)
+    n = admissions.count()
+    _append(risk_records(risk_factors(admissions), ts_text, first_risk, n), risk_table, day)
+
+    first_alert = prepared(alerts_table, ALERTS_TABLE_COLUMNS)
+    scores = spark.table(risk_table)
+    if by_run_date:
+        scores = scores.where(F.col(RUN_DATE) == F.lit(day).cast("date")).drop(RUN_DATE)
+    _append(build_alerts(scores, ts_text[:10], ts_text, first_alert, n), alerts_table, day)
     return RiskBatchResult(risk_table, alerts_table, ts_text, first_risk, first_alert)
 
 
@@ -82,7 +113,7 @@ def main(argv: list[str] | None = None) -> RiskBatchResult:
     """Command-line run of the scoring job, e.g. from a scheduler:
 
     ``python -m cohortcart.plans.jobs --admissions <table or parquet path> [--location <dir>]
-    [--run-ts "YYYY-MM-DD HH:MM:SS"] [--risk-table NAME] [--alerts-table NAME]``
+    [--run-ts "YYYY-MM-DD HH:MM:SS"] [--risk-table NAME] [--alerts-table NAME] [--by-run-date]``
     """
     import argparse
 
@@ -94,10 +125,11 @@ def main(argv: list[str] | None = None) -> RiskBatchResult:
     parser.add_argument("--run-ts", default=None, help="run time stamped on every row (default: now)")
     parser.add_argument("--risk-table", default=RISK_TABLE)
     parser.add_argument("--alerts-table", default=ALERTS_TABLE)
+    parser.add_argument("--by-run-date", action="store_true", help="replace the run date's partition")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     result = run_risk_batch(spark, load_admissions(spark, args.admissions), args.run_ts,
-                            args.risk_table, args.alerts_table, args.location)
+                            args.risk_table, args.alerts_table, args.location, args.by_run_date)
     print(result)
     return result
 

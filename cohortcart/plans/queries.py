@@ -5,7 +5,8 @@
 from the test parquet in ``sf_dir`` (``cohortcart.plans.oracle`` holds the SQL
 twin under the same key), and the bench feeds them stored copies.
 ``risk_batch`` and ``risk_alerts`` really run the scoring job, into fresh tables
-under the session's checkpoint directory, and return what was written.
+under the session's checkpoint directory, and return what was written; the two
+reports read a stored score table that holds two runs.
 """
 
 from __future__ import annotations
@@ -13,37 +14,64 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortcart.functions.bands import age_group, stay_length_group
 from cohortcart.operators import quality as Q
 from cohortcart.operators import readmission as RA
 from cohortcart.operators import rfm as RFM
 from cohortcart.operators import risk as RK
 from cohortcart.operators import sales as S
 from cohortcart.plans.jobs import run_risk_batch
-from cohortcart.session import scratch_path
+from cohortcart.session import scratch_path, stored
 from cohortcart.sources import fixtures as FX
 from cohortcart.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = FX.AS_OF
-RUN_TS = FX.RUN_TS
+RUN_TS, SECOND_RUN_TS = FX.RUN_TS, FX.SECOND_RUN_TS
 
 ADM, TX = "admissions", "transactions"
 BUILDERS = {ADM: FX.admissions, TX: FX.transactions}
 
 
-def _records(adm: DataFrame) -> DataFrame:
-    """The rows one scoring run appends, without writing them."""
-    return RK.risk_records(RK.risk_factors(RA.flag_readmissions(adm)), RUN_TS,
-                           id_source=adm.select("Admission_ID"))
+def _run_job(spark: SparkSession, adm: DataFrame, table: str) -> DataFrame:
+    """Runs the job into fresh tables and returns ``table`` of them; the catalog entries are dropped, the
+    files stay under the checkpoint folder until that is cleaned."""
+    tag = uuid.uuid4().hex[:10]
+    names = {"risk": f"patient_readmission_risk_{tag}", "alerts": f"patient_alerts_{tag}"}
+    location = scratch_path(spark, "risk-batch")
+    run_risk_batch(spark, adm, RUN_TS, risk_table=names["risk"], alerts_table=names["alerts"], location=location)
+    schema = spark.table(names[table]).schema
+    for name in names.values():
+        spark.sql(f"DROP TABLE {name}")
+    return spark.read.schema(schema).parquet(f"{location}/{names[table]}")
 
 
-def _run_job(spark: SparkSession, adm: DataFrame):
-    tag = uuid.uuid4().hex[:10]
-    return run_risk_batch(spark, adm, RUN_TS, risk_table=f"patient_readmission_risk_{tag}",
-                          alerts_table=f"patient_alerts_{tag}", location=scratch_path(spark, "risk-batch"))
+def _two_runs(spark: SparkSession, adm: DataFrame) -> DataFrame:
+    """A stored score table that holds two runs."""
+    first = RK.risk_records(RK.risk_factors(adm), RUN_TS)
+    n = F.lit(adm.count())
+    again = F.lit(SECOND_RUN_TS).cast("timestamp_ntz")
+    both = F.array(F.struct(F.col("ID").alias("i"), F.col("CalculationDate").alias("c")),
+                   F.struct((F.col("ID") + n).alias("i"), again.alias("c")))
+    rows = first.withColumn("_run", F.explode(both))
+    return stored(rows.select(F.col("_run.i").alias("ID"), *first.columns[1:-1],
+                              F.col("_run.c").alias("CalculationDate")), "two-runs")
+
+
+def _hot_patient(adm: DataFrame) -> DataFrame:
+    """A third of the admissions belong to one patient."""
+    return adm.withColumn("Name", F.when(F.col("Admission_ID") % 3 == 0, F.lit("Hot Patient")).otherwise(F.col("Name")))
+
+
+def _rate_dimensions() -> dict[str, Column]:
+    return {"Medical_Condition": F.col("Medical_Condition"), "age_group": age_group("Age"),
+            "stay_length_group": stay_length_group(RA.length_of_stay()), "Admission_Type": F.col("Admission_Type"),
+            "Insurance_Provider": F.col("Insurance_Provider"), "Medication": F.col("Medication"),
+            "Test_Results": F.col("Test_Results")}
 
 
 def _rate(dim: str, count_name: str = "total_admissions"):
@@ -65,11 +93,16 @@ TABLE_QUERIES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
     "readmit_rate_insurance": ((ADM,), _rate("Insurance_Provider")),
     "readmit_rate_medication": ((ADM,), _rate("Medication", "total_prescriptions")),
     "readmit_rate_test_results": ((ADM,), _rate("Test_Results", "total_tests")),
+    "readmit_rates_all": ((ADM,), lambda spark, adm: RA.readmission_rates(adm, _rate_dimensions())),
+    "readmissions_without_id": ((ADM,), lambda spark, adm: RA.readmissions(
+        RA.flag_readmissions(adm.drop("Admission_ID")))),
+    "readmit_rate_hot_patient": ((ADM,), lambda spark, adm: RA.readmission_rate(
+        _hot_patient(adm), "Medical_Condition")),
     "risk_score": ((ADM,), lambda spark, adm: RK.score_risk(RA.flag_readmissions(adm))),
-    "risk_batch": ((ADM,), lambda spark, adm: spark.table(_run_job(spark, adm).risk_table)),
-    "risk_alerts": ((ADM,), lambda spark, adm: spark.table(_run_job(spark, adm).alerts_table)),
-    "risk_results_sorted": ((ADM,), lambda spark, adm: RK.risk_results(_records(adm))),
-    "risk_distribution": ((ADM,), lambda spark, adm: RK.risk_distribution(_records(adm))),
+    "risk_batch": ((ADM,), lambda spark, adm: _run_job(spark, adm, "risk")),
+    "risk_alerts": ((ADM,), lambda spark, adm: _run_job(spark, adm, "alerts")),
+    "risk_results_sorted": ((ADM,), lambda spark, adm: RK.risk_results(_two_runs(spark, adm))),
+    "risk_distribution": ((ADM,), lambda spark, adm: RK.risk_distribution(_two_runs(spark, adm))),
     # customer sales
     "transactions_scan": ((TX,), lambda spark, tx: tx),
     "dataset_profile": ((TX,), lambda spark, tx: Q.profile(tx)),

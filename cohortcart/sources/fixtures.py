@@ -29,6 +29,7 @@ TEST_RESULT_ELSE = "Inconclusive"
 SALES_SCALE = "0.001"                                               # brings totals into the 400/800/2000 bands
 AS_OF = "2002-01-01"                                                # fixed "today" of the fixtures
 RUN_TS = f"{AS_OF} 10:15:00"                                        # fixed run time of the scoring job
+SECOND_RUN_TS = "2002-01-02 09:30:00"                               # a later run in the same table
 # -----------------------------------------------------------------------------------------
 
 

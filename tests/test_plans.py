@@ -40,37 +40,35 @@ def test_rfm_values_prunes_columns(spark, stored):
     assert "PushedFilters: [IsNotNull(CustomerID)]" in p
 
 
-def test_rfm_scores_never_gathers_customers_in_one_partition(spark, stored):
+def test_rfm_scores_are_comparisons_over_the_stored_values(spark, stored):
     df = RFM.rfm_scores(load_transactions(spark, f"{stored}/transactions"), "2002-01-01", sort=False)
     p = plan(df)
-    assert "SinglePartition" not in p, p
-    assert p.count("Window [") == 3 and "Join" not in p      # offsets are literals: no join back
+    assert "Exchange" not in p and "Window" not in p and "Join" not in p, p
 
 
-def test_readmission_rate_has_one_window_and_no_patient_partition(spark, stored):
-    df = RA.readmission_rate(load_admissions(spark, f"{stored}/admissions"), "Medical_Condition",
-                             strategy="day_table")
-    p = plan(df)
-    assert p.count("Window [") == 1
+def test_readmission_rate_has_one_window_no_join_and_no_patient_partition_of_rows(spark, stored):
+    p = plan(RA.readmission_rate(load_admissions(spark, f"{stored}/admissions"), "Medical_Condition"))
+    assert p.count("Window [") == 1 and "Join" not in p
     # the row-level data is never hash-partitioned by the patient alone
     assert not re.search(r"hashpartitioning\(Name#\d+, \d+\)", p)
 
 
-def test_readmission_rate_auto_picks_by_the_largest_history(spark, stored):
-    from pyspark.sql import functions as F
-    adm = load_admissions(spark, f"{stored}/admissions")
-    p = plan(RA.readmission_rate(adm, "Medical_Condition"))          # histories of ~10 stays: plain window
-    assert re.search(r"hashpartitioning\(Name#\d+, \d+\)", p) and p.count("Window [") == 1
-    assert p.count("Exchange") == 3
-    hot = adm.withColumn("Name", F.when(F.col("Admission_ID") % 3 == 0, F.lit("hot")).otherwise(F.col("Name")))
-    p = plan(RA.readmission_rate(hot, "Medical_Condition"))          # one patient with a third: day table
-    assert not re.search(r"hashpartitioning\(Name#\d+, \d+\)", p)
+def test_all_rates_share_one_flag_pipeline(spark, stored):
+    from cohortcart.plans.queries import _rate_dimensions
+    p = plan(RA.readmission_rates(load_admissions(spark, f"{stored}/admissions"), _rate_dimensions()))
+    assert p.count("Window [") == 1 and p.count("FileScan") == 2
+
+
+def test_scoring_has_no_join(spark, stored):
+    from cohortcart.operators import risk as RK
+    p = plan(RK.risk_factors(load_admissions(spark, f"{stored}/admissions")))
+    assert "Join" not in p and "Exchange" not in p
 
 
 def test_flagged_rows_and_direct_rates_agree(spark, stored):
     adm = load_admissions(spark, f"{stored}/admissions")
     for dim in ["Medical_Condition", "Medication"]:
-        direct = sorted(map(tuple, RA.readmission_rate(adm, dim, sort=False).collect()), key=str)  # auto
+        direct = sorted(map(tuple, RA.readmission_rate(adm, dim, sort=False).collect()), key=str)
         flagged = sorted(map(tuple, RA.rate_from_flags(RA.flag_readmissions(adm), dim, sort=False).collect()),
                          key=str)
         assert direct == flagged
@@ -112,9 +110,9 @@ def test_alert_filters_reach_the_scan(spark, tmp_location):
     from cohortcart.operators import risk as RK
     from cohortcart.plans.queries import RUN_TS
     adm = FX.admissions(spark, SF_SMALL)
-    RK.risk_records(RK.risk_factors(RA.flag_readmissions(adm)), RUN_TS).write.parquet(tmp_location)
-    alerts = RK.build_alerts(spark.read.parquet(tmp_location), RUN_TS[:10], RUN_TS)
-    p = plan_text(alerts, "formatted")                  # the simple mode truncates filter lists
+    RK.risk_records(RK.risk_factors(adm), RUN_TS).write.parquet(tmp_location)
+    due = RK.due_for_alert(spark.read.parquet(tmp_location), RUN_TS[:10])
+    p = plan_text(due, "formatted")                     # the simple mode truncates filter lists
     pushed = [line for line in p.split("\n") if line.startswith("PushedFilters")][0]
     assert "GreaterThanOrEqual(CalculationDate" in pushed and "LessThan(CalculationDate" in pushed
     assert "In(RiskCategory" in pushed
@@ -133,7 +131,7 @@ def test_results_do_not_depend_on_input_partitioning(spark):
     cases = [
         (lambda a, t: RA.readmission_rate(a, "Medication", sort=False), (adm, tx)),
         (lambda a, t: RA.flag_readmissions(a).select("Admission_ID", "is_readmission"), (adm, tx)),
-        (lambda a, t: RFM.rfm_scores(t, "2002-01-01", sort=False, buckets=3), (adm, tx)),
+        (lambda a, t: RFM.rfm_scores(t, "2002-01-01", sort=False, select_rows=50), (adm, tx)),
         (lambda a, t: S.country_sales(t, sort=False), (adm, tx)),
     ]
     for build, (a, t) in cases:

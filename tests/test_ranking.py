@@ -1,4 +1,6 @@
-"""The distributed global row number / NTILE against brute force, with many ranges."""
+"""The distributed global row number and NTILE against brute force."""
+
+import datetime as dt
 
 import pandas as pd
 import pytest
@@ -6,17 +8,15 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cohortcart.operators.ranking import bucket_count, global_row_number, ntile
+from cohortcart.operators.ranking import boundary_keys, global_row_number, ntile, ntiles, range_count
 
 
 def brute_ntile(values, tiles):
     n = len(values)
     q, r = divmod(n, tiles)
-    out, i = [], 0
+    out = []
     for t in range(tiles):
-        size = q + (1 if t < r else 0)
-        out += [t + 1] * size
-        i += size
+        out += [t + 1] * (q + (1 if t < r else 0))
     return out
 
 
@@ -32,84 +32,78 @@ def skewed(spark):
 
 @pytest.mark.parametrize("ascending", [True, False])
 def test_row_number_matches_pandas_sort(spark, skewed, ascending):
-    ranked, n = global_row_number(skewed, [("k", ascending), ("cid", True)], "rn", buckets=16)
-    got = ranked.select("cid", "rn").toPandas().sort_values("rn")
+    got = global_row_number(skewed, [("k", ascending), ("cid", True)], "rn", ranges=16)
+    got = got.select("cid", "rn").toPandas().sort_values("rn")
     pdf = skewed.toPandas()
     pdf = pdf.sort_values(["k", "cid"], ascending=[ascending, True], na_position="first" if ascending else "last")
-    assert n == 6000
     assert got["rn"].tolist() == list(range(1, 6001))
     assert got["cid"].tolist() == pdf["cid"].tolist()
 
 
-def test_ranges_are_balanced_under_a_hot_key(spark, skewed):
-    # each range is one window partition: the largest must stay far below the hot key's third
-    from cohortcart.operators.ranking import _pick_splits, _range_of, sort_key
-    keys = skewed.select(sort_key(skewed, [("k", True), ("cid", True)]).alias("_k"))
-    splits = _pick_splits([r[0] for r in keys.sample(False, 0.2, 17).collect()], 16)
-    sizes = keys.groupBy(_range_of(F.col("_k"), splits, keys.schema["_k"].dataType).alias("b")).count()
-    assert max(r["count"] for r in sizes.collect()) < 1000
-    assert sum(r["count"] for r in sizes.collect()) == 6000
+def test_a_thousand_ranges(spark, skewed):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = global_row_number(skewed, [("m", True), ("cid", True)], "rn", ranges=1000).select("cid", "rn").toPandas()
+    want = skewed.toPandas().sort_values(["m", "cid"])["cid"].tolist()
+    assert got.sort_values("rn")["cid"].tolist() == want and got["rn"].is_unique
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_range_count_has_no_cap():
+    assert range_count(0, 8) == 1
+    assert range_count(9_999, 8) == 1
+    assert range_count(150_000, 8) == 8
+    assert range_count(100_000_000, 8) == 50
+    assert range_count(10**12, 8000) == 500_000
+    assert range_count(15_000, 1, rows_per_range=1000) == 15
+
+
+def test_row_number_of_an_empty_table(spark, skewed):
+    assert global_row_number(skewed.where("cid < 0"), [("cid", True)], "rn").count() == 0
 
 
-def test_ntile_matches_brute_force(spark, skewed):
-    out = ntile(skewed, 5, [("m", False), ("cid", True)], "t", buckets=12).toPandas()
+@pytest.mark.parametrize("select_rows", [40, 300, 20_000])
+def test_ntile_matches_brute_force(spark, skewed, select_rows):
+    out = ntile(skewed, 5, [("m", False), ("cid", True)], "t", select_rows=select_rows).toPandas()
     pdf = skewed.toPandas().sort_values(["m", "cid"], ascending=[False, True], na_position="last")
     expected = pd.Series(brute_ntile(pdf, 5), index=pdf["cid"].values)
     assert (out.set_index("cid")["t"].sort_index() == expected.sort_index()).all()
 
 
-def test_bucket_count_bounds():
-    assert bucket_count(0, 8) == 1
-    assert bucket_count(127, 8) == 1           # fewer than two ranges' samples
-    assert bucket_count(1_425, 8) == 16
-    assert bucket_count(500_001, 8) == 16
-    assert bucket_count(100_000_000, 8) == 50
-    assert bucket_count(10**12, 8000) == 1024
-    assert bucket_count(15_000, 1, rows_per_bucket=1000) == 15
+def test_boundary_search_narrows_to_any_rank(spark, skewed):
+    want = skewed.toPandas().sort_values(["k", "cid"], na_position="first")["cid"].tolist()
+    ranks = [1, 2, 999, 3000, 5999, 6000]
+    found = boundary_keys(skewed, {"o": [("k", True), ("cid", True)]}, ranks, 6000, select_rows=50)["o"]
+    assert [key["v1"] for key in found] == [want[r - 1] for r in ranks]
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(values=st.lists(st.one_of(st.none(), st.integers(-3, 3)), min_size=0, max_size=60),
-       tiles=st.integers(1, 7), buckets=st.integers(1, 6), ascending=st.booleans())
-def test_ntile_is_exact_for_any_split(spark, values, tiles, buckets, ascending):
-    """Whatever the ties, NULLs and number of sampled ranges, NTILE equals the brute force."""
+       tiles=st.integers(1, 7), select_rows=st.integers(4, 20), ascending=st.booleans())
+def test_ntile_is_exact_for_any_bracket(spark, values, tiles, select_rows, ascending):
+    """Whatever the ties, NULLs and sample sizes, NTILE equals the brute force."""
     rows = [(i, v) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "cid long, k int")
     got = {r["cid"]: r["t"] for r in ntile(df, tiles, [("k", ascending), ("cid", True)], "t",
-                                           buckets=buckets).collect()}
+                                           select_rows=select_rows).collect()}
     nulls = [r for r in rows if r[1] is None]
     known = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1] if ascending else -r[1], r[0]))
     order = (nulls + known) if ascending else (known + nulls)
-    expected = dict(zip([r[0] for r in order], brute_ntile(order, tiles)))
-    assert got == expected
-
-
-def test_many_ranges_use_the_fold_search_and_stay_exact(spark, skewed):
-    """Above CASE_TREE_MAX_SPLITS the split search is an array fold; same exact numbering."""
-    from cohortcart.operators.ranking import CASE_TREE_MAX_SPLITS
-    buckets = CASE_TREE_MAX_SPLITS + 36
-    out = ntile(skewed, 5, [("m", False), ("cid", True)], "t", buckets=buckets).toPandas()
-    pdf = skewed.toPandas().sort_values(["m", "cid"], ascending=[False, True], na_position="last")
-    expected = pd.Series(brute_ntile(pdf, 5), index=pdf["cid"].values)
-    assert (out.set_index("cid")["t"].sort_index() == expected.sort_index()).all()
-    ranked, n = global_row_number(skewed, [("k", True), ("cid", True)], "rn", buckets=buckets)
-    got = ranked.select("cid", "rn").toPandas().sort_values("rn")
-    want = skewed.toPandas().sort_values(["k", "cid"], na_position="first")
-    assert got["cid"].tolist() == want["cid"].tolist()
+    assert got == dict(zip([r[0] for r in order], brute_ntile(order, tiles)))
 
 
 def test_string_and_date_keys_with_awkward_values(spark):
-    """Split keys are rendered as SQL literals: quotes, backslashes, NULLs and dates must survive."""
-    import datetime as dt
+    """Boundary keys are rendered as SQL literals: quotes, backslashes, NULLs and dates must survive."""
     names = ["O'Brien", "back\\slash", "plain", None, "ünïcode", "a'b\\'c", "zz"]
     rows = [(i, names[i % len(names)], dt.date(2000, 1, 1) + dt.timedelta(days=i % 37)) for i in range(700)]
     df = spark.createDataFrame(rows, "cid long, name string, day date")
-    got, n = global_row_number(df, [("name", True), ("day", False), ("cid", True)], "rn", buckets=9)
+    order = [("name", True), ("day", False), ("cid", True)]
     pdf = df.toPandas()
     pdf["null_name"] = pdf["name"].isna()
     pdf["day_key"] = pdf["day"].map(lambda d: -d.toordinal())
     # NULL names first (ascending), then names in byte order, days descending, cid ascending
     pdf["name_bytes"] = pdf["name"].map(lambda x: x.encode() if x is not None else b"")
     pdf = pdf.sort_values(["null_name", "name_bytes", "day_key", "cid"], ascending=[False, True, True, True])
-    ranked = got.toPandas().sort_values("rn")
-    assert n == 700 and ranked["cid"].tolist() == pdf["cid"].tolist()
+    ranked = global_row_number(df, order, "rn", ranges=9).toPandas().sort_values("rn")
+    assert ranked["cid"].tolist() == pdf["cid"].tolist()
+    tiles = ntiles(df, 7, {"t": order}, select_rows=30).toPandas().set_index("cid")["t"]
+    assert tiles.loc[pdf["cid"]].tolist() == brute_ntile(pdf, 7)

@@ -177,6 +177,7 @@ def test_ntile_small_inputs(spark):
     assert sizes == [2, 2, 1, 1, 1]
     three = spark.range(3).withColumnRenamed("id", "k")
     assert [r["t"] for r in ntile(three, 5, [("k", True)], "t").orderBy("k").collect()] == [1, 2, 3]
+    assert ntile(three.where("k < 0"), 5, [("k", True)], "t").count() == 0
 
 
 def test_integer_average_truncates(spark):
@@ -213,18 +214,120 @@ def test_risk_job_continues_ids_of_rows_at_an_existing_location(spark, tmp_locat
     assert sorted(r[0] for r in spark.table("risk_r").select("ID").collect()) == [1, 2, 3, 4]
 
 
-def test_flag_strategies_agree(spark):
+def plain_flag(df, ties):
+    """The flag from a plain window per patient, in the same total order."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("Name").orderBy(F.col("Date_of_Admission").asc_nulls_first(),
+                                           *[F.col(c).asc_nulls_first() for c in ties])
+    gap = F.datediff("next_admission", "Discharge_Date")
+    return (df.withColumn("next_admission", F.lead("Date_of_Admission").over(w))
+            .withColumn("days_until_readmission", gap)
+            .withColumn("is_readmission", F.when(gap.between(1, 30), 1).otherwise(0)))
+
+
+def same_rows(a, b):
+    return sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+
+def test_flag_with_null_repeated_and_no_ids(spark):
+    """Ties are broken by all columns, so every input has one answer."""
+    from tests.conftest import SF_SMALL
+    from cohortcart.sources import fixtures as FX
+    adm = FX.admissions(spark, SF_SMALL).withColumn("Date_of_Admission", F.date_trunc("month", "Date_of_Admission").cast("date"))
+    adm = adm.unionByName(adm.where("Admission_ID % 5 = 0"))                     # repeated rows
+    variants = {
+        "null": adm.withColumn("Admission_ID", F.lit(None).cast("long")),
+        "constant": adm.withColumn("Admission_ID", F.lit(7).cast("long")),
+        "some": adm.withColumn("Admission_ID", F.when(F.col("Admission_ID") % 2 == 0, F.col("Admission_ID") % 10)),
+        "none": adm.drop("Admission_ID"),
+        "hot": adm.withColumn("Name", F.when(F.col("Admission_ID") % 3 == 0, F.lit("hot")).otherwise(F.col("Name"))),
+    }
+    for name, df in variants.items():
+        plain = plain_flag(df, RA.tie_columns(df))
+        assert same_rows(RA.flag_readmissions(df), plain), name
+        rate = RA.readmission_rate(df, "Medical_Condition", sort=False)
+        assert same_rows(rate, RA.rate_from_flags(plain, "Medical_Condition", sort=False)), name
+
+
+def test_rates_of_all_dimensions_equal_the_single_ones(spark):
     from tests.conftest import SF_SMALL
     from cohortcart.sources import fixtures as FX
     adm = FX.admissions(spark, SF_SMALL)
-    cols = ["Admission_ID", "next_admission", "days_until_readmission", "is_readmission"]
-    ref = RA.flag_readmissions(adm, strategy="day_table").select(cols)
-    assert RA.largest_history_is_bounded(adm)
-    for strategy in ["window", "auto"]:
-        other = RA.flag_readmissions(adm, strategy=strategy).select(cols)
-        assert ref.exceptAll(other).count() == 0 and other.exceptAll(ref).count() == 0, strategy
-    hot = adm.withColumn("Name", F.lit("one patient"))
-    assert not RA.largest_history_is_bounded(hot)
+    dims = {c: F.col(c) for c in ("Medical_Condition", "Medication", "Test_Results")}
+    together = RA.readmission_rates(adm, dims).collect()
+    for dim in dims:
+        single = [tuple(r) for r in RA.readmission_rate(adm, dim, sort=False).collect()]
+        assert sorted(map(str, single)) == sorted(str(tuple(r)[1:]) for r in together if r["dimension"] == dim)
+
+
+def test_names_may_be_compared_without_case(spark):
+    df = admissions_df(spark, [admission(1, "Ann", D(2020, 1, 1), D(2020, 1, 2)),
+                               admission(2, "ANN", D(2020, 1, 10), D(2020, 1, 11))])
+    apart = RA.flag_readmissions(df).agg(F.sum("is_readmission")).first()[0]
+    together = RA.flag_readmissions(df, same_person=F.lower).agg(F.sum("is_readmission")).first()[0]
+    assert (apart, together) == (0, 1)
+    assert RA.readmission_rate(df, "Name", sort=False, same_person=F.lower).agg(F.sum("readmissions")).first()[0] == 1
+
+
+def test_columns_may_have_other_names(spark):
+    names = {"Name": "who", "Date_of_Admission": "came", "Discharge_Date": "left", "Medical_Condition": "why",
+             "Admission_ID": "no", "Age": "years"}
+    df = admissions_df(spark, [admission(1, "a", D(2020, 1, 1), D(2020, 1, 2), Age=40),
+                               admission(2, "a", D(2020, 1, 10), D(2020, 1, 11), Age=40)]).withColumnsRenamed(names)
+    who = dict(patient="who", admitted="came", discharged="left")
+    out = RA.readmissions(RA.flag_readmissions(df, **who, admission_id="no"), **who, condition="why").collect()
+    assert [(r["who"], r["days_until_readmission"]) for r in out] == [("a", 8)]
+    assert RA.rate_by_stay(df, patient="who", admitted="came", discharged="left", admission_id="no").first()[2] == 1
+    assert RA.rate_by_age(df, age="years", **who, admission_id="no").first()["readmissions"] == 1
+
+
+def test_repeated_run_of_a_date_leaves_one_set_of_rows(spark, tmp_location):
+    adm = admissions_df(spark, [admission(i, f"p{i}", D(2020, 1, 1), D(2020, 1, 16), Medical_Condition="Asthma",
+                                          Insurance_Provider="Aetna", Admission_Type="Emergency", Age=60,
+                                          Medication="Lipitor", Test_Results="Abnormal") for i in range(5)])
+    tables = dict(risk_table="risk_d", alerts_table="alerts_d", location=tmp_location, by_run_date=True)
+    run_risk_batch(spark, adm, "2021-03-04 10:15:00", **tables)
+    run_risk_batch(spark, adm, "2021-03-05 10:15:00", **tables)
+    once = [sorted(map(str, spark.table(t).collect())) for t in ("risk_d", "alerts_d")]
+    run_risk_batch(spark, adm, "2021-03-05 10:15:00", **tables)                 # tried again
+    assert [sorted(map(str, spark.table(t).collect())) for t in ("risk_d", "alerts_d")] == once
+    assert sorted(r["ID"] for r in spark.table("risk_d").collect()) == list(range(1, 11))
+    for table in ("risk_d", "alerts_d"):                                        # a catalog that forgot the tables
+        spark.sql(f"DROP TABLE {table}")
+    run_risk_batch(spark, adm, "2021-03-05 10:15:00", **tables)
+    assert [sorted(map(str, spark.table(t).collect())) for t in ("risk_d", "alerts_d")] == once
+    plan = spark.table("risk_d").where("run_date = DATE '2021-03-05'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(run_date" in plan
+
+
+def test_checkpoint_folder(spark, monkeypatch):
+    """A configured folder is used; without one only a local master may fall back to its own."""
+    from cohortcart import session
+    assert session.ensure_checkpoint_dir(spark)
+
+    class Context:
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, path):
+            self.folder = path
+
+    class Session:
+        def __init__(self, **conf):
+            self.sparkContext = Context()
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: conf.get(key, default))})
+
+    cluster = {"spark.master": "spark://host:7077"}
+    assert session.ensure_checkpoint_dir(Session(**cluster, **{"spark.checkpoint.dir": "hdfs:///c"})) == "hdfs:///c"
+    assert session.ensure_checkpoint_dir(Session(**{"spark.master": "local[4]"})).startswith("/tmp/")
+    try:
+        session.ensure_checkpoint_dir(Session(**cluster))
+    except RuntimeError:
+        pass
+    else:
+        raise AssertionError("no folder on a cluster must raise")
 
 
 def test_scoring_job_command_line(spark, tmp_location):
@@ -254,6 +357,6 @@ def test_day_table_flag_equals_the_window_flag(spark, rows):
         data.append(admission(i, name, admitted, discharged))
     df = admissions_df(spark, data)
     cols = ["Admission_ID", "next_admission", "days_until_readmission", "is_readmission"]
-    ours = sorted(map(tuple, RA.flag_readmissions(df, strategy="day_table").select(cols).collect()))
-    plain = sorted(map(tuple, RA.flag_readmissions(df, strategy="window").select(cols).collect()))
+    ours = sorted(map(tuple, RA.flag_readmissions(df).select(cols).collect()))
+    plain = sorted(map(tuple, plain_flag(df, ["Admission_ID"]).select(cols).collect()))
     assert ours == plain
