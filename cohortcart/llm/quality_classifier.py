@@ -118,13 +118,14 @@ class Model:
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, settings: ClassifierSettings) -> DataFrame:
-    """``fold, y`` and the statistics of the labelled documents that are not held out."""
+    """``fold, deal, y`` and the statistics of the labelled documents that are not held out; ``deal`` (a
+    hash of the id) spreads copies over the tasks that add up."""
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_labelled))
     found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    return found.select(fold(F.col("doc_id")).alias("fold"), "y", statistics(F.col("text")).alias("s")).select(
-        "fold", "y", "s.*")
+    return found.select(fold(F.col("doc_id")).alias("fold"), F.xxhash64("doc_id").alias("deal"), "y",
+                        statistics(F.col("text")).alias("s")).select("fold", "deal", "y", "s.*")
 
 
 def _normal_sums(sample: DataFrame, lift, width: int) -> dict[int, np.ndarray]:
@@ -145,7 +146,7 @@ def _normal_sums(sample: DataFrame, lift, width: int) -> dict[int, np.ndarray]:
                             columns=["fold", "block", "sums"])
 
     schema = "fold int, block int, sums binary"
-    rows = (sample.repartition(SUM_PARTITIONS, F.hash(*STATISTICS)).mapInPandas(partial, schema)
+    rows = (sample.repartition(SUM_PARTITIONS, "deal").mapInPandas(partial, schema)
             .groupBy("fold", "block").applyInPandas(added, schema).collect())
     out: dict[int, np.ndarray] = {}
     for r in rows:
