@@ -35,8 +35,7 @@ def main() -> None:
            "Generated by `tools/dump_plans.py` over the sf0.01 fixture tables stored as parquet, with",
            "`spark.sql.shuffle.partitions=200` and AQE on (AQE re-plans at run time: it coalesces",
            "partitions, may switch joins to broadcast and splits skewed join partitions).",
-           "`readmit_rate_condition` shows the plain-window path, chosen because no patient history in the",
-           "fixture exceeds a task's share; `risk_score` shows the skew-safe day-table path.",
+           "`rfm_scores` and `risk_results_sorted` show what runs over their stored intermediate tables.",
            "The only `Exchange SinglePartition` steps finish global one-row aggregates (the profile's",
            "counts, the segments' total): each carries one partial row per task.", ""]
     for key in HEADLINE:

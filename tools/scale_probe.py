@@ -2,8 +2,7 @@
 
 Copy ``c`` of every row gets keys shifted by ``c * 10**9`` and names suffixed with
 ``c``, so patients, invoices and customers of different copies are distinct and
-every per-key group keeps its size while the tables grow k-fold.  Above 500k rows the
-job's row numbers use several sampled ranges.  Prints one JSON line.
+every per-key group keeps its size while the tables grow k-fold.  Prints one JSON line.
 
 usage: python tools/scale_probe.py [sf_dir] [copies] [query,query,...]
 """
