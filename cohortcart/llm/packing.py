@@ -26,6 +26,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ from cohortcart.session import stored
 SEQUENCE_LENGTH = 2048
 END_ID = 1
 CACHE_WORDS = 600_000        # words a Python worker remembers the ids of; then it starts afresh
+SLICE_BYTES = 4 << 20        # texts tokenised together, so that their new words are learnt once
 SEGMENT_CHARS = 1 << 20      # texts are tokenised in segments of about this length, cut at blanks
 
 _SPLIT_ONLY_PYTHON = re.compile("[\x1c-\x1f]")   # str.split() cuts here, the tokenizer does not
@@ -126,6 +128,18 @@ def _encoder(tokenizer_json: str) -> WordEncoder:
     return _ENCODERS[key]
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """``(first row, rows)`` of slices with at most ``SLICE_BYTES`` of text, or one longer text."""
+    sizes, low, held = pc.binary_length(texts).to_pylist(), 0, 0
+    for i, size in enumerate(sizes):
+        if i > low and held + size > SLICE_BYTES:
+            yield low, i - low
+            low, held = i, 0
+        held += size
+    if sizes:
+        yield low, len(sizes) - low
+
+
 def token_table(docs: DataFrame, tokenizer_path: str | Path, end_id: int = END_ID) -> DataFrame:
     """First pass: ids of every document (end id included) and its start within its task's output."""
     spark = docs.sparkSession
@@ -139,13 +153,13 @@ def token_table(docs: DataFrame, tokenizer_path: str | Path, end_id: int = END_I
         encoder = _encoder(vocabulary.value)
         for batch in batches:
             column = batch.column(1)
-            for low in range(0, batch.num_rows, 512):
-                ids = [x + end for x in encoder.encode(column.slice(low, 512).to_pylist())]
+            for low, rows in _slices(column):
+                ids = [x + end for x in encoder.encode(column.slice(low, rows).to_pylist())]
                 counts = np.asarray([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = at + np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(ends - counts),
-                     batch.column(0).slice(low, 512), pa.array(counts), pa.array(ids, type=pa.binary())],
+                     batch.column(0).slice(low, rows), pa.array(counts), pa.array(ids, type=pa.binary())],
                     names=["part", "local_start", "doc_id", "n_tokens", "ids"])
                 at = int(ends[-1])
 

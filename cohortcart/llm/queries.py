@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortcart.llm import licenses
+from cohortcart.llm import licenses, warc
 from cohortcart.llm.licenses import scan_licenses
 from cohortcart.llm.lm_scoring import language_model_scores
 from cohortcart.llm.mixing import fit_mixture, with_copies
@@ -93,4 +93,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": licenses.oracle()}
+    return {"op6_licenses": licenses.oracle(), "op10_warc": warc.oracle()}

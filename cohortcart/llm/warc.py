@@ -304,3 +304,19 @@ def page_records(records: DataFrame) -> DataFrame:
                             F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(
         revisits.select("page_id", F.col("r_bytes").alias("payload_bytes"), F.col("r_digest").alias("payload_digest"),
                         F.col("kind").alias("record_type"), "refers_to"))
+
+
+def oracle() -> str:
+    """What ``page_records`` gives for archived ``pages``, in DuckDB SQL."""
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> {}) % 32 AS INTEGER) + 1, 1)"
+    letters = " || ".join(letter.format(shift) for shift in (15, 10, 5, 0))
+    fives = "list_transform(range(0, 8), lambda i: CAST('0x' || substr(sha1(h), CAST(i * 5 + 1 AS INTEGER), 5) AS BIGINT))"
+    again = "first IS NOT NULL AND page_id IS DISTINCT FROM first"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform({fives}, lambda v: {letters}), '') AS payload_digest,
+       CASE WHEN {again} THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN {again} THEN first END AS refers_to
+FROM d"""

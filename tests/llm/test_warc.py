@@ -75,3 +75,11 @@ def test_query_against_brute_force(spark):
     out = op10_warc(spark, sf)
     assert out.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert sorted(map(odd.key, out.collect())) == sorted(map(odd.key, expected(pages)))
+
+
+def test_query_equals_oracle(spark):
+    from cohortcart.llm.queries import op10_warc, oracle_sql
+    from tests.harness import compare, duck
+
+    sf = "/root/testdata/sf0.001"
+    assert compare(op10_warc(spark, sf), oracle_sql()["op10_warc"], duck(sf))["ok"]
