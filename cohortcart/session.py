@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,6 +81,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohortcart-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per context, so that functions of its modules can
+    run in tasks of a session that was not started with ``--py-files``.  Call it before making a
+    DataFrame that uses them: a function keeps the list of files it was made with."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cohortcart_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="cohortcart-")) / "cohortcart.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._cohortcart_shipped = True
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as parquet under the shared checkpoint directory and read back.
 
