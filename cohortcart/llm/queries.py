@@ -22,12 +22,13 @@ from cohortcart.llm.quality_rules import quality_rules
 from cohortcart.llm.sharding import LAW, row_size, write_shards
 from cohortcart.llm.simhash import near_duplicates
 from cohortcart.llm.warc import page_records, read_archives, write_archives
-from cohortcart.session import scratch_path
+from cohortcart.session import scratch_path, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
