@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortcart.llm import mixing, packing, quality_classifier, quality_rules, simhash
-from cohortcart.session import stored
+from cohortcart.session import ship_package, stored
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,26 +21,31 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a rule go."""
+    ship_package(spark)
     return quality_rules.keep_good(docs, _labels(spark, sf_dir))
 
 
 def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    ship_package(spark)
     return quality_classifier.keep_good(docs, _labels(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    ship_package(spark)
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents leave, stay or repeat so that sources come near their target words."""
+    ship_package(spark)
     return mixing.mixed(docs, mixing.fit_mixture(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as pieces of fixed-length token sequences."""
+    ship_package(spark)
     import public_tokenizers
 
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
