@@ -36,6 +36,7 @@ PENALTIES = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)
 CALIBRATION_BINS = 2000
 SUM_PARTITIONS = 16
 ROWS_PER_BLOCK = 32
+CHUNK = 2048                 # rows whose features are held at once
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,8 @@ class Model:
         return scores[np.arange(len(x)), column]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(np.interp(self.raw(x), self.steps_at, self.steps), 0, 1)
+        raw = np.concatenate([self.raw(x[at:at + CHUNK]) for at in range(0, max(len(x), 1), CHUNK)])
+        return np.clip(np.interp(raw, self.steps_at, self.steps), 0, 1)
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, settings: ClassifierSettings) -> DataFrame:
@@ -132,7 +134,7 @@ def _normal_sums(sample: DataFrame, lift, width: int) -> dict[int, np.ndarray]:
     """Per fold the sums of ``[z y]^T [z y]`` (``width + 1`` square), added up per partition first."""
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
-        for frame in frames:
+        for frame in (f.iloc[at:at + CHUNK] for f in frames for at in range(0, len(f), CHUNK)):
             z = np.hstack([lift(frame[list(STATISTICS)].to_numpy()), frame[["y"]].to_numpy()])
             for k, rows in frame.groupby("fold").indices.items():
                 sums[k] = sums.get(k, 0) + z[rows].T @ z[rows]
@@ -207,7 +209,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame,
     fitted = Model(**{**base.__dict__, "weights": weights})
 
     def out_of_fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (f.iloc[at:at + CHUNK] for f in frames for at in range(0, len(f), CHUNK)):
             raw = fitted.raw(frame[list(STATISTICS)].to_numpy(), frame["fold"].to_numpy())
             yield pd.DataFrame({"bin": np.round(np.clip(raw, -1, 2) * CALIBRATION_BINS).astype(int), "y": frame["y"]})
 
@@ -218,13 +220,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame,
     return Model(**{**fitted.__dict__, "steps_at": at, "steps": rates})
 
 
-def score_column(model: Model) -> Column:
-    """The score of a row's ``text``; only the statistics are sent to Python, not the texts."""
+def score_function(model: Model):
+    """A function of a struct of ``STATISTICS``; only the statistics are sent to Python, not the texts."""
     @F.pandas_udf("double")
     def scored(rows: pd.DataFrame) -> pd.Series:
         return pd.Series(model.score(rows[list(STATISTICS)].to_numpy()))
 
-    return scored(statistics(F.col("text")))
+    return scored
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame,
@@ -232,7 +234,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame,
     """``doc_id, held_out, score, predicted`` for every document."""
     docs = docs.select("doc_id", "text")
     model = fit_classifier(docs, labels, settings)
-    return docs.select("doc_id", score_column(model).alias("score")).select(
+    # the statistics are columns of their own, so rows that wait for Python do not hold their texts
+    rows = docs.select("doc_id", statistics(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return rows.select("doc_id", score_function(model)(F.struct(*STATISTICS)).alias("score")).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= settings.keep_at).cast("int").alias("predicted"))
 
@@ -240,4 +244,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame,
 def keep_good(docs: DataFrame, labels: DataFrame,
               settings: ClassifierSettings = ClassifierSettings()) -> DataFrame:
     """The documents predicted to be good, with all their columns."""
-    return docs.where(score_column(fit_classifier(docs, labels, settings)) >= settings.keep_at)
+    scored = score_function(fit_classifier(docs, labels, settings))
+    return docs.where(scored(statistics(F.col("text"))) >= settings.keep_at)
