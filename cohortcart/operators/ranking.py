@@ -130,6 +130,8 @@ class _Search:
         return inside
 
     def holds_collected(self, key: dict) -> bool:
+        if self.low is None and self.high is None:
+            return True
         at = _python_order(key)
         return ((self.low is None or at > _python_order(self.low))
                 and (self.high is None or at <= _python_order(self.high)))
@@ -154,7 +156,15 @@ def boundary_keys(df: DataFrame, orders: dict[str, Order], ranks: Sequence[int],
         for s in group:
             wanted = wanted | s.holds(F.col(s.name), kinds[s.name])
         rows = some.where(wanted).toArrow().to_pylist()
-        return [sorted((r[s.name] for r in rows if s.holds_collected(r[s.name])), key=_python_order) for s in group]
+        by_bracket: dict[str, list[dict]] = {}             # searches that share a bracket share its keys
+        out = []
+        for s in group:
+            bracket = f"{s.name} {s.low} {s.high}"
+            if bracket not in by_bracket:
+                by_bracket[bracket] = sorted((r[s.name] for r in rows if s.holds_collected(r[s.name])),
+                                             key=_python_order)
+            out.append(by_bracket[bracket])
+        return out
 
     idle = 0
     while searches:

@@ -66,11 +66,11 @@ def flag_readmissions(df: DataFrame, patient: str = "Name", admitted: str = "Dat
     ties = tie_columns(df, patient, admitted, admission_id)
     # equal rows become one with a count, map-side; all but the last copy are followed by the same day
     rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    rows = rows.withColumns({"_p": _person(patient, same_person), "_d": F.col(admitted), "_t": F.struct(*ties)})
-    days = day_table(rows).select(F.col("_p").alias("_day_p"), F.col("_d").alias("_day_d"), "_last", "_next_day")
-    joined = rows.join(days, F.col("_p").eqNullSafe(F.col("_day_p")) & F.col("_d").eqNullSafe(F.col("_day_d")))
+    person = _person(patient, same_person)
+    days = day_table(rows.select(person.alias("_p"), F.col(admitted).alias("_d"), F.struct(*ties).alias("_t")))
+    joined = rows.join(days, person.eqNullSafe(F.col("_p")) & F.col(admitted).eqNullSafe(F.col("_d")))
     each = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    last = F.col("_t").eqNullSafe(F.col("_last")) & (F.col("_copy") == F.col("_copies"))
+    last = F.struct(*ties).eqNullSafe(F.col("_last")) & (F.col("_copy") == F.col("_copies"))
     gap = F.datediff(F.col("next_admission"), F.col(discharged))
     return (each.select(*df.columns, F.when(last, F.col("_next_day")).otherwise(F.col(admitted)).alias("next_admission"))
             .withColumn("days_until_readmission", gap)

@@ -63,13 +63,13 @@ def risk_factors(admissions: DataFrame, rulebook: dict = RISK_RULEBOOK, admitted
 def score_risk(flagged: DataFrame, rulebook: dict = RISK_RULEBOOK, sort: bool = True) -> DataFrame:
     """Per flagged admission: the scored attributes, total score, category and observed readmission
     (``was_readmitted``, to validate the score against; the points never look at it), highest score
-    first.  The score has a few hundred values at most, so the sort goes on with the other columns of
-    the admission (not returned): its range partitioning can then split a score that many rows share."""
+    first.  The score has a few hundred values at most, so the sort goes on with a hash of the admission
+    (not returned): its range partitioning can then split a score that many rows share."""
     scored = risk_factors(flagged, rulebook).withColumn("was_readmitted", F.col("is_readmission"))
     if not sort:
         return scored.select(*SCORE_COLUMNS)
     ties = tie_columns(flagged, "", "")
-    return (scored.select(*SCORE_COLUMNS, F.struct(*ties).alias("_ties"))
+    return (scored.select(*SCORE_COLUMNS, F.xxhash64(*ties).alias("_ties"))
             .orderBy(F.desc("total_risk_score"), F.asc("_ties")).drop("_ties"))
 
 
