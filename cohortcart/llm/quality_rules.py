@@ -31,14 +31,11 @@ SYMBOLS = r"[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class RuleSettings:
-    """Thresholds.  ``buckets`` must be a power of two.  The target is fitted on at most
-    ``max_trusted`` trusted documents (those of the smallest id hashes); raw counts and verdicts
-    always cover all documents."""
+    """Thresholds.  ``buckets`` must be a power of two."""
 
     buckets: int = 1 << 15
     smoothing: float = 8.0
     threshold: float = -0.1
-    max_trusted: int = 200_000
     min_words: int = 50
     max_repeat_percent: int = 50
 
@@ -96,38 +93,43 @@ def base_columns(text: Column, w: Column, settings: RuleSettings) -> Column:
 
 # -- hashed n-grams -----------------------------------------------------------------------------
 
-def ngram_buckets(w: Column, buckets: int) -> Column:
-    """Bucket numbers of all unigrams (``0..buckets-1``) and bigrams (``buckets..2*buckets-1``)."""
+def ngram_buckets(w: Column, buckets: int, shift: int = 0, kind: str = "int") -> Column:
+    """Bucket numbers of all unigrams (``0..buckets-1``) and bigrams (``buckets..2*buckets-1``), less
+    ``shift``."""
     mask = F.lit(buckets - 1).cast("long")
 
     def both(h: Column) -> Column:
-        one = F.transform(h, lambda x: x.bitwiseAND(mask).cast("int"))
-        two = F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: (
-            F.xxhash64(F.get(h, i), x).bitwiseAND(mask) + buckets).cast("int"))
+        low = (lambda x: x.bitwiseAND(mask) - shift) if shift else (lambda x: x.bitwiseAND(mask))
+        high = (lambda x: x.bitwiseAND(mask) + (buckets - shift)) if shift != buckets else (lambda x: x.bitwiseAND(mask))
+        one = F.transform(h, lambda x: low(x).cast(kind))
+        two = F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: high(
+            F.xxhash64(F.get(h, i), x)).cast(kind))
         return F.concat(one, two)
 
     return let(F.transform(w, lambda x: F.xxhash64(x)), both)
 
 
-def trusted_ids(labels: DataFrame, at_most: int) -> DataFrame:
-    """Ids marked good quality and not toxic (several labels for an id: all must agree); beyond
-    ``at_most`` ids, those with the smallest hashes."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids marked good quality and not toxic (several labels for an id: all must agree)."""
     good = (F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    found = (labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
-             .agg(F.min(good.cast("int")).alias("_good")).where("_good = 1"))
-    return found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most).select("doc_id")
+    return (labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+            .agg(F.min(good.cast("int")).alias("_good")).where("_good = 1").select("doc_id"))
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, settings: RuleSettings) -> DataFrame:
     """``(bucket, raw, target)`` counted over all documents; at most ``2 * buckets`` rows.
 
-    The trusted ids are a bounded set (``max_trusted``) and are broadcast, so no text is shuffled;
-    counting is partial per task, and what is shuffled is bounded by tasks x buckets."""
-    marked = docs.select("doc_id", "text").join(
-        F.broadcast(trusted.select("doc_id", F.lit(1).alias("_target"))), "doc_id", "left")
-    grams = marked.select(F.coalesce(F.col("_target"), F.lit(0)).cast("long").alias("_target"),
-                          F.explode(ngram_buckets(words(F.col("text")), settings.buckets)).alias("bucket"))
-    return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_target").alias("target"))
+    All trusted ids count, however many.  Each text is reduced to its bucket numbers in its row (2
+    bytes each where they fit), and those are joined with the ids by sorting, at every size; no text
+    is shuffled.  Counting is partial per task, and what it shuffles is bounded by tasks x buckets."""
+    small = settings.buckets <= 1 << 15
+    shift, kind = (settings.buckets, "short") if small else (0, "int")
+    grams = docs.select("doc_id", ngram_buckets(words(F.col("text")), settings.buckets, shift, kind).alias("_grams"))
+    marked = grams.join(trusted.select("doc_id", F.lit(1).alias("_target")).hint("merge"), "doc_id", "left")
+    rows = marked.select(F.coalesce(F.col("_target"), F.lit(0)).cast("long").alias("_target"),
+                         F.explode("_grams").alias("_gram"))
+    return rows.groupBy((F.col("_gram").cast("int") + shift).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("raw"), F.sum("_target").alias("target"))
 
 
 def bucket_ratios(counts: DataFrame, settings: RuleSettings) -> list[float]:
@@ -165,7 +167,7 @@ def ratio_score(w: Column, ratios: list[float], settings: RuleSettings) -> Colum
 def verdicts(docs: DataFrame, labels: DataFrame, settings: RuleSettings = RuleSettings()) -> Column:
     """Fits the ratios to ``docs`` and returns the judgement of a row's ``text`` as a struct: the base
     counts, ``base_failed``, ``score`` and ``kept``."""
-    ratios = bucket_ratios(bucket_counts(docs, trusted_ids(labels, settings.max_trusted), settings), settings)
+    ratios = bucket_ratios(bucket_counts(docs, trusted_ids(labels), settings), settings)
 
     def verdict(w: Column) -> Column:
         return let(F.struct(base_columns(F.col("text"), w, settings).alias("b"),

@@ -80,6 +80,19 @@ def test_rules_without_labels_and_empty(spark):
     assert qr.quality_rules(odd.empty(spark), odd.labels(spark)).count() == 0
 
 
+def test_rules_target_counts_every_trusted_document(spark):
+    """More trusted ids than the target was once limited to (200,000); each counts."""
+    from pyspark.sql import functions as F
+
+    n = 200_500
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    docs = spark.range(n + 500).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"))
+    settings = qr.RuleSettings(buckets=1 << 4)
+    got = qr.bucket_counts(docs, qr.trusted_ids(labels), settings).agg(
+        F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
+    assert (got["raw"], got["target"]) == (3 * (n + 500), 3 * n)
+
+
 def test_rules_filter_keeps_columns(spark):
     docs = odd.documents(spark, clash=True)
     kept = qr.keep_good(docs, odd.labels(spark))
