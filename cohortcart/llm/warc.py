@@ -43,7 +43,6 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-MAX_HEADER = 1 << 16
 
 
 def base32_sha1(data: bytes) -> str:
@@ -95,7 +94,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 # -- reading: candidates ------------------------------------------------------------------------
 
-_FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*$")
+_NAME = re.compile(rb"[A-Za-z-]+")
 PIECES = "file string, block long, row long, start long, size long, length long, next long, leaves long, " \
          "kind string, id string, refers string, claimed string, payload_bytes long, digest string"
 
@@ -108,16 +107,17 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _head(piece: bytes) -> tuple[int, int, dict[bytes, bytes]] | None:
-    """Header length, content length and fields, where the piece starts like a record."""
-    stop = piece.find(END, 0, MAX_HEADER)
+    """Header length, content length and fields, where the piece starts like a record; a header may be
+    of any length."""
+    stop = piece.find(END)
     if stop < 0:
         return None
     fields = {}
     for line in piece[:stop].split(b"\r\n"):
-        m = _FIELD.match(line)
-        if not m:
+        name, colon, value = line.partition(b":")
+        if not colon or not _NAME.fullmatch(name) or b"\n" in value:
             return None
-        fields[m[1].lower()] = m[2]
+        fields[name.lower()] = value.strip(b" \t")
     length = fields.get(b"content-length", b"")
     if not length.isdigit() or b"warc-type" not in fields:
         return None
@@ -228,7 +228,7 @@ def _on_chain(rows: pd.DataFrame) -> pd.DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Verified records: ``file, at, kind, id, refers, claimed, payload_bytes, digest``; ``at`` is the
-    offset behind the record's magic."""
+    offset behind the record's magic.  Raises where the records of a file do not lead to its end."""
     found = stored(_pieces(spark, path).mapInArrow(_candidates, PIECES), "pieces")
     blocks = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
     order = Window.partitionBy("file").orderBy("block")
@@ -236,7 +236,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     placed = found.join(bases, ["file", "block"]).withColumn("at", F.col("base") + F.col("start")).withColumn(
         "exit", F.col("base") + F.col("leaves"))
     placed = stored(placed, "placed")
-    entries = _entries(placed).select("file", "at", F.lit(True).alias("entry"))
+    reached = _entries(placed)
+    # a whole chain's last record leads to the end of its file
+    broken = blocks.groupBy("file").agg(F.sum("bytes").alias("at")).join(reached, ["file", "at"], "left_anti").first()
+    if broken:
+        raise ValueError(f"{broken['file']}: the chain of records ends before the file does")
+    entries = reached.select("file", "at", F.lit(True).alias("entry"))
     marked = placed.join(entries, ["file", "at"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     chain = marked.select("file", "block", "at", "start", "next", "entry").groupBy("file", "block").applyInPandas(
         _on_chain, "file string, at long, real boolean")

@@ -61,6 +61,28 @@ def test_archives_are_plain_warc(spark):
     assert text.startswith("WARC/1.0\r\nWARC-Type: response\r\n") and text.endswith("<p>é</p>\r\n\r\n")
 
 
+@pytest.mark.parametrize("block", ["3k", "128m"])
+def test_urls_of_any_length(spark, block):
+    pages = [(i, f"http://x/{i}", f"page {i}") for i in range(20)]
+    pages += [(100, "data:text/plain," + "u" * 100_000, "long url"), (101, "q" + " " * 100_000 + "q", FAKE), (102, "http://x", "last")]
+    path = scratch_path(spark, "warc-test")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+        got = page_records(read_archives(spark, path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(odd.key, got)) == sorted(map(odd.key, expected(pages)))
+
+
+@pytest.mark.parametrize("bad", ["WARC/1.0\r\nno field\r\n\r\n", FAKE.replace("Length: 5", "Length: 4"), FAKE[:-6]])
+def test_broken_chain_raises(spark, tmp_path, bad):
+    (tmp_path / "a.warc").write_bytes((FAKE + bad).encode())
+    with pytest.raises(ValueError, match="chain of records"):
+        read_archives(spark, f"file://{tmp_path}/a.warc")
+
+
 def test_empty_table(spark):
     path = scratch_path(spark, "warc-test")
     write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
