@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortcart.llm import licenses, warc
-from cohortcart.llm.licenses import scan_licenses
+from cohortcart.llm.licenses import find_licenses
 from cohortcart.llm.lm_scoring import language_model_scores
 from cohortcart.llm.mixing import fit_mixture, with_copies
 from cohortcart.llm.nearest import nearest_neighbours
@@ -67,7 +67,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return find_licenses(table(spark, sf_dir, "documents"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,21 @@ def test_size_bounds_drop_no_match(spark):
     assert got == want
 
 
+def test_licences_that_are_no_line_of_their_own(spark):
+    import textwrap
+
+    code = "\n".join(f"x{i} = compute(y{i}, z{i})" for i in range(60))
+    header = "\n".join("# " + x for x in textwrap.wrap(licenses.TEMPLATES["Apache-2.0 header"], 76))
+    texts = [(1, "#!/bin/sh\n" + header + "\n" + code),
+             (2, "Copyright 2020 Foo. Released under the MIT License. See LICENSE."), (3, "Licensed under the MIT License."),
+             (4, code + "\n" + licenses.WINDOW_TEMPLATES["MIT text"].replace(", ", ",\n") + "\n" + code),
+             (5, code), (6, None), (7, "a\nReleased under the MIT License.\nb"), (8, "of the software " * 3000)]
+    got = sorted((r["doc_id"], r["line"], r["license"], r["dice"]) for r in licenses.find_licenses(
+        spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got == [(1, 1, "Apache-2.0 header", 1.0), (2, 0, "MIT notice", 1.0), (3, 0, "MIT licensed", 1.0),
+                   (4, 60, "MIT text", 1.0), (7, 1, "MIT notice", 1.0)]
+
+
 def test_odd_and_empty_tables(spark):
     assert licenses.scan_licenses(odd.documents(spark, clash=True)).count() == 0
     assert licenses.scan_licenses(odd.empty(spark)).count() == 0
