@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortcart.llm import licenses, warc
+from cohortcart.llm import fill_middle, licenses, vector_codes, warc
+from cohortcart.llm.fill_middle import digests, fill_in_middle
 from cohortcart.llm.licenses import find_licenses
 from cohortcart.llm.lm_scoring import language_model_scores
 from cohortcart.llm.mixing import fit_mixture, with_copies
@@ -88,10 +89,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(read_archives(spark, path))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_mixing, op5_lm_scoring, op6_licenses, op7_simhash, op8_nearest,
-                                     op9_quality_rules, op10_warc)}
+                                     op9_quality_rules, op10_warc, op11_vector_codes, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": licenses.oracle(), "op10_warc": warc.oracle()}
+    return {"op6_licenses": licenses.oracle(), "op10_warc": warc.oracle(),
+            "op11_vector_codes": vector_codes.oracle(), "op13_fill_middle": fill_middle.oracle()}
