@@ -18,6 +18,7 @@ from cohortcart.llm.lm_scoring import language_model_scores
 from cohortcart.llm.mixing import fit_mixture, with_copies
 from cohortcart.llm.nearest import nearest_neighbours
 from cohortcart.llm.packing import pack
+from cohortcart.llm.pii import personal_data, span_digests
 from cohortcart.llm.quality_classifier import quality_scores
 from cohortcart.llm.quality_rules import quality_rules
 from cohortcart.llm.sharding import LAW, row_size, write_shards
@@ -93,13 +94,17 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(fill_in_middle(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_mixing, op5_lm_scoring, op6_licenses, op7_simhash, op8_nearest,
-                                     op9_quality_rules, op10_warc, op11_vector_codes, op13_fill_middle)}
+                                     op9_quality_rules, op10_warc, op11_vector_codes, op12_pii, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
