@@ -19,6 +19,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -56,6 +57,12 @@ _BYTE_LETTERS = _byte_letters()
 TOKEN_SCHEMA = "part int, local_start long, doc_id long, n_tokens long, ids binary"
 
 
+def _letters_only(part: str) -> bool:
+    """Whether the tokenizer sees letters alone: some letters are written as a letter and a combining
+    mark in lower case or normal form, and a mark is cut off differently."""
+    return part.isalpha() and (part.isascii() or unicodedata.normalize("NFC", part).lower().isalpha())
+
+
 class WordEncoder:
     """Token ids of texts, remembered per blank-separated word.
 
@@ -80,11 +87,12 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> None:
         """Puts ids of new words in the cache.  Letters followed by ASCII signs are two separate
-        pieces to the tokenizer, and letters are lower-cased first, so the parts are shared."""
+        pieces to the tokenizer where they are still letters in its normal form, and letters are
+        lower-cased first, so such parts are shared; any other word goes through it whole."""
         known = self.known
         for w in words:
             core = w.rstrip(_TAIL)
-            if core.isalpha():
+            if _letters_only(core):
                 low = core.lower()
                 core, tail = low if max(low) < _LATIN_END else core, w[len(core):]
             else:

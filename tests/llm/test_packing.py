@@ -24,6 +24,18 @@ def test_word_encoder_equals_whole_text_encoding(tokenizer):
             assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:50]
 
 
+def test_every_character_beside_signs(tokenizer):
+    """All characters of the first two planes before and after letters and signs."""
+    chars = [chr(c) for c in range(0x20, 0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [f"{form[0]}{c}{form[1]}" for c in chars for form in (("a", "."), ("", "!"), (".", "a;"), ("", "b"))]
+    texts += ["पहाड़, अड़.", "\u0130. \u0130stanbul, \u212a! \u1e9e? \ufb01#"]
+    encoder = WordEncoder(open(PATH, encoding="utf-8").read())
+    want = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [t for t, ids, w in zip(texts, encoder.encode(texts), want, strict=True)
+             if np.frombuffer(ids, dtype="<u4").tolist() != w.ids]
+    assert not wrong, (len(wrong), [hex(ord(c)) for c in wrong[0]])
+
+
 def test_segments_lose_nothing_but_the_blank():
     text = "ab cd " * 50
     assert " ".join(segments(text, 20)) == text
