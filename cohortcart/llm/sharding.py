@@ -9,20 +9,25 @@ position; positions are dealt to shards in equal runs, so shard counts differ by
 The row key decides the bucket, so give columns that tell rows apart: ``documents`` uses the id
 with the stored row's file and place in it, and thus even one id on a third of all rows is spread
 evenly.  Each bucket is sorted by hashes of the key and the whole record before it is shuffled, so
-a re-run task deals the same slots.  The only table held by all tasks is one row per bucket.
+a re-run task deals the same slots.  Buckets are sized by whole records, all columns; the table of
+bucket offsets (one row per bucket) is joined as Spark sees fit, not forced on all tasks.
 
 Defined cases: null text counts one byte (size) and has checksum 0; empty texts are records like
-any other; repeated rows are separate records; fewer records than shards leave shards empty; an
+any other; a very long text is one record of its bucket, which is then larger by it; repeated rows
+are separate records, and ties of the key are ordered by the whole record; fewer records than shards leave shards empty; an
 empty table gives no rows.  Records travel as one struct, so no column name can clash.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, MapType, StringType, StructType
 
 LAW = "rows"
 BUCKET_BYTES = 24 << 20
@@ -33,6 +38,18 @@ def row_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
+def record_size(docs: DataFrame) -> Column:
+    """About the bytes of a whole row: texts by their length, nested columns by their JSON."""
+    def size(field) -> Column:
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(field.name), F.lit(0)) + 4
+        if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0))
+        return F.lit(8)
+
+    return reduce(add, [size(f).cast("long") for f in docs.schema.fields])
+
+
 def shuffled_buckets(rows: DataFrame, seed: int) -> DataFrame:
     """``record, bucket, place``: each bucket's records in Fisher-Yates order, ``place`` from 0."""
     record_type = rows.schema["record"].dataType
@@ -48,12 +65,12 @@ def shuffled_buckets(rows: DataFrame, seed: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(fisher_yates, schema)
 
 
-def write_shards(docs: DataFrame, path: str, shards: int, row_key: list[Column], text: str = "text",
+def write_shards(docs: DataFrame, path: str, shards: int, row_key: list[Column],
                  seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Writes ``docs`` to ``path`` as parquet folders ``shard=0 ...`` and returns the written table:
     ``record`` (struct of all columns), ``slot``, ``shard``."""
     spark = docs.sparkSession
-    total, n = docs.agg(F.sum(row_size(F.col(text))), F.count(F.lit(1))).first()
+    total, n = docs.agg(F.sum(record_size(docs)), F.count(F.lit(1))).first()
     buckets = max(1, -(-(total or 0) // bucket_bytes))
     key = F.xxhash64(F.lit(seed), *row_key)
     names = docs.columns
@@ -62,7 +79,7 @@ def write_shards(docs: DataFrame, path: str, shards: int, row_key: list[Column],
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
     bases = counts.select("bucket", (F.sum("rows").over(Window.orderBy("bucket")) - F.col("rows")).alias("base"))
     rows = rows.withColumn("tie", F.xxhash64(*[F.col("record")[c] for c in names]))
-    placed = (shuffled_buckets(rows, seed).join(F.broadcast(bases), "bucket")
+    placed = (shuffled_buckets(rows, seed).join(bases, "bucket")
               .withColumn("at", F.col("base") + F.col("place")))
     small, larger = n // shards, n % shards        # the first `larger` shards get one record more
     edge, each = larger * (small + 1), max(small, 1)
