@@ -15,9 +15,10 @@ Buckets therefore have a bounded size, rows grow in proportion, and each bucket
 of its spanning stars only, never all pairs.
 
 Defined cases: null and blank texts have fingerprint zero and are linked like any other; fewer
-words than a shingle make one shingle of them all; repeated rows get equal results; a null
-``doc_id`` takes the component of its fingerprint and is never a component's name unless all are
-null; an empty table gives no rows.
+words than a shingle make one shingle of them all; very long texts are read in segments, whole;
+repeated rows get equal results; a null ``doc_id`` takes the component of its fingerprint and is never
+a component's name unless all are null; ``keep_one`` keeps one row of each group whatever the ids,
+null and repeated ones included; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,17 +76,22 @@ def fingerprint(data: bytes, shingle: int = SHINGLE_WORDS, seed: int = SEED) ->
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def _tag() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long)."""
+    """``doc_id, tag, fp``: ``tag`` tells texts apart (MD5), the fingerprint is a signed long."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             values = np.array([fingerprint(t.as_py(), shingle, seed) for t in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values.view(np.int64))],
+                                             names=["doc_id", "tag", "fp"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                        F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return texts.mapInArrow(hashed, "doc_id long, fp long")
+                        F.coalesce("text", F.lit("")).cast("binary").alias("text"), _tag().alias("tag"))
+    return texts.mapInArrow(hashed, "doc_id long, tag string, fp long")
 
 
 # -- covering masks -----------------------------------------------------------------------------
@@ -169,14 +175,20 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 # -- operator -----------------------------------------------------------------------------------
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id, fingerprint, component_id``: the fingerprint as 16 hex digits, and the smallest
-    ``doc_id`` reachable over links."""
+def _rooted(docs: DataFrame, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, tag, fp`` of all rows, and ``fp, least, root`` of the distinct fingerprints: the smallest
+    id with it, and the fingerprint that names its component."""
     marked = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct, max_bits))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+    return marked, distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``doc_id, fingerprint, component_id``: the fingerprint as 16 hex digits, and the smallest
+    ``doc_id`` reachable over links."""
+    marked, named = _rooted(docs, shingle, max_bits)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(
@@ -184,9 +196,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each group, all columns: the one the component is named after.  Rows without
-    an id cannot be named and are kept; of rows that repeat an id one is kept."""
-    found = near_duplicates(docs, shingle, max_bits)
-    named = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(named, docs["doc_id"] == named["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group, all columns: of the group's rows the one with the smallest id (null
+    last), then the smallest MD5 of its text, then the smallest hash of the whole row."""
+    marked, named = _rooted(docs, shingle, max_bits)
+    # one (id, text) per group; ids may repeat or be null, so the text is part of the choice
+    pairs = marked.groupBy("fp", "doc_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "tag", "n")
+    per_fp = pairs.groupBy("fp").agg(F.min(first).alias("first"))
+    chosen = (per_fp.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+              .select("root", F.col("first.id").alias("c_id"), F.col("first.tag").alias("c_tag"), F.col("first.n").alias("n")))
+    chosen = stored(chosen, "chosen")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), _tag().alias("tag"))
+
+    def of(some: DataFrame) -> DataFrame:
+        return rows.join(some, (F.col("tag") == F.col("c_tag")) & F.col("id").eqNullSafe(F.col("c_id")))
+
+    once = of(chosen.where("n = 1")).select("doc.*")
+    if chosen.where("n > 1").isEmpty():
+        return once
+    # rows that repeat an id with its text: one of them
+    order = F.xxhash64(*[F.col("doc")[c] for c in docs.columns])
+    again = of(chosen.where("n > 1")).groupBy("root").agg(F.min_by("doc", order).alias("doc"))
+    return once.unionByName(again.select("doc.*"))

@@ -98,7 +98,20 @@ def test_keep_one_of_each_group(spark):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     named = {r["component_id"] for r in simhash.near_duplicates(docs).collect() if r["doc_id"] is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(named) and ids.count(None) == 2
+    assert sorted(i for i in ids if i is not None) == sorted(named) and ids.count(None) == 1
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    """Different texts that share an id stay; equal texts without ids become one."""
+    apart, also, third = (odd.prose(random.Random(k), 60, 5000) for k in (1, 2, 3))
+    rows = [(1, apart, "en", "s", 1), (1, also, "en", "s", 1), (None, third, "en", "s", 1), (None, third, "de", "t", 2),
+            (2, apart, "en", "s", 1), (1, apart, "en", "s", 1), (1, apart, "fr", "s", 1), (9, "", "en", "s", 1),
+            (None, None, "en", "s", 1)]
+    frame = spark.createDataFrame(rows, odd.SCHEMA)
+    out = [sorted(map(odd.key, simhash.keep_one(frame.repartition(k)).collect())) for k in (2, 5)]
+    assert out[0] == out[1]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(frame).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, apart), (1, also), (None, third), (9, "")]))
 
 
 def test_empty_table(spark):
