@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortcart.llm.text import let, words
+from cohortcart.session import stored
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -120,12 +121,12 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, settings: RuleSettings) -
     """``(bucket, raw, target)`` counted over all documents; at most ``2 * buckets`` rows.
 
     All trusted ids count, however many.  Each text is reduced to its bucket numbers in its row (2
-    bytes each where they fit), and those are joined with the ids by sorting, at every size; no text
-    is shuffled.  Counting is partial per task, and what it shuffles is bounded by tasks x buckets."""
+    bytes each where they fit), and those are joined with the stored ids as their number suggests to
+    Spark; no text is shuffled.  Counting is partial per task, and what it shuffles is bounded by tasks x buckets."""
     small = settings.buckets <= 1 << 15
     shift, kind = (settings.buckets, "short") if small else (0, "int")
     grams = docs.select("doc_id", ngram_buckets(words(F.col("text")), settings.buckets, shift, kind).alias("_grams"))
-    marked = grams.join(trusted.select("doc_id", F.lit(1).alias("_target")).hint("merge"), "doc_id", "left")
+    marked = grams.join(stored(trusted.select("doc_id", F.lit(1).alias("_target")), "trusted"), "doc_id", "left")
     rows = marked.select(F.coalesce(F.col("_target"), F.lit(0)).cast("long").alias("_target"),
                          F.explode("_grams").alias("_gram"))
     return rows.groupBy((F.col("_gram").cast("int") + shift).alias("bucket")).agg(
