@@ -52,12 +52,10 @@ def base32_sha1(data: bytes) -> str:
 # -- writing ------------------------------------------------------------------------------------
 
 def _digest(payload: Column) -> Column:
-    """Base32 SHA-1; Spark hashes the payload, and only the 40 hex digits are re-coded."""
-    @F.pandas_udf("string")
-    def recode(digits: pd.Series) -> pd.Series:
-        return digits.map(lambda x: base64.b32encode(bytes.fromhex(x)).decode())
-
-    return recode(F.sha1(payload.cast("binary")))
+    """Base32 SHA-1: every 5 hex digits are 4 digits to the base 32, written in other letters."""
+    digits = F.sha1(payload.cast("binary"))
+    fours = [F.lpad(F.conv(F.substring(digits, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
+    return F.translate(F.concat(*fours), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def _header(kind: str, url: Column, refers_to: Column | None) -> Column:
@@ -82,7 +80,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     # stored, so that Spark knows how many payloads are shared: few are broadcast and no html moves,
     # many are joined by sorting
     shared = stored(rows.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-                    .where("n > 1").select("digest", "size", "first").coalesce(8), "shared")
+                    .where("n > 1").select("digest", "size", "first"), "shared")
     marked = rows.join(shared, ["digest", "size"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     url = F.col("url")
@@ -258,9 +256,14 @@ def _rejoined(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
     """Records whose payload contains the magic, put together from their pieces.
 
     The pieces wanted are few or many; Spark sees their number and picks the join."""
-    before = Window.partitionBy("file").orderBy("at")
-    owner = F.last(F.when(F.col("real"), F.struct("at", "length", "payload_bytes")), ignorenulls=True).over(before)
-    wanted = (known.withColumn("o", owner).where("o is not null and o.payload_bytes is null and at <= o.at + o.length")
+    # the record a piece lies in: the last one begun in its block, else in a block before it
+    begun = F.when(F.col("real"), F.struct("at", "length", "payload_bytes"))
+    inside = F.last(begun, ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("at"))
+    lasts = known.groupBy("file", "block").agg(F.max(begun).alias("last"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("file", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    owned = known.withColumn("i", inside).join(carried, ["file", "block"])
+    wanted = (owned.withColumn("o", F.coalesce("i", "carried")).where("o is not null and o.payload_bytes is null and at <= o.at + o.length")
               .select("file", "block", "row", "at", F.col("o.at").alias("owner")))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
