@@ -7,14 +7,16 @@ is solved from sums alone and the penalty is the one with the least error on lef
 Scores that left-out folds get are binned, and isotonic regression turns them into the
 probability of label 1.
 
-Only the statistics of labelled documents are gathered, at most ``max_labelled`` of them (those of
-the smallest id hashes); all documents are scored.  Statistics never include labels, language,
-source or id.  No text is shuffled: the labelled ids are a bounded broadcast.
+Only the statistics of labelled documents are gathered, each document once and about ``max_labelled``
+of them at most: ids first, then rows, each by a share of its hashes' range, so an id on a third of all
+rows is bounded and spread like any other.  All documents are scored.  Statistics never include
+labels, language, source or id.
 
 Defined cases: a null or empty text has all statistics 0 and gets the score such texts get;
 several labels for an id are averaged and rounded up from a half; a null label is none; with no
-labels, or one kind only, every score is that kind's share (0.5 without labels); repeated rows
-score alike; an empty table gives no rows.
+labels, or one kind only, every score is that kind's share (0.5 without labels); very long texts are
+counted whole; repeated rows score alike and are one example; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,15 +121,24 @@ class Model:
         return np.clip(np.interp(raw, self.steps_at, self.steps), 0, 1)
 
 
+def _some(rows: DataFrame, n: int, most: int, key: Column) -> DataFrame:
+    """About ``most`` of the ``n`` rows, those whose key's hash falls below a share of its range."""
+    return rows if n <= most else rows.where(F.shiftrightunsigned(key, 11) < F.lit(int(most / n * (1 << 53))))
+
+
 def labelled_statistics(docs: DataFrame, labels: DataFrame, settings: ClassifierSettings) -> DataFrame:
-    """``fold, deal, y`` and the statistics of the labelled documents that are not held out; ``deal`` (a
-    hash of the id) spreads copies over the tasks that add up."""
+    """``fold, deal, y`` and the statistics of the labelled documents that are not held out, copies of a
+    document once; at most about ``max_labelled`` ids and as many rows.  ``deal`` (a hash of the row)
+    spreads them over the tasks that add up, so an id on many texts is spread as well."""
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-             .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_labelled))
-    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    return found.select(fold(F.col("doc_id")).alias("fold"), F.xxhash64("doc_id").alias("deal"), "y",
-                        statistics(F.col("text")).alias("s")).select("fold", "deal", "y", "s.*")
+             .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y")))
+    known = stored(known, "label-ids")
+    known = _some(known, known.count(), settings.max_labelled, F.xxhash64(F.lit(settings.seed), "doc_id"))
+    found = docs.select("doc_id", "text").join(known, "doc_id")
+    rows = found.select("doc_id", "y", statistics(F.col("text")).alias("s")).select("doc_id", "y", "s.*").distinct()
+    rows = stored(rows.withColumn("deal", F.xxhash64(F.lit(settings.seed + 1), "doc_id", *STATISTICS)), "labelled-rows")
+    rows = _some(rows, rows.count(), settings.max_labelled, F.col("deal"))
+    return rows.select(fold(F.col("doc_id")).alias("fold"), "deal", "y", *STATISTICS)
 
 
 def _normal_sums(sample: DataFrame, lift, width: int) -> dict[int, np.ndarray]:
@@ -182,7 +193,7 @@ def isotonic(x: np.ndarray, n: np.ndarray, positive: np.ndarray) -> tuple[np.nda
 
 def fit_classifier(docs: DataFrame, labels: DataFrame,
                    settings: ClassifierSettings = ClassifierSettings()) -> Model:
-    sample = stored(labelled_statistics(docs, labels, settings), "labelled")
+    sample = labelled_statistics(docs, labels, settings)
     moments = sample.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"),
                          *[F.avg(k).alias(f"{k}_mean") for k in STATISTICS],
                          *[F.stddev_pop(k).alias(f"{k}_spread") for k in STATISTICS]).first()

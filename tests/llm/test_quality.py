@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cohortcart.llm import quality_classifier as qc
 from cohortcart.llm import quality_rules as qr
@@ -156,3 +157,48 @@ def test_classifier_held_out_accuracy(spark):
     bad = [r["score"] for r in rows if not marks[r["doc_id"]]]
     auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
     assert auc > 0.97
+
+
+def test_one_id_on_many_texts_is_bounded_and_spread(spark):
+    """Two fifths of all rows share an id; the sample stays bounded by rows and no task gets them all."""
+    text = F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * k % 97).cast("string")) for k in range(1, 9)],
+                       F.expr("repeat('z ', int(id % 50))"))
+    docs = spark.range(3000).select(F.when(F.col("id") % 5 < 2, F.lit(4)).otherwise(F.col("id") + 10).alias("doc_id"),
+                                    text.alias("text"))
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"),
+                                      F.lit(0).alias("toxic"))
+    settings = qc.ClassifierSettings(max_labelled=400)
+    sample = qc.labelled_statistics(docs, labels, settings)
+    assert 250 < sample.count() < 600
+    everything = qc.labelled_statistics(docs, labels, qc.ClassifierSettings())
+    sizes = [r["count"] for r in everything.repartition(16, "deal").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
+    assert qc.quality_scores(docs, labels, settings).count() == 3000
+
+
+def test_scores_equal_a_plain_fit(spark):
+    """Ridge, calibration and scores from all labelled rows at once, without partitions or folds' sums."""
+    docs, labels, settings = odd.documents(spark), odd.labels(spark), qc.ClassifierSettings(features=24)
+    model = qc.fit_classifier(docs, labels, settings)
+    rows = qc.labelled_statistics(docs, labels, settings).toPandas()
+    x, y, folds = rows[list(qc.STATISTICS)].to_numpy(), rows["y"].to_numpy(), rows["fold"].to_numpy()
+    assert np.allclose(model.mean, x.mean(axis=0), rtol=1e-6)
+    z = model.lifted(x)
+
+    def ridge(some, penalty):
+        a = z[some].T @ z[some] + np.diag(np.append(np.full(z.shape[1] - 1, penalty * some.sum()), 1e-9 * some.sum()))
+        return np.linalg.solve(a, z[some].T @ y[some])
+
+    errors = {p: sum(((z[folds == k] @ ridge(folds != k, p) - y[folds == k]) ** 2).sum() for k in set(folds)) for p in qc.PENALTIES}
+    best = min(errors, key=errors.get)
+    assert np.allclose(model.weights[:, -1], ridge(np.ones(len(y), dtype=bool), best), atol=1e-6)
+    left_out = np.array([z[i] @ ridge(folds != folds[i], best) for i in range(len(y))])
+    bins = np.round(np.clip(left_out, -1, 2) * qc.CALIBRATION_BINS).astype(int)
+    at = sorted(set(bins))
+    steps = qc.isotonic(np.array(at) / qc.CALIBRATION_BINS, np.array([float((bins == b).sum()) for b in at]),
+                        np.array([y[bins == b].sum() for b in at]))
+    stats = docs.select("doc_id", "text", qc.statistics(F.col("text")).alias("s")).select("doc_id", "text", "s.*").toPandas()
+    want = np.clip(np.interp(model.lifted(stats[list(qc.STATISTICS)].to_numpy()) @ model.weights[:, -1], *steps), 0, 1)
+    got = qc.quality_scores(docs, labels, settings).toPandas()
+    assert np.allclose(sorted(got["score"]), sorted(want), atol=1e-3)
+    assert (got["predicted"] == (got["score"] >= settings.keep_at)).all()
