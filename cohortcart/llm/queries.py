@@ -47,10 +47,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    shards = write_shards(docs, scratch_path(spark, "shards"), shards=16,
-                          row_key=[F.col("doc_id"), F.col("file"), F.col("row")])
+    # ids may repeat, so a row's key is its place in the stored table as well
+    place = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    shards = write_shards(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"), shards=16,
+                          row_key=[F.col("doc_id"), *place])
     text = F.col("record.text")
     return shards.select(
         F.col("record.doc_id").alias("doc_id"), row_size(text).alias("size"),
@@ -60,7 +60,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = with_copies(docs.select("doc_id", "text", "source"), fit_mixture(docs))
+    rows = with_copies(docs, fit_mixture(docs))
     return rows.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -2,8 +2,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from cohortcart.llm.mixing import fit_mixture, mixed, target_words, with_copies
+from cohortcart.llm.mixing import fit_mixture, mixed, with_copies, with_targets
 from tests.llm import odd
 
 
@@ -11,15 +12,63 @@ def n_words(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
-def test_targets_by_hand():
-    got = target_words({"a": 100, "b": 100, "c": 100, "d": 100, None: 1})
-    assert got[None] == 3                       # 2/15 of 401 is more than three times its size
-    left = 398 / 13
-    assert got == pytest.approx({"a": 5 * left, "b": 2 * left, "c": left, "d": 5 * left, None: 3})
-    assert sum(got.values()) == pytest.approx(401)
-    capped = target_words({"a": 10, "b": 1000, "c": 10})
-    assert capped["a"] == 30 and sum(capped.values()) == pytest.approx(1020)
-    assert target_words({}) == {} and target_words({"a": 0, None: 0}) == {"a": 0, None: 0}
+def target_words(sizes, weights=(5, 2, 1), cap=3):
+    """The targets, source by source."""
+    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, free, out = float(sum(sizes.values())), list(order), {}
+    while True:
+        share = left / (sum(weight[s] for s in free) or 1)
+        over = [s for s in free if weight[s] * share > cap * sizes[s]]
+        if not over:
+            return out | {s: weight[s] * share for s in free}
+        for s in over:
+            out[s] = float(cap * sizes[s])
+            left -= out[s]
+        free = [s for s in free if s not in out]
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100, "d": 100, None: 1}, {"a": 0, None: 0}, {f"s{i}": (i * 37) % 101 for i in range(60)}, {}])
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, words long, docs long")
+    got = {r["source"]: r["target"] for r in with_targets(rows).collect()}
+    assert got == pytest.approx(target_words(sizes))
+
+
+def hot_rows(spark, equal, others):
+    """One source of which ``equal`` rows are the same in every column, and three others."""
+    text = "w " * 33
+    rows = [(7, text, "en", "a", 1)] * equal + [(1000 + i, f"v{i} " * (5 + i % 60), "en", "a", 1) for i in range(others)]
+    rows += [(5000 + i, "x " * (10 + i % 50), "en", f"b{i % 3}", 1) for i in range(900)]
+    return spark.createDataFrame(rows, odd.SCHEMA)
+
+
+@pytest.mark.parametrize("equal, others", [(600, 300), (2000, 0)])
+def test_equal_rows_are_shared_out(spark, equal, others):
+    docs = hot_rows(spark, equal, others)
+    runs = []
+    for d in (docs, docs.repartition(5)):
+        rows = with_copies(d, fit_mixture(d)).collect()
+        assert len(rows) == docs.count()
+        runs.append(sorted(odd.key((r["doc"]["doc_id"], r["size"], r["copies"])) for r in rows))
+        taken, target = Counter(), {}
+        for r in rows:
+            taken[r["doc"]["source"]] += r["size"] * r["copies"]
+            target[r["doc"]["source"]] = r["target"]
+        for s, t in target.items():
+            assert taken[s] == pytest.approx(t, rel=0.01), s
+    assert runs[0] == runs[1]
+    assert len({r["copies"] for r in rows if r["doc"]["doc_id"] == 7}) <= 2
+
+
+def test_many_sources(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "repeat('w ', 3 + int(id % 7)) AS text", "'en' AS lang",
+                                          "concat('host', id % 20000) AS source", "1L AS n_chars")
+    rows = with_copies(docs, fit_mixture(docs))
+    row = rows.selectExpr("doc.source AS s", "size * copies AS t", "target", "copies").groupBy("s").agg(
+        F.sum("t").alias("t"), F.first("target").alias("target"), F.max("copies").alias("c")).agg(
+        F.count("s"), F.sum("t"), F.sum("target"), F.max("c")).first()
+    assert row[0] == 20_000 and row[1] == pytest.approx(row[2], rel=0.05) and row[3] <= 3
 
 
 def test_taken_words_near_targets_caps_and_reruns(spark):
