@@ -165,7 +165,7 @@ def test_one_id_on_many_texts_is_bounded_and_spread(spark):
                        F.expr("repeat('z ', int(id % 50))"))
     docs = spark.range(3000).select(F.when(F.col("id") % 5 < 2, F.lit(4)).otherwise(F.col("id") + 10).alias("doc_id"),
                                     text.alias("text"))
-    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"),
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"),
                                       F.lit(0).alias("toxic"))
     settings = qc.ClassifierSettings(max_labelled=400)
     sample = qc.labelled_statistics(docs, labels, settings)
