@@ -14,8 +14,8 @@ whose marginal reaches ``threshold`` joins the entity.  Of the words with one ke
 one before it, so edges grow with the words, not with their pairs.
 
 Training.  All weights are learnt here, by regularised pseudo-likelihood, on a bounded sample of the
-texts (``Settings.sample_texts`` texts of at most ``sample_chars`` characters with the smallest hashes,
-up to ``sample_words`` candidates) into which generated entities, other mentions of them, and
+texts (about ``Settings.sample_texts`` texts of at most ``sample_chars`` characters, picked by their
+hashes, up to ``sample_words`` candidates) into which generated entities, other mentions of them, and
 look-alikes that are none (years, versions, part numbers, lone groups of a card) are written.  Words of the sample's own texts outside base spans are examples of "none".
 
 Work per text is one task's; only the sample reaches the driver, and the weights (about 5,000
@@ -415,13 +415,15 @@ def train(texts: list[str], settings: Settings = Settings()) -> Model:
 
 
 def sample(docs: DataFrame, settings: Settings = Settings()) -> list[str]:
-    """The texts the model is learnt on: those with a candidate and of bounded length that have the
-    smallest hashes, each text once."""
+    """The texts the model is learnt on, about ``sample_texts``: those with a candidate and of bounded
+    length whose hashes fall below a share of their range, each text once.  Tasks send nothing else."""
     text = F.col("text")
-    rows = (docs.select("text").where(text.rlike("[0-9@]") & (F.char_length(text) <= settings.sample_chars))
-            .withColumn("h", F.xxhash64(F.lit(settings.seed), "text")).orderBy("h", "text")
-            .limit(settings.sample_texts).collect())
-    return list(dict.fromkeys(r["text"] for r in rows))
+    rows = docs.select("text").where(text.rlike("[0-9@]") & (F.char_length(text) <= settings.sample_chars))
+    n = rows.count()
+    share = min(1.0, settings.sample_texts / max(n, 1))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(settings.seed), "text"), 11)
+    few = rows.where(place < F.lit(int(share * (1 << 53)))).distinct()
+    return [r["text"] for r in few.orderBy(place, "text").limit(2 * settings.sample_texts).collect()]
 
 
 # -- operator -----------------------------------------------------------------------------------
