@@ -78,8 +78,10 @@ def risk_records(factors: DataFrame, run_ts, start_id: int = 0, n: int | None =
     admission id and then of all other columns (exact and gap-free), and every row carries the same
     ``CalculationDate``."""
     derived = {*RISK_RULEBOOK, "length_of_stay", "total_risk_score", "risk_category"}
-    order = [(c, True) for c in tie_columns(factors, "", "") if c not in derived]
-    ranked = global_row_number(factors, order, "_seq", n, **rank_options)
+    ties = [c for c in tie_columns(factors, "", "") if c not in derived]
+    # only the record's columns and the order's move; the order beyond the id travels as it is needed
+    kept = dict.fromkeys([src for _, src in RECORD_COLUMNS] + ties)
+    ranked = global_row_number(factors.select(*kept), [(c, True) for c in ties], "_seq", n, **rank_options)
     return ranked.select((F.col("_seq") + F.lit(start_id)).cast("long").alias("ID"),
                          *[F.col(src).alias(dst) for dst, src in RECORD_COLUMNS],
                          F.lit(timestamp_text(run_ts)).cast("timestamp_ntz").alias("CalculationDate"))

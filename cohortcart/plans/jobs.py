@@ -2,12 +2,14 @@
 
 Two write jobs in order (alerts read the score table just written), no transaction around them.  The run
 time is one explicit timestamp stamped on every row.  Output tables are parquet tables created on first
-use, optionally at an explicit location in shared storage.  ``ID`` continues after the table's current
-maximum, which assumes a single writer per table.
-
-By default each run appends, so a second run adds a second set of rows.  With ``by_run_date=True`` both
-tables are partitioned by ``run_date`` and a run replaces its date's partition: a failed and repeated run
-leaves one set of rows with the same ids, and the alert step reads one partition.
+use, optionally at an explicit location in shared storage.
+
+By default each run appends, so a second run adds a second set of rows; ``ID`` continues after the
+table's current maximum, which assumes a single writer per table.  With ``by_run_date=True`` both tables
+are partitioned by ``run_date`` and a run replaces its date's partition: a failed and repeated run leaves
+one set of rows with the same ids, and the alert step reads one partition.  Ids then come from ranges
+that a ledger beside each table reserves per date (``cohortcart.plans.ledger``) before rows are written,
+so they are unique whatever the order of dates, repetitions and row counts.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortcart.operators.risk import build_alerts, risk_factors, risk_records
+from cohortcart.operators.risk import build_alerts, due_for_alert, risk_factors, risk_records
+from cohortcart.plans.ledger import ledger_name, open_ledger, reserve
 
 # ---- fixed values: names of the output tables and their columns ------------------------------
 RISK_TABLE = "PatientReadmissionRisk"
@@ -90,22 +93,25 @@ def run_risk_batch(spark: SparkSession, admissions: DataFrame, run_ts: dt.dateti
     ts_text = run_ts.isoformat(sep=" ") if isinstance(run_ts, dt.datetime) else str(run_ts)
     day = ts_text[:10] if by_run_date else None
 
-    def prepared(name: str, columns: str) -> int:
-        """Creates the table; the largest id of other runs."""
+    def prepared(name: str, columns: str, n: int) -> int:
+        """Creates the table; the id that the first of this run's ``n`` rows follows."""
         existed = ensure_table(spark, name, columns, f"{location}/{name}" if location else None, by_run_date)
-        table = spark.table(name)
-        others = table.where(F.col(RUN_DATE) < F.lit(day).cast("date")) if by_run_date else table
-        return _max_id(others, existed or location is not None)
+        if not by_run_date:
+            return _max_id(spark.table(name), existed or location is not None)
+        open_ledger(spark, name, f"{location}/{ledger_name(name)}" if location else None)
+        return reserve(spark, name, day, n).before
 
-    first_risk = prepared(risk_table, RISK_TABLE_COLUMNS)
     n = admissions.count()
+    first_risk = prepared(risk_table, RISK_TABLE_COLUMNS, n)
     _append(risk_records(risk_factors(admissions), ts_text, first_risk, n), risk_table, day)
 
-    first_alert = prepared(alerts_table, ALERTS_TABLE_COLUMNS)
     scores = spark.table(risk_table)
     if by_run_date:
         scores = scores.where(F.col(RUN_DATE) == F.lit(day).cast("date")).drop(RUN_DATE)
-    _append(build_alerts(scores, ts_text[:10], ts_text, first_alert, n), alerts_table, day)
+    # how many alerts there are is needed for their range only
+    due = due_for_alert(scores, ts_text[:10]).count() if by_run_date else n
+    first_alert = prepared(alerts_table, ALERTS_TABLE_COLUMNS, due)
+    _append(build_alerts(scores, ts_text[:10], ts_text, first_alert, due), alerts_table, day)
     return RiskBatchResult(risk_table, alerts_table, ts_text, first_risk, first_alert)
 
 

@@ -46,17 +46,31 @@ def test_rfm_scores_are_comparisons_over_the_stored_values(spark, stored):
     assert "Exchange" not in p and "Window" not in p and "Join" not in p, p
 
 
-def test_readmission_rate_has_one_window_no_join_and_no_patient_partition_of_rows(spark, stored):
+def test_readmission_rate_hashes_narrow_rows(spark, stored, monkeypatch):
+    """The day table: one window, no sort-based aggregate, nothing but its own columns in an exchange."""
+    plans, write = [], RA.stored
+    monkeypatch.setattr(RA, "stored", lambda df, name: (plans.append(plan(df)), write(df, name))[1])
     p = plan(RA.readmission_rate(load_admissions(spark, f"{stored}/admissions"), "Medical_Condition"))
-    assert p.count("Window [") == 1 and "Join" not in p
+    assert plans[0].count("Window [") == 1 and "Join" not in plans[0] and plans[0].count("FileScan") == 1
+    for text in (plans[0], p):
+        assert "SortAggregate" not in text
+    assert p.count("FileScan") == 2                      # the rows once more, and the day table
     # the row-level data is never hash-partitioned by the patient alone
-    assert not re.search(r"hashpartitioning\(Name#\d+, \d+\)", p)
+    assert not re.search(r"hashpartitioning\(Name#\d+, \d+\)", plans[0])
+
+
+def test_flagged_rows_move_no_whole_rows(spark, stored, monkeypatch):
+    plans, write = [], RA.stored
+    monkeypatch.setattr(RA, "stored", lambda df, name: (plans.append(plan(df)), write(df, name))[1])
+    p = plan(RA.readmissions(RA.flag_readmissions(load_admissions(spark, f"{stored}/admissions"))))
+    assert all("SortAggregate" not in text for text in (*plans, p))
+    assert not re.search(r"Doctor|Hospital|Room_Number", " ".join(re.findall(r"Exchange [^\n]*", p)))
 
 
 def test_all_rates_share_one_flag_pipeline(spark, stored):
     from cohortcart.plans.queries import _rate_dimensions
     p = plan(RA.readmission_rates(load_admissions(spark, f"{stored}/admissions"), _rate_dimensions()))
-    assert p.count("Window [") == 1 and p.count("FileScan") == 2
+    assert p.count("FileScan") == 2 and "SortAggregate" not in p
 
 
 def test_scoring_has_no_join(spark, stored):
