@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cohortcart.functions.bands import (ALERT_CATEGORIES, RISK_CATEGORY_ORDER, RISK_RULEBOOK, first_match,
                                         risk_category)
 from cohortcart.functions.rounding import pct_half_up_int
+from cohortcart.operators.placing import order_by_counts
 from cohortcart.operators.ranking import global_row_number
 from cohortcart.operators.readmission import length_of_stay, tie_columns
 from cohortcart.operators.shares import share_by
@@ -63,14 +64,14 @@ def risk_factors(admissions: DataFrame, rulebook: dict = RISK_RULEBOOK, admitted
 def score_risk(flagged: DataFrame, rulebook: dict = RISK_RULEBOOK, sort: bool = True) -> DataFrame:
     """Per flagged admission: the scored attributes, total score, category and observed readmission
     (``was_readmitted``, to validate the score against; the points never look at it), highest score
-    first.  The score has a few hundred values at most, so the sort goes on with a hash of the admission
-    (not returned): its range partitioning can then split a score that many rows share."""
+    first.  The score has a few hundred values at most, so rows are placed by counting (``placing``), with a
+    hash of the admission (not returned) as tie-breaker; the flags are computed once."""
     scored = risk_factors(flagged, rulebook).withColumn("was_readmitted", F.col("is_readmission"))
     if not sort:
         return scored.select(*SCORE_COLUMNS)
     ties = tie_columns(flagged, "", "")
-    return (scored.select(*SCORE_COLUMNS, F.xxhash64(*ties).alias("_ties"))
-            .orderBy(F.desc("total_risk_score"), F.asc("_ties")).drop("_ties"))
+    scored = scored.select(*SCORE_COLUMNS, F.xxhash64(*ties).alias("_ties"))
+    return order_by_counts(scored, "total_risk_score", "_ties", ascending=False).drop("_ties")
 
 
 def risk_records(factors: DataFrame, run_ts, start_id: int = 0, n: int | None = None, **rank_options) -> DataFrame:
@@ -113,9 +114,9 @@ def build_alerts(records: DataFrame, as_of, created_ts, start_id: int = 0, n: in
 
 
 def risk_results(records: DataFrame) -> DataFrame:
-    """All persisted score records, highest score first (then by ``ID``, which lets the range
-    partitioning of the sort split a score shared by many rows)."""
-    return records.orderBy(F.desc("TotalRiskScore"), F.asc("ID"))
+    """All persisted score records, highest score first, then by ``ID``.  The records are a stored table, so they are
+    placed by counting without storing them again; a score shared by many rows is split by ``ID``."""
+    return order_by_counts(records, "TotalRiskScore", "ID", ascending=False, store=False)
 
 
 def risk_distribution(records: DataFrame, sort: bool = True) -> DataFrame:

@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortcart.functions.bands import age_group, stay_length_group
+from cohortcart.operators import baskets as BK
 from cohortcart.operators import quality as Q
 from cohortcart.operators import readmission as RA
 from cohortcart.operators import rfm as RFM
 from cohortcart.operators import risk as RK
 from cohortcart.operators import sales as S
+from cohortcart.plans import basket_store
 from cohortcart.plans.jobs import run_risk_batch
 from cohortcart.session import scratch_path, stored
 from cohortcart.sources import fixtures as FX
@@ -33,6 +35,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = FX.AS_OF
 RUN_TS, SECOND_RUN_TS = FX.RUN_TS, FX.SECOND_RUN_TS
 
+BASKETS_UNTIL = "1997-03-15"
+
 ADM, TX = "admissions", "transactions"
 BUILDERS = {ADM: FX.admissions, TX: FX.transactions}
 
@@ -62,6 +66,14 @@ def _two_runs(spark: SparkSession, adm: DataFrame) -> DataFrame:
                               F.col("_run.c").alias("CalculationDate")), "two-runs")
 
 
+def _baskets(spark: SparkSession, tx: DataFrame) -> DataFrame:
+    """The stored roll-up, built from the lines before a day and then refreshed with all of them."""
+    location = scratch_path(spark, "baskets")
+    basket_store.refresh(tx.where(F.col("InvoiceDate") < F.lit(f"{BASKETS_UNTIL} 00:00:00").cast("timestamp_ntz")), location)
+    basket_store.refresh(tx, location)
+    return basket_store.read(spark, location)
+
+
 def _hot_patient(adm: DataFrame) -> DataFrame:
     """A third of the admissions belong to one patient."""
     return adm.withColumn("Name", F.when(F.col("Admission_ID") % 3 == 0, F.lit("Hot Patient")).otherwise(F.col("Name")))
@@ -114,6 +126,13 @@ TABLE_QUERIES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
     "rfm_values": ((TX,), lambda spark, tx: RFM.rfm_values(tx, AS_OF)),
     "rfm_scores": ((TX,), lambda spark, tx: RFM.rfm_scores(tx, AS_OF)),
     "sales_segments": ((TX,), lambda spark, tx: RFM.sales_segments(tx)),
+    # the same reports from the stored basket roll-up
+    "basket_monthly_trend": ((TX,), lambda spark, tx: BK.monthly_trend(_baskets(spark, tx))),
+    "basket_country_sales": ((TX,), lambda spark, tx: BK.country_sales(_baskets(spark, tx))),
+    "basket_customer_behaviour": ((TX,), lambda spark, tx: BK.customer_behaviour(_baskets(spark, tx))),
+    "basket_rfm_values": ((TX,), lambda spark, tx: BK.rfm_values(_baskets(spark, tx), AS_OF)),
+    "basket_rfm_scores": ((TX,), lambda spark, tx: BK.rfm_scores(_baskets(spark, tx), AS_OF)),
+    "basket_sales_segments": ((TX,), lambda spark, tx: BK.sales_segments(_baskets(spark, tx))),
 }
 
 

@@ -18,7 +18,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(KEYS) <= set(entry.oracle_sql()) and set(KEYS) <= set(entry.queries())
-    assert len(KEYS) == 29
+    assert len(KEYS) == 35
 
 
 @pytest.mark.parametrize("key", KEYS)
