@@ -111,9 +111,7 @@ def refresh(lines: DataFrame, location: str, months: Iterable[int] | None = None
     path = f"{location}/baskets/{version}"
     baskets = roll_up(lines).withColumn("month", month_number(F.col("day"))).hint("rebalance", "month")
     baskets.write.partitionBy("month").parquet(path)
-    # nothing written: no partition column to read back
-    read_back = spark.read.option("basePath", path).parquet(path) if _wrote(spark, path) else None
-    written = [] if read_back is None else sorted(r[0] for r in read_back.select("month").distinct().collect())
+    written = _months_under(spark, path)
     gone = [m for m in months or [] if m not in written and m in versions]
     rows = [(m, version, generation + 1) for m in written] + [(m, "", generation + 1) for m in gone]
     if rows:
@@ -121,8 +119,8 @@ def refresh(lines: DataFrame, location: str, months: Iterable[int] | None = None
     return sorted(written + gone)
 
 
-def _wrote(spark: SparkSession, path: str) -> bool:
-    """Whether the write left any month (asked of the file system that Spark uses)."""
+def _months_under(spark: SparkSession, path: str) -> list[int]:
+    """Months that a write left folders for (asked of the file system that Spark uses; no job)."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/month=*")
     found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
-    return found is not None and len(found) > 0
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in found or [])
