@@ -2,8 +2,10 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
+from cohortcart.llm import components as C
 from cohortcart.llm import simhash
 from cohortcart.llm.components import components
 from tests.llm import odd
@@ -129,3 +131,18 @@ def test_query_against_brute_force(spark):
     names = plain_components(fps)
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in op7_simhash(spark, sf).collect()} == {
         (k, f"{fps[k]:016x}", names[k]) for k in texts}
+
+
+def test_components_of_one_centre_with_most_edges(spark):
+    """Half of all edges meet in one node; no key of the star steps gets more than a small share of them."""
+    star = spark.range(1, 4001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    top = spark.range(5000, 6000).select(F.lit(7000).cast("long").alias("u"), F.col("id").alias("v"))
+    chain = spark.range(8000, 8020).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    odd = spark.createDataFrame([(9000, 9000), (9001, 9002), (9002, 9001), (9001, 9002)], "u long, v long")
+    edges = star.unionByName(top).unionByName(chain).unionByName(odd)
+    found = {r["node"]: r["root"] for r in C.components(edges).where("node <> root").collect()}
+    expected = {v: 0 for v in range(1, 4001)} | {v: 5000 for v in [*range(5001, 6000), 7000]}
+    expected |= {v: 8000 for v in range(8001, 8021)} | {9002: 9001}
+    assert found == expected
+    keys = C._salted(star).groupBy("u", "s").count()
+    assert keys.count() == C.SALTS and keys.agg(F.max("count")).first()[0] < 4000 * 0.05
