@@ -24,7 +24,7 @@ from cohortcart.operators import readmission as RA
 from cohortcart.operators import rfm as RFM
 from cohortcart.operators import risk as RK
 from cohortcart.operators import sales as S
-from cohortcart.plans import basket_store
+from cohortcart.plans import basket_store, flag_store
 from cohortcart.plans.jobs import run_risk_batch
 from cohortcart.session import scratch_path, stored
 from cohortcart.sources import fixtures as FX
@@ -36,6 +36,7 @@ AS_OF = FX.AS_OF
 RUN_TS, SECOND_RUN_TS = FX.RUN_TS, FX.SECOND_RUN_TS
 
 BASKETS_UNTIL = "1997-03-15"
+FLAGS_UNTIL, FLAGS_FROM = "1995-07-01", "1997-01-01"        # the admissions in between arrive last
 
 ADM, TX = "admissions", "transactions"
 BUILDERS = {ADM: FX.admissions, TX: FX.transactions}
@@ -74,6 +75,16 @@ def _baskets(spark: SparkSession, tx: DataFrame) -> DataFrame:
     return basket_store.read(spark, location)
 
 
+def _kept_flags(spark: SparkSession, adm: DataFrame) -> DataFrame:
+    """The stored flags, after a first load, later admissions, and admissions that come late."""
+    location, day = scratch_path(spark, "flags"), F.col("Date_of_Admission")
+    first, later = day < F.lit(FLAGS_UNTIL).cast("date"), day >= F.lit(FLAGS_FROM).cast("date")
+    flag_store.add(adm.where(first), location)
+    flag_store.add(adm.where(later), location)
+    flag_store.add(adm.where(~F.coalesce(first | later, F.lit(False))), location)
+    return flag_store.read(spark, location)
+
+
 def _hot_patient(adm: DataFrame) -> DataFrame:
     """A third of the admissions belong to one patient."""
     return adm.withColumn("Name", F.when(F.col("Admission_ID") % 3 == 0, F.lit("Hot Patient")).otherwise(F.col("Name")))
@@ -110,6 +121,10 @@ TABLE_QUERIES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
         RA.flag_readmissions(adm.drop("Admission_ID")))),
     "readmit_rate_hot_patient": ((ADM,), lambda spark, adm: RA.readmission_rate(
         _hot_patient(adm), "Medical_Condition")),
+    # the same from flags kept in a table that batches of admissions were added to
+    "kept_readmissions_30d": ((ADM,), lambda spark, adm: RA.readmissions(_kept_flags(spark, adm))),
+    "kept_readmit_rate_condition": ((ADM,), lambda spark, adm: RA.rate_from_flags(
+        _kept_flags(spark, adm), "Medical_Condition")),
     "risk_score": ((ADM,), lambda spark, adm: RK.score_risk(RA.flag_readmissions(adm))),
     "risk_batch": ((ADM,), lambda spark, adm: _run_job(spark, adm, "risk")),
     "risk_alerts": ((ADM,), lambda spark, adm: _run_job(spark, adm, "alerts")),
