@@ -134,7 +134,8 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, settings: Classifier
              .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y")))
     known = stored(known, "label-ids")
     known = _some(known, known.count(), settings.max_labelled, F.xxhash64(F.lit(settings.seed), "doc_id"))
-    found = docs.select("doc_id", "text").join(known, "doc_id")
+    # about max_labelled rows of two numbers, whatever the input, so texts need not be shuffled to meet them
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     rows = found.select("doc_id", "y", statistics(F.col("text")).alias("s")).select("doc_id", "y", "s.*").distinct()
     rows = stored(rows.withColumn("deal", F.xxhash64(F.lit(settings.seed + 1), "doc_id", *STATISTICS)), "labelled-rows")
     rows = _some(rows, rows.count(), settings.max_labelled, F.col("deal"))
