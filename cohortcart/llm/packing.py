@@ -35,12 +35,15 @@ from cohortcart.session import stored
 
 SEQUENCE_LENGTH = 2048
 END_ID = 1
-CACHE_WORDS = 600_000        # words a Python worker remembers the ids of; then it starts afresh
+CACHE_WORDS = 200_000        # parts of words a Python worker remembers the ids of; then it starts afresh
+LONGEST_KEPT = 100           # characters of a remembered word
 SLICE_BYTES = 4 << 20        # texts tokenised together, so that their new words are learnt once
 SEGMENT_CHARS = 1 << 20      # texts are tokenised in segments of about this length, cut at blanks
 
 _SPLIT_ONLY_PYTHON = re.compile("[\x1c-\x1f]")   # str.split() cuts here, the tokenizer does not
 _TAIL = ".,;:!?*#%$&|"
+_LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256)]))
+_PLAIN = f"^[{_LETTERS}]+$"     # words of these letters are handled by Arrow, any others by Python
 _LATIN_END = "\u0250"          # letters below it lower-case one by one and have no other normal form
 
 
@@ -64,54 +67,106 @@ def _letters_only(part: str) -> bool:
 
 
 class WordEncoder:
-    """Token ids of texts, remembered per blank-separated word.
+    """Token ids of texts, found per distinct blank-separated word of a slice.
 
-    Valid for byte-pair tokenizers that drop white space, lower-case, and cut at letters, digits and
-    signs, such as the default one; the tests compare it with whole-text encoding."""
+    Arrow splits the texts, finds the distinct words, and of these the distinct lower-case cores and
+    tails; Python sees each of those once and remembers the ids.  Valid for byte-pair tokenizers that
+    drop white space, lower-case, and cut at letters, digits and signs, such as the default one; the
+    tests compare it with whole-text encoding."""
 
     def __init__(self, tokenizer_json: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.merge = self.tokenizer.model.tokenize
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
         self.cache_words = cache_words
 
+    def _core(self, letters: str) -> bytes:
+        """Ids of lower-case Latin letters: one piece to the tokenizer, so they go to its merges directly."""
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
     def _part(self, part: str) -> bytes:
-        """Ids of a part of a word.  Lower-case Latin letters are one piece to the tokenizer, so they go to
-        its merges directly; anything else goes through all of it."""
+        """Ids of a part of a word; all but lower-case Latin letters go through the whole tokenizer."""
         if part.isalpha() and max(part) < _LATIN_END and part == part.lower():
-            letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            return array("I", [t.id for t in self.merge(letters)]).tobytes()
+            return self._core(part)
         return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Puts ids of new words in the cache.  Letters followed by ASCII signs are two separate
-        pieces to the tokenizer where they are still letters in its normal form, and letters are
-        lower-cased first, so such parts are shared; any other word goes through it whole."""
-        known = self.known
-        for w in words:
+    def _word(self, word: str) -> bytes:
+        """Ids of any word.  Letters followed by ASCII signs are two separate pieces to the tokenizer
+        where they are still letters in its normal form, and letters are lower-cased first; any other
+        word goes through it whole.  Blanks other than ASCII ones separate words here."""
+        out = []
+        for w in [word] if _SPLIT_ONLY_PYTHON.search(word) else word.split():
             core = w.rstrip(_TAIL)
             if _letters_only(core):
                 low = core.lower()
-                core, tail = low if max(low) < _LATIN_END else core, w[len(core):]
+                out += [self._part(low if max(low) < _LATIN_END else core), self._part(w[len(core):])]
             else:
-                core, tail = w, ""
-            if core not in known:
-                known[core] = self._part(core)
-            if tail not in known:
-                known[tail] = self._part(tail)
-            known[w] = known[core] + known[tail]
+                out.append(self._part(w))
+        return b"".join(out)
+
+    def _known(self, pieces: list[str], learn) -> list[bytes]:
+        """Ids of the pieces, remembered; ``learn`` gives those of a new one.  Long ones are not kept."""
+        found = list(map(self.known.get, pieces))
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = x = learn(pieces[i])
+                if len(pieces[i]) <= LONGEST_KEPT:
+                    self.known[pieces[i]] = x
+        return found
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, end to end, and where those of each begin and end."""
+        core = pc.utf8_rtrim(words, characters=_TAIL)
+        plain = pc.match_substring_regex(core, _PLAIN)
+        rows = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        others = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        cores = pc.utf8_lower(core.take(pa.array(rows))).dictionary_encode()
+        tails = pc.utf8_ltrim(words.take(pa.array(rows)), characters=_LETTERS).dictionary_encode()
+        ids = [b"", *self._known(cores.dictionary.to_pylist(), self._core),
+               *self._known(tails.dictionary.to_pylist(), self._word),
+               *self._known(words.take(pa.array(others)).to_pylist(), self._word)]
+        # two pieces a word: core and tail, or the word and nothing
+        pieces = np.zeros((len(words), 2), dtype=np.int64)
+        pieces[rows, 0] = cores.indices.to_numpy() + 1
+        pieces[rows, 1] = tails.indices.to_numpy() + 1 + len(cores.dictionary)
+        pieces[others, 0] = np.arange(len(others)) + len(ids) - len(others)
+        values, bounds = _laid_out(_lists(ids), pieces.ravel())
+        return values, bounds[::2]
+
+    def encode_slice(self, texts: pa.Array, end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, end to end with ``end`` after each, and where those of each begin and end."""
+        if len(self.known) > self.cache_words:
+            self.known = {}
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        values, bounds = self._distinct(words.dictionary)
+        values = np.concatenate([values, np.asarray(end, dtype="<u4")])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(bounds, len(values)), type=pa.int32()), pa.array(values))
+        until = np.cumsum(pc.list_value_length(split).to_numpy())
+        order = np.insert(words.indices.to_numpy(), until, len(words.dictionary))
+        ids, at = _laid_out(lists, order)
+        return ids, at[np.concatenate([[0], until + np.arange(1, len(until) + 1)])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        lists = [[p.split(" ") if _SPLIT_ONLY_PYTHON.search(p) else p.split() for p in segments(t)] for t in texts]
-        words = set().union(*[run for runs in lists for run in runs])
-        if len(self.known) > self.cache_words:
-            self.known = {"": b""}
-        self._learn(words.difference(self.known))
-        ids = self.known.__getitem__
-        return [b"".join([b"".join(map(ids, run)) for run in runs]) for runs in lists]
+        ids, at = self.encode_slice(pa.array(texts, type=pa.string()))
+        return [ids[low:high].tobytes() for low, high in zip(at[:-1], at[1:], strict=True)]
+
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4)])
+    return pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<u4")))
+
+
+def _laid_out(lists: pa.ListArray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of ``lists`` in ``order``, end to end, and where those of each begin and end."""
+    taken = lists.take(pa.array(order))
+    bounds = taken.offsets.to_numpy()
+    return taken.flatten().to_numpy(), bounds - bounds[0]
 
 
 def segments(text: str, limit: int = SEGMENT_CHARS) -> Iterator[str]:
@@ -148,11 +203,23 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield low, len(sizes) - low
 
 
+def _encoded(encoder: WordEncoder, texts: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
+    """Ids of each text of a slice with ``end_id`` after them, and where those of each begin and end.  A
+    text that fills a slice alone is encoded by segments."""
+    if len(texts) == 1 and pc.binary_length(texts)[0].as_py() > SLICE_BYTES:
+        parts = [encoder.encode_slice(pa.array([p]))[0] for p in segments(texts[0].as_py())]
+        ids = np.concatenate([*parts, np.asarray([end_id], dtype="<u4")])
+        bounds = np.asarray([0, len(ids)])
+    else:
+        ids, bounds = encoder.encode_slice(texts, (end_id,))
+    places = pa.py_buffer(np.ascontiguousarray(bounds * 4, dtype=np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(texts), [None, places, pa.py_buffer(np.ascontiguousarray(ids))]), bounds
+
+
 def token_table(docs: DataFrame, tokenizer_path: str | Path, end_id: int = END_ID) -> DataFrame:
     """First pass: ids of every document (end id included) and its start within its task's output."""
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
-    end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -162,14 +229,13 @@ def token_table(docs: DataFrame, tokenizer_path: str | Path, end_id: int = END_I
         for batch in batches:
             column = batch.column(1)
             for low, rows in _slices(column):
-                ids = [x + end for x in encoder.encode(column.slice(low, rows).to_pylist())]
-                counts = np.asarray([len(x) // 4 for x in ids], dtype=np.int64)
-                ends = at + np.cumsum(counts)
+                ids, bounds = _encoded(encoder, column.slice(low, rows), end_id)
+                starts = at + bounds.astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(ends - counts),
-                     batch.column(0).slice(low, rows), pa.array(counts), pa.array(ids, type=pa.binary())],
+                    [pa.array(np.full(rows, part, dtype=np.int32)), pa.array(starts[:-1]),
+                     batch.column(0).slice(low, rows), pa.array(np.diff(starts)), ids],
                     names=["part", "local_start", "doc_id", "n_tokens", "ids"])
-                at = int(ends[-1])
+                at = int(starts[-1])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(tokenise, TOKEN_SCHEMA)

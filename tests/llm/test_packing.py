@@ -1,10 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from cohortcart.llm import packing
 from cohortcart.llm.packing import WordEncoder, pack, segments, sequences
 from tests.llm import odd
 
@@ -94,3 +96,27 @@ def test_query_against_brute_force(spark, tokenizer):
         part = np.array(ids[p["start"]:seen[p["doc_id"]]], dtype="<u4")
         assert p["ids_crc32"] == zlib.crc32(part.tobytes())
     assert seen.keys() == texts.keys()
+
+
+def test_each_distinct_core_is_merged_once(tokenizer):
+    """A word's case and the signs after it do not send its letters through the merges again."""
+    encoder, merged = WordEncoder(open(PATH, encoding="utf-8").read()), []
+    merge = encoder.merge
+    encoder.merge = lambda letters: merged.append(letters) or merge(letters)
+    texts = ["Oiseau oiseau, OISEAU. zqx", "zqx! Zqx oiseau;", "　zqx oiseau\x85"]
+    for _ in range(2):
+        ids, at = encoder.encode_slice(pa.array(texts), (1,))
+        for i, t in enumerate(texts):
+            assert ids[at[i]:at[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1]
+    assert sorted(merged[:2]) == ["oiseau", "zqx"] and len(merged) == 4     # again within the odd blanks only
+
+
+def test_a_text_that_fills_a_slice_alone(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_BYTES", 100)
+    encoder = WordEncoder(open(PATH, encoding="utf-8").read())
+    texts = pa.array(["", "Some words, " * 40, "a b"])
+    for low, rows in packing._slices(texts):
+        ids, at = packing._encoded(encoder, texts.slice(low, rows), 1)
+        for i, t in enumerate(texts.slice(low, rows).to_pylist()):
+            want = tokenizer.encode(t, add_special_tokens=False).ids + [1]
+            assert np.frombuffer(ids[i].as_py(), dtype="<u4").tolist() == want and at[i + 1] - at[i] == len(want)
