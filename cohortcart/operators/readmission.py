@@ -116,6 +116,13 @@ def _copies(df: DataFrame, person: Column, admitted: str, rank: Column, days: Da
     return stored(counts.join(days.select("_p", "_d", "_rank"), same, "left_semi"), "copies")
 
 
+def flags_after(df: DataFrame, discharged: str, lo: int, hi: int) -> DataFrame:
+    """``days_until_readmission`` and ``is_readmission`` of rows with ``next_admission``."""
+    gap = F.datediff(F.col("next_admission"), F.col(discharged))
+    return (df.withColumn("days_until_readmission", gap)
+            .withColumn("is_readmission", F.when(gap.between(lo, hi), 1).otherwise(0)))
+
+
 def flag_readmissions(df: DataFrame, patient: str = "Name", admitted: str = "Date_of_Admission",
                       discharged: str = "Discharge_Date", admission_id: str | None = ADMISSION_ID,
                       lo: int = 1, hi: int = 30,
@@ -143,10 +150,8 @@ def flag_readmissions(df: DataFrame, patient: str = "Name", admitted: str = "Dat
         each = one.select(*df.columns, "_next_day", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_k"))
         followed = followed.join(copies, same, "left_anti").select(*df.columns, "_next_day", "_last").unionByName(
             each.select(*df.columns, "_next_day", (F.col("_k") == 1).alias("_last")))
-    gap = F.datediff(F.col("next_admission"), F.col(discharged))
-    return (followed.select(*df.columns, F.when(F.col("_last"), F.col("_next_day")).otherwise(F.col(admitted)).alias("next_admission"))
-            .withColumn("days_until_readmission", gap)
-            .withColumn("is_readmission", F.when(gap.between(lo, hi), 1).otherwise(0)))
+    return flags_after(followed.select(*df.columns, F.when(F.col("_last"), F.col("_next_day")).otherwise(F.col(admitted)).alias("next_admission")),
+                       discharged, lo, hi)
 
 
 def readmissions(flagged: DataFrame, lo: int = 1, hi: int = 30, patient: str = "Name",

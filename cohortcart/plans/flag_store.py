@@ -16,6 +16,11 @@ on, and a tail only while its patient has no newer tail.
 Late batches.  A batch may also hold admissions before a patient's tail, or without a date.  The buckets of
 such patients are then read whole, flagged again and written anew; all other buckets go on by their tails.
 
+Flagging.  Rows are dealt by bucket once, and that same order serves ``LEAD`` per patient, the sort of the
+files and the write.  Patients with more than ``CROWDED`` rows are counted out beforehand and flagged by
+``flag_readmissions``, which never holds a patient in one task; where rows are so many that buckets grow
+large, buckets are dealt in parts.
+
 Readers follow the ledger, whose row is written after the rows: they see the state before or after a batch,
 and a batch that died is simply added again.  Only the ledger (one row per batch, back to the last
 ``compact``) and bucket numbers reach the driver.  One ``add`` at a time per location.
@@ -31,17 +36,19 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
-from cohortcart.operators.readmission import flag_readmissions
+from cohortcart.operators.readmission import ADMISSION_ID, flag_readmissions, flags_after, tie_columns
 from cohortcart.session import stored
 
 LEDGER_SCHEMA = "generation INT, version STRING, rebuilt ARRAY<INT>, whole BOOLEAN"
 CLOSED, TAIL, UNDATED = "closed", "tail", "undated"
 BUCKETS = 1024
+CROWDED = 100_000            # rows of a patient that one task may order
+BUCKET_ROWS = 1_000_000      # rows of a bucket (on average) that are dealt as one part
 HELPERS = StructType([StructField("flag_generation", IntegerType()), StructField("flag_bucket", LongType()),
                       StructField("flag_version", StringType()), StructField("flag_state", StringType())])
 
@@ -126,14 +133,49 @@ def read(spark: SparkSession, location: str, names: Names = Names()) -> DataFram
     return _state(spark, location, ledger, _columns(spark, location, ledger), names).drop(*HELPERS.names)
 
 
-def _write(flagged: DataFrame, path: str, generation: int, names: Names) -> None:
-    """Appends flagged rows with their state.  The write is rebalanced by bucket: Spark splits the bucket of a
-    patient with very many rows and merges small ones."""
+def _write(flagged: DataFrame, path: str, generation: int, names: Names, dealt: bool = False) -> None:
+    """Appends flagged rows with their state.  Rows not ``dealt`` by bucket are rebalanced by it: Spark splits
+    the bucket of a patient with very many rows and merges small ones."""
     open_end = F.col("next_admission").isNull()
     state = (F.when(open_end & F.col(names.admitted).isNotNull(), TAIL).when(open_end, UNDATED).otherwise(CLOSED))
-    rows = flagged.select("*", F.lit(generation).alias("flag_generation"), names.bucket().alias("flag_bucket"),
-                          state.alias("flag_state"))
-    rows.hint("rebalance", "flag_bucket").sortWithinPartitions("flag_state", "flag_bucket").write.partitionBy("flag_state").parquet(path)
+    rows = flagged.select("*", F.lit(generation).alias("flag_generation"),
+                          *([] if dealt else [names.bucket().alias("flag_bucket")]), state.alias("flag_state"))
+    rows = rows if dealt else rows.hint("rebalance", "flag_bucket")
+    rows.sortWithinPartitions("flag_state", "flag_bucket").write.mode("append").partitionBy("flag_state").parquet(path)
+
+
+def _patient_rows(rows: DataFrame, names: Names) -> DataFrame:
+    """Rows per patient: ``_p, _n``."""
+    return rows.groupBy(names.person().alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _by_lead(rows: DataFrame, parts: int, names: Names, discharged: str = "Discharge_Date",
+             admission_id: str | None = ADMISSION_ID, lo: int = 1, hi: int = 30, **_) -> DataFrame:
+    """``flag_readmissions`` over rows dealt by bucket, with the bucket: ``LEAD`` in the order of day and tie
+    columns."""
+    deal = [F.col("flag_bucket")]
+    if parts > 1:
+        deal.append(F.pmod(F.xxhash64(F.lit(parts), names.person()), F.lit(parts)))
+    order = [names.admitted, *tie_columns(rows, names.patient, names.admitted, admission_id)]
+    dealt = rows.withColumn("flag_bucket", names.bucket()).repartition(*deal)
+    following = F.lead(names.admitted).over(
+        Window.partitionBy(*deal, names.person()).orderBy(*[F.col(c).asc_nulls_first() for c in order]))
+    flagged = flags_after(dealt.withColumn("next_admission", following), discharged, lo, hi)
+    return flagged.select(*rows.columns, "next_admission", "days_until_readmission", "is_readmission", "flag_bucket")
+
+
+def _flag(rows: DataFrame, counts: DataFrame, path: str, generation: int, names: Names, options: dict) -> None:
+    """Flags ``rows`` and writes them.  ``counts`` holds at least the number of rows of each patient."""
+    many = F.col("_n") > CROWDED
+    total, crowded = counts.agg(F.sum("_n"), F.count_if(many)).first()
+    parts = -(-total // (BUCKETS * BUCKET_ROWS))
+    if not crowded:
+        return _write(_by_lead(rows, parts, names, **options), path, generation, names, dealt=True)
+    same = names.person().eqNullSafe(F.col("_p"))
+    chosen = stored(counts.where(many).select("_p"), "crowded")
+    _write(_by_lead(rows.join(chosen, same, "left_anti"), parts, names, **options), path, generation, names, dealt=True)
+    few = stored(rows.join(chosen, same, "left_semi"), "to-flag")
+    _write(flag_readmissions(few, **options), path, generation, names)
 
 
 def _late_buckets(touched: DataFrame, rows: DataFrame, tails: DataFrame, names: Names) -> list[int]:
@@ -160,14 +202,14 @@ def add(batch: DataFrame, location: str, names: Names = Names(), **options) -> l
     path = _folder(location, version)
     if not ledger:
         if not batch.isEmpty():
-            _write(flag_readmissions(batch, **options), path, 1, names)
+            _flag(batch, stored(_patient_rows(batch, names), "patients"), path, 1, names, options)
             _append(spark, location, 1, version, [], True)
         return []
     generation = ledger[-1]["generation"] + 1
     admitted = F.col(names.admitted)
     touched = stored(batch.groupBy(names.person().alias("_p")).agg(
         F.min(admitted).alias("_first"), F.max(admitted.isNull()).alias("_undated"),
-        F.min(names.bucket()).alias("_b")), "touched")
+        F.min(names.bucket()).alias("_b"), F.count(F.lit(1)).alias("_n")), "touched")
     buckets = [r[0] for r in touched.select("_b").distinct().collect()]
     if not buckets:
         return []
@@ -180,12 +222,13 @@ def add(batch: DataFrame, location: str, names: Names = Names(), **options) -> l
     tails = _newest(mine.where(F.col("flag_state") == TAIL), names, len(ledger))
     late = _late_buckets(touched, mine, tails, names)
     old = tails.where(~F.col("flag_bucket").isin(late)) if late else tails
-    work = old.select(*batch.columns).unionByName(batch)
+    work, counts = old.select(*batch.columns).unionByName(batch), touched.select("_p", (F.col("_n") + 1).alias("_n"))
     if late:
         whole = _state(spark, location, ledger, columns, names).where(F.col("flag_bucket").isin(late))
         work = work.unionByName(whole.select(*batch.columns))
-    work = stored(work, "to-flag")
-    _write(flag_readmissions(work, **options), path, generation, names)
+        before = _patient_rows(rows.where(F.col("flag_bucket").isin(late)), names)       # older tails included
+        counts = stored(counts.unionByName(before).groupBy("_p").agg(F.sum("_n").alias("_n")), "patients")
+    _flag(work, counts, path, generation, names, options)
     _append(spark, location, generation, version, [int(b) for b in late], False)
     return late
 

@@ -140,3 +140,26 @@ def test_reports_over_kept_flags(spark, location):
     assert rows(RA.rate_from_flags(kept, "Medical_Condition")) == rows(RA.readmission_rate(adm, "Medical_Condition"))
     p = plan_text(RA.rate_from_flags(kept, "Medical_Condition"))
     assert "Window" not in p and "SortAggregate" not in p and "Billing_Amount" not in p
+
+
+def test_rows_are_dealt_once_without_a_day_table(spark, location, monkeypatch):
+    """No batch, late or not, goes through the day table and its joins while no patient is crowded."""
+    late, day = [stay(9, "a", 5), stay(9, "a", 5), stay(None, "c", 7)], [stay(6, "b", 20), stay(5, "c", 7), stay(7, None, None)]
+    with monkeypatch.context() as m:
+        m.setattr(store, "flag_readmissions", None)
+        m.setattr(store, "BUCKET_ROWS", 0.001)
+        for part in (FIRST, day, late):
+            store.add(frame(spark, part), location)
+    assert_full_run(spark, location, FIRST + day + late)
+
+
+@pytest.mark.parametrize("bound", [1, 3])
+def test_crowded_patients_are_flagged_apart(spark, location, monkeypatch, bound):
+    monkeypatch.setattr(store, "CROWDED", bound)
+    seen, full = [], store.flag_readmissions
+    monkeypatch.setattr(store, "flag_readmissions", lambda df, **o: seen.append(df.count()) or full(df, **o))
+    parts = [FIRST, [stay(6, "a", 20), stay(7, None, 20), stay(8, "d", 20)], [stay(9, "a", 5), stay(10, None, 0), stay(8, "d", 20)]]
+    for part in parts:
+        store.add(frame(spark, part), location)
+    assert seen
+    assert_full_run(spark, location, sum(parts, []))
