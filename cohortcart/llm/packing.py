@@ -236,6 +236,9 @@ def token_table(docs: DataFrame, tokenizer_path: str | Path, end_id: int = END_I
                      batch.column(0).slice(low, rows), pa.array(np.diff(starts)), ids],
                     names=["part", "local_start", "doc_id", "n_tokens", "ids"])
                 at = int(starts[-1])
+        # an idle worker waits beside the next stage's tasks, so it keeps the tokenizer only
+        encoder.known = {}
+        pa.default_memory_pool().release_unused()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(tokenise, TOKEN_SCHEMA)

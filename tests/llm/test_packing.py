@@ -120,3 +120,14 @@ def test_a_text_that_fills_a_slice_alone(tokenizer, monkeypatch):
         for i, t in enumerate(texts.slice(low, rows).to_pylist()):
             want = tokenizer.encode(t, add_special_tokens=False).ids + [1]
             assert np.frombuffer(ids[i].as_py(), dtype="<u4").tolist() == want and at[i + 1] - at[i] == len(want)
+
+
+def test_an_idle_worker_keeps_no_words(spark):
+    """Workers wait beside the tasks of the next stage: what they remember counts there."""
+    def remembered(batches):
+        for batch in batches:
+            n = sum(len(e.known) for e in packing._ENCODERS.values())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, type=pa.int64())], names=["n"])
+
+    packing.token_table(odd.documents(spark), PATH).count()
+    assert {r["n"] for r in spark.range(64, numPartitions=8).mapInArrow(remembered, "n long").collect()} == {0}
