@@ -17,12 +17,14 @@ Late batches.  A batch may also hold admissions before a patient's tail, or with
 such patients are then read whole, flagged again and written anew; all other buckets go on by their tails.
 
 Flagging.  Rows are dealt by bucket once, and that same order serves ``LEAD`` per patient, the sort of the
-files and the write.  Patients with more than ``CROWDED`` rows are counted out beforehand and flagged by
-``flag_readmissions``, which never holds a patient in one task; where rows are so many that buckets grow
-large, buckets are dealt in parts.
+files and the write.  Patients with more than ``CROWDED`` rows are flagged by ``flag_readmissions``, which
+never holds a patient in one task.  Rows are counted by ``GROUPS`` hashes of the patient first; patients are
+counted only in groups that pass the bound.  Where rows are so many that buckets grow large, buckets are
+dealt in parts.
 
 Readers follow the ledger, whose row is written after the rows: they see the state before or after a batch,
-and a batch that died is simply added again.  Only the ledger (one row per batch, back to the last
+and a batch that died is simply added again.  Generations whose every bucket was rebuilt since are not opened
+any more.  Only the ledger (one row per batch, back to the last
 ``compact``) and bucket numbers reach the driver.  One ``add`` at a time per location.
 
 Defined cases: NULL patients form one patient; rows without a date come before all others (``undated`` where no
@@ -48,6 +50,7 @@ LEDGER_SCHEMA = "generation INT, version STRING, rebuilt ARRAY<INT>, whole BOOLE
 CLOSED, TAIL, UNDATED = "closed", "tail", "undated"
 BUCKETS = 1024
 CROWDED = 100_000            # rows of a patient that one task may order
+GROUPS = 65_536              # hashes of the patient by which rows are counted
 BUCKET_ROWS = 1_000_000      # rows of a bucket (on average) that are dealt as one part
 HELPERS = StructType([StructField("flag_generation", IntegerType()), StructField("flag_bucket", LongType()),
                       StructField("flag_version", StringType()), StructField("flag_state", StringType())])
@@ -74,7 +77,8 @@ def _folder(location: str, version: str) -> str:
 
 
 def _ledger(spark: SparkSession, location: str) -> list:
-    """Ledger rows by generation, from the last one that wrote the whole table on."""
+    """Ledger rows by generation, from the last one that wrote the whole table on, and without those that all
+    buckets have left behind."""
     try:
         rows = spark.read.schema(LEDGER_SCHEMA).parquet(f"{location}/ledger").orderBy("generation").collect()
     except AnalysisException as error:
@@ -82,7 +86,17 @@ def _ledger(spark: SparkSession, location: str) -> list:
             raise
         return []
     start = max((k for k, r in enumerate(rows) if r["whole"]), default=0)
-    return rows[start:]
+    since = _since(rows[start:])
+    oldest = min(since.get(b, 0) for b in range(BUCKETS))
+    return [r for r in rows[start:] if r["generation"] >= oldest]
+
+
+def _since(ledger: list) -> dict[int, int]:
+    """The last generation that rebuilt a bucket, for those that were rebuilt."""
+    since = {}
+    for r in ledger:
+        since |= dict.fromkeys(r["rebuilt"], r["generation"])
+    return since
 
 
 def _append(spark: SparkSession, location: str, generation: int, version: str, rebuilt: list[int], whole: bool) -> None:
@@ -95,10 +109,8 @@ def _in_force(spark: SparkSession, location: str, ledger: list, columns: StructT
     schema = StructType([*columns.fields, *HELPERS.fields])
     rows = (spark.read.schema(schema).option("basePath", f"{location}/rows")
             .parquet(*[_folder(location, r["version"]) for r in ledger]))
-    since = {}
-    for r in ledger:
-        since |= dict.fromkeys(r["rebuilt"], r["generation"])
-    if since:
+    since = _since(ledger)
+    if since and len(ledger) > 1:
         # one literal array with a place per bucket, so that a row's bound is found in one step
         bounds = F.split(F.lit(",".join(str(since.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")
         rows = rows.where(F.col("flag_generation") >= F.get(bounds, F.col("flag_bucket").cast("int")))
@@ -144,9 +156,8 @@ def _write(flagged: DataFrame, path: str, generation: int, names: Names, dealt:
     rows.sortWithinPartitions("flag_state", "flag_bucket").write.mode("append").partitionBy("flag_state").parquet(path)
 
 
-def _patient_rows(rows: DataFrame, names: Names) -> DataFrame:
-    """Rows per patient: ``_p, _n``."""
-    return rows.groupBy(names.person().alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+def _group(person: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(GROUPS), person), F.lit(GROUPS)).alias("_g")
 
 
 def _by_lead(rows: DataFrame, parts: int, names: Names, discharged: str = "Discharge_Date",
@@ -165,14 +176,19 @@ def _by_lead(rows: DataFrame, parts: int, names: Names, discharged: str = "Disch
 
 
 def _flag(rows: DataFrame, counts: DataFrame, path: str, generation: int, names: Names, options: dict) -> None:
-    """Flags ``rows`` and writes them.  ``counts`` holds at least the number of rows of each patient."""
+    """Flags ``rows`` and writes them.  ``counts`` (``_g, _n``) add up to at least the rows of each group."""
     many = F.col("_n") > CROWDED
-    total, crowded = counts.agg(F.sum("_n"), F.count_if(many)).first()
+    groups = counts.groupBy("_g").agg(F.sum("_n").alias("_n"))
+    total, crowded = groups.agg(F.sum("_n"), F.count_if(many)).first()
     parts = -(-total // (BUCKETS * BUCKET_ROWS))
+    if crowded:
+        some = stored(groups.where(many).select("_g"), "crowded-groups")
+        found = rows.select(names.person().alias("_p")).withColumn("_g", _group(F.col("_p"))).join(some, "_g", "left_semi")
+        chosen = stored(found.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).where(many).select("_p"), "crowded")
+        crowded = not chosen.isEmpty()
     if not crowded:
         return _write(_by_lead(rows, parts, names, **options), path, generation, names, dealt=True)
     same = names.person().eqNullSafe(F.col("_p"))
-    chosen = stored(counts.where(many).select("_p"), "crowded")
     _write(_by_lead(rows.join(chosen, same, "left_anti"), parts, names, **options), path, generation, names, dealt=True)
     few = stored(rows.join(chosen, same, "left_semi"), "to-flag")
     _write(flag_readmissions(few, **options), path, generation, names)
@@ -202,7 +218,7 @@ def add(batch: DataFrame, location: str, names: Names = Names(), **options) -> l
     path = _folder(location, version)
     if not ledger:
         if not batch.isEmpty():
-            _flag(batch, stored(_patient_rows(batch, names), "patients"), path, 1, names, options)
+            _flag(batch, batch.select(_group(names.person()), F.lit(1).alias("_n")), path, 1, names, options)
             _append(spark, location, 1, version, [], True)
         return []
     generation = ledger[-1]["generation"] + 1
@@ -222,12 +238,13 @@ def add(batch: DataFrame, location: str, names: Names = Names(), **options) -> l
     tails = _newest(mine.where(F.col("flag_state") == TAIL), names, len(ledger))
     late = _late_buckets(touched, mine, tails, names)
     old = tails.where(~F.col("flag_bucket").isin(late)) if late else tails
-    work, counts = old.select(*batch.columns).unionByName(batch), touched.select("_p", (F.col("_n") + 1).alias("_n"))
+    work = old.select(*batch.columns).unionByName(batch)
+    counts = touched.select(_group(F.col("_p")), (F.col("_n") + 1).alias("_n"))          # one for the tail
     if late:
         whole = _state(spark, location, ledger, columns, names).where(F.col("flag_bucket").isin(late))
         work = work.unionByName(whole.select(*batch.columns))
-        before = _patient_rows(rows.where(F.col("flag_bucket").isin(late)), names)       # older tails included
-        counts = stored(counts.unionByName(before).groupBy("_p").agg(F.sum("_n").alias("_n")), "patients")
+        before = rows.where(F.col("flag_bucket").isin(late))                              # older tails included
+        counts = counts.unionByName(before.select(_group(names.person()), F.lit(1).alias("_n")))
     _flag(work, counts, path, generation, names, options)
     _append(spark, location, generation, version, [int(b) for b in late], False)
     return late

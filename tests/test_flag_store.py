@@ -163,3 +163,57 @@ def test_crowded_patients_are_flagged_apart(spark, location, monkeypatch, bound)
         store.add(frame(spark, part), location)
     assert seen
     assert_full_run(spark, location, sum(parts, []))
+
+
+def test_generations_that_were_rebuilt_whole_are_not_read_again(spark, location, monkeypatch):
+    """Once every bucket was rebuilt, readers open the last generation only and join nothing."""
+    monkeypatch.setattr(store, "BUCKETS", 2)
+    day, late = [stay(6, "b", 20), stay(7, "f", 20)], [stay(9, p, -5) for p in ("a", "b", "c", "d", "e", "f", None)]
+    for part in (FIRST, day):
+        store.add(frame(spark, part), location)
+    assert store.add(frame(spark, late), location) == [0, 1]
+    kept = store.read(spark, location)
+    assert len({f.split("flag_version=")[1].split("/")[0] for f in kept.inputFiles()}) == 1
+    assert "Join" not in plan_text(kept)
+    assert_full_run(spark, location, FIRST + day + late)
+    again, one = [stay(30, "a", 60), stay(31, None, 60)], [stay(40, "a", 1)]
+    assert store.add(frame(spark, again), location) == []
+    assert len(store.add(frame(spark, one), location)) == 1
+    assert len(store._ledger(spark, location)) == 3
+    assert_full_run(spark, location, FIRST + day + late + again + one)
+
+
+def test_generations_left_behind_by_several_rebuilds(spark, location, monkeypatch):
+    monkeypatch.setattr(store, "BUCKETS", 2)
+    everything = [stay(k, p, 10) for k, p in enumerate("abcdefgh")]
+    store.add(frame(spark, everything), location)
+    at = {r["Name"]: r["b"] for r in frame(spark, everything).select("Name", store.Names().bucket().alias("b")).collect()}
+    assert set(at.values()) == {0, 1}
+    for b in (0, 1):
+        part = [stay(20 + k, p, 5) for k, p in enumerate(at) if at[p] == b]
+        assert store.add(frame(spark, part), location) == [b]
+        everything += part
+        assert_full_run(spark, location, everything)
+    assert [r["generation"] for r in store._ledger(spark, location)] == [2, 3]
+
+
+def test_patients_are_counted_in_crowded_groups_only(spark, location, monkeypatch):
+    """Many patients of one hash are not taken for one with many rows."""
+    late, day = [stay(9, "a", 5), stay(7, None, None)], [stay(6, "b", 20), stay(8, "d", 20)]
+    monkeypatch.setattr(store, "CROWDED", 3)
+    seen, write = [], store.stored
+    monkeypatch.setattr(store, "stored", lambda df, name: seen.append(name) or write(df, name))
+    with monkeypatch.context() as m:
+        m.setattr(store, "flag_readmissions", None)
+        store.add(frame(spark, FIRST), location)
+        assert seen == []
+        m.setattr(store, "GROUPS", 1)
+        store.add(frame(spark, day), location)
+        store.add(frame(spark, late), location)
+    assert "crowded" in seen
+    assert_full_run(spark, location, FIRST + day + late)
+    monkeypatch.setattr(store, "GROUPS", 1)
+    more = [stay(50 + k, "a", 60 + k) for k in range(5)]
+    store.add(frame(spark, more), location)
+    assert "to-flag" in seen
+    assert_full_run(spark, location, FIRST + day + late + more)
